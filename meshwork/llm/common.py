@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +43,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows that Spark hands to Python at once. A session setting without effect on results."""
+def python_workers(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Bound the rows that Spark hands to Python at once, and let workers on the driver's machine find this
+    package wherever they are started (on a cluster it is installed or sent with --py-files)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    root = str(Path(__file__).resolve().parents[2])
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, (root, env.get("PYTHONPATH"))))
 
 
 def free_name(df: DataFrame, *wanted: str) -> list[str]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import small_batches, table
+from .common import python_workers, table
 
 CAPACITY = 2048
 END_ID = 1
@@ -98,7 +98,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = "byte_bpe_5
     if capacity < 2 or capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
     spark = docs.sparkSession
-    small_batches(spark)
+    python_workers(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import small_batches, table
+from .common import python_workers, table
 
 MODEL = "piece_bpe_32k.model"
 CACHE_UNITS = 500_000
@@ -244,7 +244,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL, digest: bool = False,
     """Per row: id, ids array<int>, starts and ends array<long> (original byte spans of each id),
     decoded text. With `digest`: id, n_tokens, ids_sha256, decoded_sha256, so that the long columns
     need not leave the worker."""
-    small_batches(docs.sparkSession)
+    python_workers(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
