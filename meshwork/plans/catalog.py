@@ -37,7 +37,7 @@ edges AS (SELECT f.ax, f.ay, f.bx, f.by_, f.u1 AS u, f.uses, c.object_id, c.ring
     CASE WHEN o.is_exterior THEN o.object_id ELSE -o.object_id END AS right_obj, o.object_id AS right_loc, r.u2
   FROM firsts f JOIN uses c ON c.u = f.u1 LEFT JOIN rights r ON r.u1 = f.u1 LEFT JOIN uses o ON o.u = r.u2)"""
 _OVERLAPS = f"""{_OWNED},
-overlaps AS (SELECT m.object_id, m.ring_no, m.seg_ord, m.v_ord, m.x2 AS x, m.y2 AS y, CASE WHEN same THEN m.creator ELSE o.object_id END AS is_loc, m.object_id AS o_loc, CASE WHEN same THEN 'left' ELSE 'right' END AS side
+overlapped AS (SELECT m.object_id, m.ring_no, m.seg_ord, m.v_ord, m.x2 AS x, m.y2 AS y, CASE WHEN same THEN m.creator ELSE o.object_id END AS is_loc, m.object_id AS o_loc, CASE WHEN same THEN 'left' ELSE 'right' END AS side
   FROM marked m LEFT JOIN rights r ON r.u1 = m.u1 LEFT JOIN uses o ON o.u = r.u2 WHERE same OR (compat AND m.u > r.u2))"""
 _HALVES = f"""{_EDGES},
 halves AS (
@@ -143,7 +143,7 @@ def all_errors(spark, d) -> DataFrame:
 
 _KEYED = "object_id AS k1, ring_no AS k2, seg_ord AS k3, v_ord AS k4"
 _ALL = f"""WITH RECURSIVE {_CROSS},
-overlaps AS (SELECT m.object_id, m.ring_no, m.seg_ord, m.v_ord, m.x2 AS x, m.y2 AS y, CASE WHEN same THEN m.creator ELSE o.object_id END AS is_loc, m.object_id AS o_loc
+overlapped AS (SELECT m.object_id, m.ring_no, m.seg_ord, m.v_ord, m.x2 AS x, m.y2 AS y, CASE WHEN same THEN m.creator ELSE o.object_id END AS is_loc, m.object_id AS o_loc
   FROM marked m LEFT JOIN rights r ON r.u1 = m.u1 LEFT JOIN uses o ON o.u = r.u2 WHERE same OR (compat AND m.u > r.u2)),
 cand AS (SELECT u, left_obj < 0 AS inner_, src_x, src_y FROM edges WHERE right_obj IS NULL),
 succ AS (SELECT t.u, t.next_u FROM turned t JOIN cand a ON a.u = t.u JOIN cand b ON b.u = t.next_u AND a.inner_ = b.inner_ WHERE t.sign = -1 AND t.next_sign = 1),
@@ -154,7 +154,7 @@ longest AS (SELECT u FROM walks WHERE NOT inner_ AND length >= 3 ORDER BY length
 {_POINTS.split(coverages.LINES.strip())[1].strip().lstrip(',')},
 lines_all AS (SELECT 1),
 e AS (
-  SELECT 1 AS phase, {_KEYED}, 2 AS k5, 'RING_OVERLAPPING_EDGES' AS t, x, y FROM overlaps
+  SELECT 1 AS phase, {_KEYED}, 2 AS k5, 'RING_OVERLAPPING_EDGES' AS t, x, y FROM overlapped
   UNION ALL SELECT 1, object_id, ring_no, seg_ord, v_ord, end_no, 'RING_INTERSECTION', x, y FROM crossings
   UNION ALL SELECT 1, object_id, ring_no, seg_ord, v_ord, CASE WHEN sign < 0 THEN 0 ELSE 1 END, 'INVALID_ANGLE', x, y FROM att WHERE angle = first_angle
   UNION ALL SELECT CASE WHEN inner_ THEN 2 ELSE 3 END, object_id, ring_no, seg_ord, v_ord, 2, CASE WHEN inner_ THEN 'HOLE_EMPTY_INTERIOR' ELSE 'FREE_STANDING_SURFACE' END, ed.src_x, ed.src_y
@@ -170,7 +170,7 @@ _ALL = _ALL.replace("WITH RECURSIVE ", "WITH RECURSIVE " + coverages.LINES.strip
 
 @_query("tokenize_poslist", f"""WITH {coverages.RINGS},
 c AS (SELECT * FROM (VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1)) AS c(v_pos, cx, cy))
-SELECT object_id, ring_no, v_pos AS v_pos, x0 + CASE WHEN cx = 1 THEN b ELSE a END AS x, y0 + CASE WHEN cy = 1 THEN b ELSE a END AS y FROM rings CROSS JOIN c""")
+SELECT object_id, ring_no, v_pos AS v_pos, x0 + sx * CASE WHEN cx = 1 THEN b ELSE a END AS x, y0 + CASE WHEN cy = 1 THEN b ELSE a END AS y FROM rings CROSS JOIN c""")
 def tokenize_poslist(spark, d):
     t = tokenize_pos_lists(coverages.pos_lists(spark, d))
     return t.select("object_id", "ring_no", F.col("v_ord").alias("v_pos"), "x", "y")
@@ -202,12 +202,12 @@ def edge_owners(spark, d):
     return _edges(spark, d).select("src_x", "src_y", "tgt_x", "tgt_y", "left_obj", "right_obj", "uses")
 
 
-@_query("overlapping_edges", f"WITH {_OVERLAPS} SELECT * FROM overlaps")
+@_query("overlapping_edges", f"WITH {_OVERLAPS} SELECT * FROM overlapped")
 def overlapping_edges(spark, d):
     return _flat(edges.overlapping_edges(_owned(spark, d)))
 
 
-@_query("overlap_pairs", f"WITH {_OVERLAPS} SELECT is_loc, o_loc, count(*)::BIGINT AS edges FROM overlaps GROUP BY ALL")
+@_query("overlap_pairs", f"WITH {_OVERLAPS} SELECT is_loc, o_loc, count(*)::BIGINT AS edges FROM overlapped GROUP BY ALL")
 def overlap_pairs(spark, d):
     return edges.overlap_pairs(edges.overlapping_edges(_owned(spark, d)))
 
@@ -280,7 +280,7 @@ def node_lookup(spark, d):
     return lookup.find_nodes(_edges(spark, d), coverages.lines(spark, d))
 
 
-@_query("edge_lookup", f"WITH {_POINTS} SELECT line_id, v_ord, px AS x1, py AS y1, m.x AS x2, m.y AS y2, left_obj, right_obj, coalesce(e.u IS NOT NULL, false) AS found FROM moved m LEFT JOIN edges e ON (e.src_x = m.x AND e.src_y = m.y AND e.tgt_x = px AND e.tgt_y = py) OR (e.tgt_x = m.x AND e.tgt_y = m.y AND e.src_x = px AND e.src_y = py) WHERE px IS NOT NULL")
+@_query("edge_lookup", f"WITH {_POINTS} SELECT line_id, m.v_ord, px AS x1, py AS y1, m.x AS x2, m.y AS y2, left_obj, right_obj, coalesce(e.u IS NOT NULL, false) AS found FROM moved m LEFT JOIN edges e ON (e.src_x = m.x AND e.src_y = m.y AND e.tgt_x = px AND e.tgt_y = py) OR (e.tgt_x = m.x AND e.tgt_y = m.y AND e.src_x = px AND e.src_y = py) WHERE px IS NOT NULL")
 def edge_lookup(spark, d):
     v = boundaries.line_vertices(coverages.lines(spark, d)).where("px IS NOT NULL")
     pairs = v.select("line_id", "v_ord", F.col("px").alias("x1"), F.col("py").alias("y1"), F.col("x").alias("x2"), F.col("y").alias("y2"))

@@ -1,7 +1,8 @@
 """Polygon coverages derived from the star-schema tables, as SQL that Spark and other engines share.
 
 Order keys are cells of a grid of width 40. Faults are built in: missing, doubled and shifted
-cells, interior rings of which every other is filled, islands, and lines that leave the edges.
+cells, stretched cells and tilted triangles, interior rings of which every other is filled, islands, and lines that
+leave the edges.
 Ordinates are multiples of 1/8, so all engines hold the same doubles.
 """
 
@@ -11,24 +12,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 _CELL = "1000.125e0 + 10 * (k % 40) AS x0, 2000.125e0 + 10 * cast((k - k % 40) / 40 AS bigint) AS y0"
 
-#: rings(object_id, ring_no, is_exterior, x0, y0, a, b): a square from (x0 + a, y0 + a) to (x0 + b, y0 + b).
+#: rings(object_id, ring_no, is_exterior, x0, y0, a, b, sx): a box from (x0 + sx a, y0 + a) to (x0 + sx b, y0 + b).
 RINGS = f"""
 cells AS (SELECT o_orderkey AS k, {_CELL} FROM (SELECT o_orderkey, o_orderkey AS k FROM orders) o WHERE o_orderkey % 97 <> 0),
 rings AS (
-  SELECT 4 * k + 1 AS object_id, 0 AS ring_no, true AS is_exterior, CASE WHEN k % 83 = 0 THEN x0 + 0.5e0 ELSE x0 END AS x0, y0, 0e0 AS a, 10e0 AS b FROM cells
-  UNION ALL SELECT 4 * k + 2, 0, true, x0, y0, 0e0, 10e0 FROM cells WHERE k % 89 = 0
-  UNION ALL SELECT 4 * k + 1, 1, false, x0, y0, 2.5e0, 7.5e0 FROM cells WHERE k % 50 = 0
-  UNION ALL SELECT 4 * k + 3, 0, true, x0, y0, 2.5e0, 7.5e0 FROM cells WHERE k % 100 = 0
-  UNION ALL SELECT 4 * (1000000000 + s_suppkey) + 1, 0, true, 100000.125e0 + 100 * (s_suppkey % 1000), 100 * cast((s_suppkey - s_suppkey % 1000) / 1000 AS bigint) + 0.125e0, 0e0, 10e0 FROM supplier)"""
-
-#: vertices(object_id, ring_no, seg_ord, v_ord, is_exterior, x, y): exteriors counter-clockwise, interiors clockwise; one more vertex closes the ring.
+  SELECT 8 * k + 1 AS object_id, 0 AS ring_no, true AS is_exterior, CASE WHEN k % 83 = 0 THEN x0 + 0.5e0 ELSE x0 END AS x0, y0, 0e0 AS a, 10e0 AS b, 1e0 AS sx FROM cells
+  UNION ALL SELECT 8 * k + 2, 0, true, x0, y0, 0e0, 10e0, 1e0 FROM cells WHERE k % 89 = 0
+  UNION ALL SELECT 8 * k + 1, 1, false, x0, y0, 2.5e0, 7.5e0, 1e0 FROM cells WHERE k % 50 = 0
+  UNION ALL SELECT 8 * k + 3, 0, true, x0, y0, 2.5e0, 7.5e0, 1e0 FROM cells WHERE k % 100 = 0
+  UNION ALL SELECT 8 * k + 5, 0, true, x0, y0, 0e0, 10e0, 2e0 FROM cells WHERE k % 79 = 0
+  UNION ALL SELECT 8 * (1000000000 + s_suppkey) + 1, 0, true, 100000.125e0 + 100 * (s_suppkey % 1000), 100 * cast((s_suppkey - s_suppkey % 1000) / 1000 AS bigint) + 0.125e0, 0e0, 10e0, 1e0 FROM supplier)"""
+
+#: vertices(object_id, ring_no, seg_ord, v_ord, is_exterior, x, y): exteriors counter-clockwise, interiors clockwise; one more vertex
+#: closes the ring. Tilted triangles over several cells come after the boxes.
 VERTICES = f"""{RINGS},
 corners AS (SELECT * FROM (VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1), (4, 0, 0)) AS c(v, cx, cy)),
+tips AS (SELECT * FROM (VALUES (0, 0, 0), (1, 20, 10), (2, 10, 20), (3, 0, 0)) AS c(v, cx, cy)),
 vertices AS (
   SELECT object_id, ring_no, 0 AS seg_ord, v AS v_ord, is_exterior,
-         x0 + CASE WHEN (CASE WHEN is_exterior THEN cx ELSE cy END) = 1 THEN b ELSE a END AS x,
+         x0 + sx * CASE WHEN (CASE WHEN is_exterior THEN cx ELSE cy END) = 1 THEN b ELSE a END AS x,
          y0 + CASE WHEN (CASE WHEN is_exterior THEN cy ELSE cx END) = 1 THEN b ELSE a END AS y
-  FROM rings CROSS JOIN corners)"""
+  FROM rings CROSS JOIN corners
+  UNION ALL SELECT 8 * k + 4, 0, 0, v, true, x0 + cx, y0 + cy FROM cells CROSS JOIN tips WHERE k % 61 = 0)"""
 
 #: lines(line_id, v_ord, x, y): one line for each order, its items' places on the grid.
 LINES = """
@@ -43,7 +48,7 @@ lines AS (
 POS_LISTS = f"""{RINGS},
 pos_lists AS (
   SELECT object_id, ring_no, 0 AS seg_ord, is_exterior, 2 AS geo_type,
-         concat(cast(x0 + a AS varchar(30)), ' ', cast(y0 + a AS varchar(30)), ' ', cast(x0 + b AS varchar(30)), ' ', cast(y0 + a AS varchar(30)), '  ', cast(x0 + b AS varchar(30)), ' ', cast(y0 + b AS varchar(30)), ' ', cast(x0 + b AS varchar(30)), ' ', cast(y0 + b AS varchar(30))) AS pos_list
+         concat(cast(x0 + sx * a AS varchar(30)), ' ', cast(y0 + a AS varchar(30)), ' ', cast(x0 + sx * b AS varchar(30)), ' ', cast(y0 + a AS varchar(30)), '  ', cast(x0 + sx * b AS varchar(30)), ' ', cast(y0 + b AS varchar(30)), ' ', cast(x0 + sx * b AS varchar(30)), ' ', cast(y0 + b AS varchar(30))) AS pos_list
   FROM rings)"""
 
 
