@@ -8,13 +8,14 @@
 4. Star edges: each bucket's smallest document is paired with the others, so a group of m near copies gives
    about m distinct pairs over all bands. Pairs whose sizes rule a link out are dropped, the others
    are confirmed on full sets, and components are taken.
-5. A star can miss a link between two documents that both differ from the hub. So buckets that still hold
-   several components are gone through again with further hubs, 8 times as many in each round, until each bucket
-   has one component or all its members were hubs: a pair in a bucket is left out only if
-   it is connected already. No pair is capped or sampled away.
+5. A star can miss a link between two documents that both differ from its hub. Buckets of three or more that still hold several
+   components are gone through by an exact set-similarity join: their documents' shingles are ordered from rare to frequent,
+   and two documents that link share one of the first n - ceil(0.85 n) + 1, at positions that leave room for enough more.
+   Only such pairs of different components are confirmed. No pair is capped or sampled away: a link is lost
+   only where all bands miss it.
 
 Defined cases: null or blank text has an empty set (n_shingles 0), its own component, kept; rows that share an id
-are one node, each row reports its own text's class; rows with a null id link with nothing, have no component and are
+are one node, judged by the text with the least digest if these differ, and each row reports its own text's class; rows with a null id link with nothing, have no component and are
 kept; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -25,7 +26,6 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialise, mix, pieces_of, python_workers, table, utf8, word_hashes, words
@@ -35,8 +35,7 @@ SHINGLE = 5
 PERCENT = 85
 BANDS, ROWS = 40, 6
 BINS = BANDS * ROWS
-MORE_HUBS = 8
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 1_000_000  # with digests
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, k: int = SHINGLE):
@@ -119,16 +118,18 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, shingles array<long>."""
+    """docs (doc_id, text, rep_digest) -> doc_id, shingles array<long>; texts with another digest are left out."""
 
     def run(batches):
         for batch in batches:
+            wanted = batch.column(2).to_pylist()
             data, off = utf8(batch.column(1))
             for a, b in pieces_of(off):
                 sets = list(shingle_sets(data[off[a] : off[b]], off[a : b + 1] - off[a]))
-                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-                values = np.concatenate(sets).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))], names=["doc_id", "shingles"])
+                own = [i for i, s in enumerate(sets) if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == wanted[a + i]]
+                ends = np.concatenate([[0], np.cumsum([len(sets[i]) for i in own])])
+                values = np.concatenate([sets[i] for i in own] or [np.zeros(0, np.uint64)]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(own, pa.int64())), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))], names=["doc_id", "shingles"])
 
     return docs.mapInArrow(run, "doc_id bigint, shingles array<bigint>")
 
@@ -143,6 +144,22 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("s") + F.size("t") - common)).select("u", "v")
 
 
+def prefix_pairs(docs: DataFrame, percent: int) -> DataFrame:
+    """docs (doc_id, component, shingles) -> (u, v): all pairs of different components that may reach the threshold, by the prefix, length
+    and position filters. A common shingle can stand in a prefix only where a document has hardly any rarer one."""
+    n = F.size("shingles")
+    each = docs.select("doc_id", "component", n.alias("n"), F.explode("shingles").alias("shingle"))
+    counts = each.groupBy("shingle").agg(F.count("*").alias("f"))
+    ordered = each.join(counts, "shingle").groupBy("doc_id", "component", "n").agg(F.array_sort(F.collect_list(F.struct("f", "shingle"))).alias("s"))
+    length = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1
+    index = ordered.select("doc_id", "component", "n", F.posexplode(F.slice("s", F.lit(1), length.cast("int"))).alias("i", "t")).where("t.f > 1").select("doc_id", "component", "n", "i", F.col("t.shingle").alias("shingle"))
+    a, b = (index.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "component", "n", "i")]) for side in "ab")
+    need = F.expr(f"({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent}")
+    room = 1 + F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b")) - 1
+    met = a.join(b, "shingle").where((F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("component_a") != F.col("component_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (room >= need))
+    return met.select(F.col("doc_id_a").alias("u"), F.col("doc_id_b").alias("v")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
@@ -151,35 +168,28 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     sk = materialise(sketch(texts), "minhash-sketches")
     named = sk.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     classes = materialise(named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size")), "minhash-classes")
-    reps = classes.select(F.col("rep").alias("doc_id"), F.col("digest").alias("rep_digest"), "size")
+    reps = classes.groupBy(F.col("rep").alias("doc_id")).agg(F.min(F.struct("digest", "size")).alias("c")).select("doc_id", F.col("c.digest").alias("rep_digest"), "c.size")
     banded = named.join(reps, "doc_id").where(F.col("digest") == F.col("rep_digest")).select("doc_id", "size", F.explode("bands").alias("band"))
     grouped = banded.groupBy("band").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top")).where("hub < top").select("band", "hub")
     members = materialise(banded.join(grouped, "band").select("band", "hub", "doc_id", "size").distinct(), "minhash-members")
 
-    ids = members.select("doc_id").distinct()
-    few = ids.count() <= BROADCAST_IDS  # 8 MB of ids at most; beyond that a shuffled join
-    sets = materialise(full_sets(texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]) if not few else texts.join(F.broadcast(ids), "doc_id", "left_semi")), "minhash-sets")
+    ids = materialise(members.select("doc_id").distinct().join(reps.select("doc_id", "rep_digest"), "doc_id"), "minhash-candidates")
+    few = ids.count() <= BROADCAST_IDS  # 24 MB at most; beyond that a shuffled join
+    sets = full_sets(texts.join(F.broadcast(ids) if few else ids, "doc_id").select("doc_id", "text", "rep_digest"))
+    repeats = named.select("doc_id").count() > named.select("doc_id").distinct().count()
+    sets = materialise(sets.dropDuplicates(["doc_id"]) if repeats else sets, "minhash-sets")
     sizes = classes.select(F.col("rep").alias("u"), F.col("size").alias("u_size"))
 
     star = members.where("doc_id <> hub").select(F.col("hub").alias("u"), F.col("doc_id").alias("v"), F.col("size").alias("v_size")).distinct().join(sizes, "u")
     fits = lambda df: df.where(100 * F.least("u_size", "v_size") >= percent * F.greatest("u_size", "v_size")).select("u", "v")
     links = materialise(confirmed(fits(star), sets, percent), "minhash-links")
     comps = connected_components(links, "minhash-components")
-    done, hubs = 1, MORE_HUBS
-    while True:
-        placed = members.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", "size", F.coalesce("component", "doc_id").alias("component"))
-        mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where(f"lo < hi AND n > {done + 1}").select("band")
-        ranked = materialise(placed.join(mixed, "band").withColumn("rank", F.row_number().over(W.partitionBy("band").orderBy("doc_id"))), "minhash-mixed")
-        if ranked.isEmpty():
-            break
-        hub = ranked.where(f"rank > {done} AND rank <= {done + hubs}").select("band", F.col("doc_id").alias("u"), F.col("size").alias("u_size"), F.col("component").alias("u_component"), F.col("rank").alias("u_rank"))
-        other = ranked.where(f"rank > {done}").select("band", F.col("doc_id").alias("v"), F.col("size").alias("v_size"), "component", "rank")
-        more = hub.join(other, "band").where("rank > u_rank AND component <> u_component")
-        new = materialise(confirmed(fits(more).distinct(), sets, percent), "minhash-links")
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            comps = connected_components(links, "minhash-components")
-        done, hubs = done + hubs, hubs * MORE_HUBS
+    placed = members.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi AND n > 2").select("band")
+    rest = materialise(placed.join(mixed, "band", "left_semi").select("doc_id", "component").distinct(), "minhash-mixed")
+    more = materialise(confirmed(prefix_pairs(rest.join(sets, "doc_id"), percent), sets, percent), "minhash-links")
+    if not more.isEmpty():
+        comps = connected_components(links.unionByName(more), "minhash-components")
 
     final = classes.select("digest", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = sk.select("doc_id", "n_shingles", "digest").join(final, "digest", "left")
