@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..workers import python_workers
+
 #: Nodes of a higher degree are swept one by one instead of joined with themselves.
 STAR_DEGREE = 64
 _TURN = 2 * math.pi
@@ -71,6 +73,7 @@ def _sweep_star(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def attachments(halves: DataFrame, star_degree: int = STAR_DEGREE) -> DataFrame:
     """New half-edges with the neighbours they were set between, as of their creation."""
+    python_workers(halves.sparkSession)
     degree = F.count("*").over(W.partitionBy("x", "y"))
     h = halves.withColumn("degree", degree)
     small = _neighbours_by_join(h.where(F.col("degree") <= star_degree))

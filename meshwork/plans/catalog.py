@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import location as loc
 from ..functions.poslist import tokenize_pos_lists
+from ..functions.sql import register_functions
 from ..operators import boundaries, edges, errors, faces, lookup, rings, rotation
 from ..sources import coverages, sinks
 
@@ -124,7 +125,7 @@ def _parts(spark, d) -> list[DataFrame]:
 
     owned = keep(_owned(spark, d))
     e = keep(edges.edges(owned))
-    att = rotation.attachments(rotation.half_edges(e))
+    att = keep(rotation.attachments(rotation.half_edges(e)))
     lines = coverages.lines(spark, d)
     return [
         errors.as_errors(edges.overlapping_edges(owned), "RING_OVERLAPPING_EDGES", "surface"),
@@ -331,6 +332,25 @@ def location_unpack(spark, d):
     return p.select("l_orderkey", "l_linenumber", "l_partkey", loc.location_db("location").alias("db"), loc.location_db_name("location", "COVERAGE-").alias("db_name"), loc.location_geometry("location").alias("geometry_pos"), loc.location_feature("location").alias("feature_pos"))
 
 
+@_query("location_sql", "SELECT l_orderkey, l_linenumber, l_partkey, (l_suppkey % 100)::INTEGER AS db, l_orderkey + 1000 - l_linenumber * 7 AS feature_pos FROM lineitem")
+def location_sql(spark, d):
+    register_functions(spark)
+    coverages.register(spark, d, "lineitem")
+    packed = "topo_pack_location(CAST(l_suppkey % 100 AS INT), l_orderkey + 1000, l_orderkey + 1000 - l_linenumber * 7)"
+    return spark.sql(f"SELECT l_orderkey, l_linenumber, l_partkey, topo_location_db(v) AS db, topo_location_feature(v) AS feature_pos FROM (SELECT *, {packed} AS v FROM lineitem)")
+
+
+@_query("named_features", f"{_ALL}, named AS (SELECT unnest([is_loc, o_loc]) AS location FROM overlapped UNION SELECT unnest([is_loc, cw_loc, ccw_loc]) FROM crossings) SELECT DISTINCT location FROM named WHERE location IS NOT NULL AND location <> 0")
+def named_features(spark, d):
+    """The objects that overlaps and intersections name in any role."""
+    from ..operators.materialise import keep
+
+    owned = keep(_owned(spark, d))
+    crossed = rotation.ring_intersections(rotation.attachments(rotation.half_edges(edges.edges(owned))))
+    found = [errors.as_errors(edges.overlapping_edges(owned), "RING_OVERLAPPING_EDGES", "surface"), errors.as_errors(crossed, "RING_INTERSECTION", "surface")]
+    return sinks.named_locations(found[0].unionByName(found[1]))
+
+
 @_query("diag", f"WITH {_EDGES} SELECT (SELECT count(DISTINCT object_id) FROM uses)::BIGINT AS objects, (SELECT count(*) FROM uses)::BIGINT AS edge_uses, (SELECT count(*) FROM edges)::BIGINT AS edges, (SELECT count(right_obj) FROM edges)::BIGINT AS edges_with_right, (SELECT count(*) FROM (SELECT src_x, src_y FROM edges UNION SELECT tgt_x, tgt_y FROM edges))::BIGINT AS nodes, 0::BIGINT AS collisions, 0::BIGINT AS lookup_errors")
 def diag(spark, d):
     return lookup.diagnostics(_uses(spark, d), _edges(spark, d))

@@ -62,7 +62,7 @@ class TopologyTheme:
 
     @cached_property
     def attachments(self) -> DataFrame:
-        return rotation.attachments(rotation.half_edges(self.edges))
+        return keep(rotation.attachments(rotation.half_edges(self.edges)))
 
     def detect_holes(self) -> int:
         self._errors["holes"] = keep(errors.as_errors(faces.holes(self.edges), "HOLE_EMPTY_INTERIOR", "holes"))
@@ -98,6 +98,15 @@ class TopologyTheme:
         lists = gml.surface_pos_lists(self.features).select(F.col("location").alias(role), "feature_id", "patch_ord").distinct()
         return errors_df.join(lists, role, "left")
 
+    def geometry_of(self, errors_df: DataFrame, role: str = "is_loc") -> DataFrame:
+        """Errors with the segments of the geometry that they name in a role."""
+        lists = gml.surface_pos_lists(self.features).withColumnRenamed("location", role)
+        return errors_df.join(lists.select(role, "feature_id", "patch_ord", "ring_no", "seg_ord", "geo_type", "pos_list"), role, "left")
+
+    def show_errors(self, n: int = 20) -> None:
+        """For development: the first errors on standard output."""
+        self.all_errors().orderBy("i").show(n, truncate=False)
+
     def export_geojson(self, folder: str, codes: list[str] | None = None) -> Path:
         shown = sinks.exported(self.topological_errors(codes), codes)
         shown = keep(shown)
@@ -112,3 +121,9 @@ class TopologyTheme:
     @staticmethod
     def version() -> str:
         return __version__
+
+    @staticmethod
+    def detailed_version() -> str:
+        import pyspark
+
+        return f"{__version__}-spark{pyspark.__version__}"

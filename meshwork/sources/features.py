@@ -7,16 +7,15 @@ reader loses the order between sibling element kinds, which the order of segment
 
 from __future__ import annotations
 
-import os
 import re
 import xml.etree.ElementTree as ET
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import ARC, LINE
+from ..workers import python_workers
 
 FEATURES = "db_idx int, feature_ord bigint, feature_id string, feature_type string, xml string"
 POS_LISTS = "db_idx int, feature_ord bigint, feature_id string, object_id bigint, patch_ord int, ring_no int, seg_ord int, is_exterior boolean, geo_type int, curve_id string, location bigint, pos_list string"
@@ -39,17 +38,11 @@ def _tree(xml: str) -> ET.Element | None:
         return None
 
 
-def _workers(spark: SparkSession) -> None:
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, (root, env.get("PYTHONPATH"))))
-
-
 def read_features(spark: SparkSession, path: str, database: str = "COVERAGE-000", member: str = "gml:featureMember") -> DataFrame:
     """One row per feature of the documents at `path`; feature_ord follows file, then position. Records that are not well-formed
     keep their text with a null id."""
     db = database_index(database)
-    _workers(spark)
+    python_workers(spark)
     end = f"</{member}>"
     raw = spark.read.option("lineSep", end).text(path).select("value", F.monotonically_increasing_id().alias("feature_ord"))
     start = F.locate(f"<{member}", F.col("value"))
@@ -122,7 +115,7 @@ def _segments(ring: ET.Element):
 def surface_pos_lists(features: DataFrame) -> DataFrame:
     """One row per segment of every patch's rings. object_id orders by feature, then patch, without a global
     numbering; a pos_list's location is its object."""
-    _workers(features.sparkSession)
+    python_workers(features.sparkSession)
 
     def parse(batches):
         for b in batches:
@@ -144,7 +137,7 @@ def surface_pos_lists(features: DataFrame) -> DataFrame:
 
 def boundary_pos_lists(features: DataFrame) -> DataFrame:
     """(line_id, part, pos_list): every coordinate list below a feature's positions, in order; one line for each geometry."""
-    _workers(features.sparkSession)
+    python_workers(features.sparkSession)
 
     def parse(batches):
         for b in batches:

@@ -80,6 +80,8 @@ def test_theme_end_to_end(spark, document, tmp_path):
     assert [r.t for r in got] == ["HOLE_EMPTY_INTERIOR", "FREE_STANDING_SURFACE", "BOUNDARY_EDGE_INVALID", "BOUNDARY_POINT_DETACHED"]
     assert theme.feature_of(theme.topological_errors(["HOLE_EMPTY_INTERIOR"])).first().feature_id == "f1"
     assert theme.diag()["objects"] == 2
+    assert theme.geometry_of(theme.topological_errors(["HOLE_EMPTY_INTERIOR"])).count() == 4
+    assert theme.detailed_version().startswith(theme.version())
     theme.write_document(str(tmp_path / "e.xml"))
     assert (tmp_path / "e.xml").read_text().count("<e i=") == 4
     page = theme.export_geojson(str(tmp_path / "map"))
