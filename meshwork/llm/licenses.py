@@ -22,6 +22,7 @@ are ignored.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -96,9 +97,9 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dict[s
     index, rarest = [], set()
     for label, words in sets.items():
         ranks, need = sorted(rank[w] for w in words), math.ceil(threshold * len(words) - 1e-9)
-        index += [(label, i, ranks[i], len(ranks), need, ranks) for i in range(len(ranks) - need + 1)]
+        index += [{"label": label, "i": i, "rank": ranks[i], "t": len(ranks), "need": need, "ranks": ranks} for i in range(len(ranks) - need + 1)]
         rarest |= {order[r] for r in ranks[: len(ranks) - need + 1]}
-    indexed = spark.createDataFrame(index, "label string, i int, rank int, t int, need int, ranks array<int>")
+    indexed = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(index)), "array<struct<label string, i int, rank int, t int, need int, ranks array<int>>>")))
 
     words = low.withColumn("words", F.regexp_extract_all("low", F.lit(_WORD), F.lit(0)))
     documents = words.select(id_col, "key", F.size("words").cast("long").alias("n_words"), *[c.alias(k) for k, c in _base(F.col("low"), phrases).items()])
