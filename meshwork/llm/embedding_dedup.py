@@ -36,8 +36,8 @@ COSINE = 0.95
 RECALL = 0.999
 FIT_ROWS = 8000
 ITERATIONS = 25
-BLOCK = 1024
-GROUP_ROWS = 20_000
+BLOCK = 512
+GROUP_ROWS = 6_000
 MAX_BITS = 28
 
 
@@ -105,7 +105,7 @@ def link_group(t: pa.Table, cosine: float) -> pa.Table:
     at = np.flatnonzero(change)
     raw, keys, out = t["unit"], t["keys"], []
     x_all = np.frombuffer(b"".join(raw.to_pylist()), np.float64).reshape(n, -1)
-    k_all = np.frombuffer(b"".join(keys.to_pylist()), "<i8").reshape(n, -1)
+    k_all = np.frombuffer(b"".join(keys.to_pylist()), "<i4").reshape(n, -1)
     for a, b in zip(at.tolist(), [*at[1:].tolist(), n], strict=True):
         if b - a < 2:
             continue
@@ -122,8 +122,8 @@ def link_group(t: pa.Table, cosine: float) -> pa.Table:
         earlier = k_all[rows, : col["table_no"][first]]
         i, j = np.nonzero(linked)
         counted = np.zeros(len(rows), np.int64)
-        for s in range(0, len(i), 1 << 16):
-            p, q = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
+        for s in range(0, len(i), 1 << 14):
+            p, q = i[s : s + (1 << 14)], j[s : s + (1 << 14)]
             new = ~(earlier[p] == earlier[q]).any(axis=1)
             np.add.at(counted, p[new], col["copies"][rows[q[new]]])
         node = col["node"][rows]
@@ -136,7 +136,7 @@ def link_group(t: pa.Table, cosine: float) -> pa.Table:
 def near_vectors(embeddings: DataFrame, cosine: float = COSINE, recall: float = RECALL, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Per row: id, n_links, component_id, kept."""
     spark = embeddings.sparkSession
-    python_workers(spark, 5000)
+    python_workers(spark, 2000)
 
     def prepare(batches):
         for b in batches:
@@ -163,7 +163,7 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE, recall: float =
             x = np.frombuffer(b"".join(b.column(2).to_pylist()), np.float64).reshape(b.num_rows, size // 8)
             keys = substrings(x, mean, projections, bits, tables).astype("<i8")
             ends = np.arange(b.num_rows + 1, dtype=np.int32) * tables
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(3)), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1))), pa.array([k.tobytes() for k in keys], pa.binary())], names=["node", "copies", "unit", "substrings", "keys"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(3)), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1))), pa.array([k.astype("<i4").tobytes() for k in keys], pa.binary())], names=["node", "copies", "unit", "substrings", "keys"])
 
     usable = classes.where(F.octet_length("unit") == size).select("node", "copies", "unit")
     coded = materialise(usable.mapInArrow(code, "node bigint, copies bigint, unit binary, substrings array<bigint>, keys binary"), "vector-codes")
