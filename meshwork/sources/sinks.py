@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.errors import COLUMNS, TECHNICAL, error_message
@@ -33,6 +33,13 @@ def write_error_document(errors: DataFrame, path: str, name: str) -> None:
         f.write("</ete:TopologicalErrors>\n")
 
 
+def read_error_document(spark: SparkSession, path: str) -> DataFrame:
+    """An error document as the error relation again."""
+    schema = "_i bigint, _t string, _p bigint, " + ", ".join(f"{TAGS[c]} {k}" for c, k in COLUMNS.items() if c != "t")
+    rows = spark.read.format("xml").option("rowTag", "e").schema(schema).load(path)
+    return rows.select(F.col("_i").alias("i"), F.col("_t").alias("t"), F.col("_p").alias("p"), *[F.col(TAGS[c]).alias(c) for c in COLUMNS if c != "t"])
+
+
 def error_points(errors: DataFrame) -> DataFrame:
     """(id, feature): a GeoJSON point feature per error."""
     geometry = F.struct(F.lit("Point").alias("type"), F.array("x", "y").alias("coordinates"))

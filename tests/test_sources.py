@@ -84,6 +84,8 @@ def test_theme_end_to_end(spark, document, tmp_path):
     assert theme.detailed_version().startswith(theme.version())
     theme.write_document(str(tmp_path / "e.xml"))
     assert (tmp_path / "e.xml").read_text().count("<e i=") == 4
+    again = sinks.read_error_document(spark, str(tmp_path / "e.xml"))
+    assert sorted(map(str, again.collect())) == sorted(map(str, theme.all_errors().collect()))
     page = theme.export_geojson(str(tmp_path / "map"))
     data = json.loads((tmp_path / "map" / "forest.geojson").read_text())
     kinds = [x["geometry"]["type"] for x in data["features"]]
