@@ -9,40 +9,40 @@ from pyspark.sql import functions as F
 from ..functions.geometry import angle
 
 
+def signed_object(object_id: str = "object_id", is_exterior: str = "is_exterior"):
+    return F.when(F.col(is_exterior), F.col(object_id)).otherwise(-F.col(object_id))
+
+
 def owned_uses(uses: DataFrame) -> DataFrame:
-    """Each use with its part in the ownership of its edge: n (1 is the creator), same, right_no.
+    """Each use with its part in the ownership of its edge: n (1 is the creator), same, right_no, and what the whole edge has: left_loc, right_use, uses.
 
-    One window on edge_key decides all: uses of the creator's role and direction collide on the left, the first other
-    use takes the right, later ones collide there."""
+    Windows on edge_key decide all, after one shuffle: uses of the creator's role and direction collide on the left, the
+    first other use takes the right, later ones collide there."""
     w = W.partitionBy("edge_key").orderBy("use_key")
     upto = w.rowsBetween(W.unboundedPreceding, W.currentRow)
-    u = uses.withColumns({"n": F.row_number().over(w), "same": (F.col("is_exterior") == F.first("is_exterior").over(upto)) & (F.col("forward") == F.first("forward").over(upto)), "left_loc": F.first("location").over(upto)})
+    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    u = uses.withColumns({"n": F.row_number().over(w), "same": (F.col("is_exterior") == F.first("is_exterior").over(upto)) & (F.col("forward") == F.first("forward").over(upto)), "left_loc": F.first("location").over(upto), "uses": F.count("*").over(whole)})
     other = (F.col("n") > 1) & ~F.col("same")
     u = u.withColumn("right_no", F.sum(F.when(other, 1).otherwise(0)).over(upto))
-    return u.withColumn("right_loc", F.max(F.when(other & (F.col("right_no") == 1), F.col("location"))).over(upto))
-
-
-def signed_object(object_id: str = "object_id", is_exterior: str = "is_exterior"):
-    return F.when(F.col(is_exterior), F.col(object_id)).otherwise(-F.col(object_id))
+    taken = F.struct("use_key", signed_object().alias("obj"), "location")
+    return u.withColumn("right_use", F.first(F.when(other & (F.col("right_no") == 1), taken), ignorenulls=True).over(whole))
 
 
 def edges(owned: DataFrame) -> DataFrame:
-    """One row per undirected edge in the direction of its creation. The window's partitioning is reused: no further shuffle."""
-    first, right = F.col("n") == 1, (F.col("n") > 1) & ~F.col("same") & (F.col("right_no") == 1)
-    of = lambda cond, c, name: F.max(F.when(cond, c)).alias(name)
-    e = owned.groupBy("edge_key").agg(
-        of(first, F.struct("use_key", "x1", "y1", "x2", "y2", signed_object().alias("obj"), "location", "is_exterior", "prev_edge"), "c"),
-        of(right, F.struct("use_key", signed_object().alias("obj"), "location"), "r"),
-        F.count("*").alias("uses"),
-    )
-    e = e.select("edge_key", F.col("c.use_key").alias("created_key"), F.col("c.x1").alias("src_x"), F.col("c.y1").alias("src_y"), F.col("c.x2").alias("tgt_x"), F.col("c.y2").alias("tgt_y"), F.col("c.is_exterior").alias("is_exterior"), F.col("c.prev_edge").alias("prev_edge"), F.col("c.obj").alias("left_obj"), F.col("c.location").alias("left_loc"), F.col("r.obj").alias("right_obj"), F.col("r.location").alias("right_loc"), F.col("r.use_key").alias("right_key"), "uses")
+    """One row per undirected edge in the direction of its creation: the creators' rows, which know the right owner by the window. No further shuffle."""
+    r = F.col("right_use")
+    e = owned.where("n = 1").select(
+        "edge_key", F.col("use_key").alias("created_key"), F.col("x1").alias("src_x"), F.col("y1").alias("src_y"), F.col("x2").alias("tgt_x"), F.col("y2").alias("tgt_y"),
+        "is_exterior", "prev_edge", signed_object().alias("left_obj"), F.col("location").alias("left_loc"),
+        r["obj"].alias("right_obj"), r["location"].alias("right_loc"), r["use_key"].alias("right_key"), "uses",
+    )
     return e.withColumns({"src_angle": angle("src_x", "src_y", "tgt_x", "tgt_y"), "tgt_angle": angle("tgt_x", "tgt_y", "src_x", "src_y")})
 
 
 def overlapping_edges(owned: DataFrame) -> DataFrame:
     """RING_OVERLAPPING_EDGES: use_key, x, y (target of the colliding use), is_loc, o_loc, side."""
     left, right = (F.col("n") > 1) & F.col("same"), (F.col("n") > 1) & ~F.col("same") & (F.col("right_no") > 1)
-    return owned.where(left | right).select("use_key", F.col("x2").alias("x"), F.col("y2").alias("y"), F.when(left, F.col("left_loc")).otherwise(F.col("right_loc")).alias("is_loc"), F.col("location").alias("o_loc"), F.when(left, "left").otherwise("right").alias("side"))
+    return owned.where(left | right).select("use_key", F.col("x2").alias("x"), F.col("y2").alias("y"), F.when(left, F.col("left_loc")).otherwise(F.col("right_use.location")).alias("is_loc"), F.col("location").alias("o_loc"), F.when(left, "left").otherwise("right").alias("side"))
 
 
 def overlap_pairs(overlaps: DataFrame) -> DataFrame:
@@ -51,7 +51,8 @@ def overlap_pairs(overlaps: DataFrame) -> DataFrame:
 
 def nodes(edge_table: DataFrame) -> DataFrame:
     """Distinct nodes with their degree."""
-    ends = edge_table.select(F.col("src_x").alias("x"), F.col("src_y").alias("y")).unionAll(edge_table.select(F.col("tgt_x").alias("x"), F.col("tgt_y").alias("y")))
+    at = lambda end: F.struct(F.col(f"{end}_x").alias("x"), F.col(f"{end}_y").alias("y"))
+    ends = edge_table.select(F.inline(F.array(at("src"), at("tgt"))))
     return ends.groupBy("x", "y").agg(F.count("*").alias("degree"))
 
 

@@ -10,8 +10,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..workers import python_workers
+from .materialise import keep
 
-#: Nodes of a higher degree are swept one by one instead of joined with themselves.
+#: Nodes of a higher degree are swept one by one instead of compared in arrays.
 STAR_DEGREE = 64
 _TURN = 2 * math.pi
 
@@ -35,23 +36,6 @@ def ccw_next(halves: DataFrame) -> DataFrame:
     return halves.withColumn("next", nxt).select("*", F.col("next.edge_key").alias("next_edge"), F.col("next.sign").alias("next_sign")).drop("next")
 
 
-def _neighbours_by_join(halves: DataFrame) -> DataFrame:
-    """Per new half-edge with two or more older ones at its node: its clockwise and counter-clockwise neighbour among them."""
-    new = halves.select("x", "y", F.col("edge_key").alias("n_edge"), F.col("sign").alias("n_sign"), F.col("created_key").alias("n_key"), F.col("angle").alias("n_angle"))
-    old = halves.select("x", "y", "created_key", "edge_key", "angle", F.struct("sign", "left_obj", "left_loc", "right_obj", "right_loc", "right_key", "angle").alias("s"))
-    both = new.join(old, ["x", "y"]).where("created_key < n_key")
-    back = F.col("n_angle") - F.col("angle")
-    back = F.when(back < 0, back + _TURN).otherwise(back)
-    ahead = F.col("angle") - F.col("n_angle")
-    ahead = F.when(ahead <= 0, ahead + _TURN).otherwise(ahead)
-    return both.groupBy("x", "y", "n_edge", "n_sign").agg(
-        F.count("*").alias("older"),
-        F.min_by("s", F.struct(back.alias("d"), F.struct(*[(-F.col(f"created_key.{k}")).alias(k) for k in ("object_id", "ring_no", "seg_ord", "v_ord")]).alias("k"))).alias("cw"),
-        F.min_by("s", F.struct(ahead.alias("d"), F.col("created_key").alias("k"))).alias("ccw"),
-        F.min_by("angle", "created_key").alias("first_angle"),
-    )
-
-
 def _sweep_star(pdf: pd.DataFrame) -> pd.DataFrame:
     """The same for one node of a high degree: half-edges enter a sorted list in order of creation."""
     import bisect
@@ -71,16 +55,36 @@ def _sweep_star(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["x", "y", "n_edge", "n_sign", "older", "cw", "ccw", "first_angle"])
 
 
+_NEIGHBOUR = ("sign", "left_obj", "left_loc", "right_obj", "right_loc", "right_key", "angle")
+_FOUND = ("x", "y", "n_edge", "n_sign", "older", "cw", "ccw", "first_angle")
+
+
 def attachments(halves: DataFrame, star_degree: int = STAR_DEGREE) -> DataFrame:
-    """New half-edges with the neighbours they were set between, as of their creation."""
+    """New half-edges with the neighbours they were set between, as of their creation.
+
+    One shuffle on the node: a window hands each half-edge its older ones as an array, in which the nearest on either side
+    are found. Nodes of a higher degree than `star_degree` get no array and are swept one by one."""
     python_workers(halves.sparkSession)
-    degree = F.count("*").over(W.partitionBy("x", "y"))
-    h = halves.withColumn("degree", degree)
-    small = _neighbours_by_join(h.where(F.col("degree") <= star_degree))
-    stars = h.where(F.col("degree") > star_degree)
-    found = small.unionByName(stars.groupBy("x", "y").applyInPandas(_sweep_star, small.schema))
-    back = halves.withColumnsRenamed({"edge_key": "n_edge", "sign": "n_sign"})
-    return back.join(found.where("older >= 2"), ["x", "y", "n_edge", "n_sign"])
+    node = W.partitionBy("x", "y")
+    order = node.orderBy("created_key")
+    older = order.rowsBetween(W.unboundedPreceding, -1)
+    one = F.struct("created_key", *_NEIGHBOUR)
+    h = halves.withColumn("degree", F.count("*").over(node))
+    h = h.withColumns({"older": (F.row_number().over(order) - 1).cast("long"), "first_angle": F.first("angle").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)), "olds": F.collect_list(F.when(F.col("degree") <= star_degree, one)).over(older)})
+
+    def nearest(distance, key):
+        best = F.array_min(F.transform("olds", lambda o: F.struct(distance(o["angle"]).alias("d"), key(o["created_key"]).alias("k"), o.alias("o"))))["o"]
+        return F.when(best.isNotNull(), F.struct(*[best[c].alias(c) for c in _NEIGHBOUR]))
+
+    back = lambda a: F.when(F.col("angle") - a < 0, F.col("angle") - a + _TURN).otherwise(F.col("angle") - a)
+    ahead = lambda a: F.when(a - F.col("angle") <= 0, a - F.col("angle") + _TURN).otherwise(a - F.col("angle"))
+    newest = lambda k: F.struct(*[(-k[c]).alias(c) for c in ("object_id", "ring_no", "seg_ord", "v_ord")])
+    h = h.where("older >= 2 OR degree > " + str(star_degree)).withColumns({"cw": nearest(back, newest), "ccw": nearest(ahead, lambda k: k)}).drop("olds")
+    h = keep(h.withColumnsRenamed({"edge_key": "n_edge", "sign": "n_sign"}))
+    small, stars = h.where(F.col("degree") <= star_degree).drop("degree"), h.where(F.col("degree") > star_degree)
+    rest = stars.drop("degree", "older", "cw", "ccw", "first_angle")
+    swept = stars.withColumnsRenamed({"n_edge": "edge_key", "n_sign": "sign"}).groupBy("x", "y").applyInPandas(_sweep_star, small.select(*_FOUND).schema)
+    return small.unionByName(rest.join(swept, ["x", "y", "n_edge", "n_sign"]))
 
 
 def _occupant(side: str, positive: str, negative: str):

@@ -11,6 +11,7 @@ from ..functions import location as loc
 from ..functions.poslist import tokenize_pos_lists
 from ..functions.sql import register_functions
 from ..operators import boundaries, edges, errors, faces, lookup, rings, rotation
+from ..operators.materialise import keep
 from ..sources import coverages, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,11 +122,9 @@ def _sign(c: str):
 
 
 def _parts(spark, d) -> list[DataFrame]:
-    from ..operators.materialise import keep
-
     owned = keep(_owned(spark, d))
     e = keep(edges.edges(owned))
-    att = keep(rotation.attachments(rotation.half_edges(e)))
+    att = rotation.attachments(rotation.half_edges(e))
     lines = coverages.lines(spark, d)
     return [
         errors.as_errors(edges.overlapping_edges(owned), "RING_OVERLAPPING_EDGES", "surface"),
@@ -246,15 +245,11 @@ def empty_right_edges(spark, d):
 
 @_query("holes", f"WITH RECURSIVE {_HOLES} SELECT * FROM found")
 def holes(spark, d):
-    from ..operators.materialise import keep
-
     return _flat(faces.holes(keep(_edges(spark, d))))
 
 
 @_query("free_standing_surfaces", f"WITH RECURSIVE {_FREE} SELECT * FROM found")
 def free_standing_surfaces(spark, d):
-    from ..operators.materialise import keep
-
     return _flat(faces.free_standing(keep(_edges(spark, d))))
 
 
@@ -265,7 +260,7 @@ def boundary_points_detached(spark, d):
 
 @_query("boundary_edges_invalid", f"WITH {_POINTS} SELECT * FROM invalid")
 def boundary_edges_invalid(spark, d):
-    return boundaries.edges_invalid(coverages.lines(spark, d), _edges(spark, d)).drop("part")
+    return boundaries.edges_invalid(coverages.lines(spark, d), keep(_edges(spark, d))).drop("part")
 
 
 @_query("boundary_overlaps", f"""WITH {coverages.LINES.strip()},
@@ -343,8 +338,6 @@ def location_sql(spark, d):
 @_query("named_features", f"{_ALL}, named AS (SELECT unnest([is_loc, o_loc]) AS location FROM overlapped UNION SELECT unnest([is_loc, cw_loc, ccw_loc]) FROM crossings) SELECT DISTINCT location FROM named WHERE location IS NOT NULL AND location <> 0")
 def named_features(spark, d):
     """The objects that overlaps and intersections name in any role."""
-    from ..operators.materialise import keep
-
     owned = keep(_owned(spark, d))
     crossed = rotation.ring_intersections(rotation.attachments(rotation.half_edges(edges.edges(owned))))
     found = [errors.as_errors(edges.overlapping_edges(owned), "RING_OVERLAPPING_EDGES", "surface"), errors.as_errors(crossed, "RING_INTERSECTION", "surface")]
@@ -353,7 +346,8 @@ def named_features(spark, d):
 
 @_query("diag", f"WITH {_EDGES} SELECT (SELECT count(DISTINCT object_id) FROM uses)::BIGINT AS objects, (SELECT count(*) FROM uses)::BIGINT AS edge_uses, (SELECT count(*) FROM edges)::BIGINT AS edges, (SELECT count(right_obj) FROM edges)::BIGINT AS edges_with_right, (SELECT count(*) FROM (SELECT src_x, src_y FROM edges UNION SELECT tgt_x, tgt_y FROM edges))::BIGINT AS nodes, 0::BIGINT AS collisions, 0::BIGINT AS lookup_errors")
 def diag(spark, d):
-    return lookup.diagnostics(_uses(spark, d), _edges(spark, d))
+    uses = keep(_uses(spark, d))
+    return lookup.diagnostics(uses, keep(edges.edges(edges.owned_uses(uses))))
 
 
 @_query("edge_csv", f"WITH {_EDGES} SELECT src_x, src_y, tgt_x, tgt_y, left_obj, right_obj FROM edges")
