@@ -34,7 +34,7 @@ from .common import free_name, materialise, mix, python_workers, table
 
 MIN_CHARS = 10
 SHARD_KEYS = 100_000
-PART_BYTES = 12 << 20
+PART_BYTES = 4 << 20
 _STRIP = b" \t\n\x0b\x0c\r"
 _LAST = (1 << 63) - 1
 
