@@ -118,9 +118,12 @@ class AttentionModel:
         if not len(y) or y.min() == y.max():
             self.constant = float((y.sum() + 1) / (len(y) + 2))
             return self
-        every = np.concatenate(xs).astype(np.float64)
-        self.mean, self.std = every.mean(axis=0), every.std(axis=0) + 1e-3
-        xs = [(x - self.mean) / self.std for x in xs]
+        sizes = np.array([len(x) for x in xs])
+        every = np.concatenate(xs)  # one float32 copy for all; the bags are slices of it
+        self.mean, self.std = every.mean(axis=0, dtype=np.float64), every.std(axis=0, dtype=np.float64) + 1e-3
+        every -= self.mean.astype(np.float32)
+        every /= self.std.astype(np.float32)
+        xs = np.split(every, np.cumsum(sizes)[:-1])
         rng, step = np.random.default_rng(seed), 0
         m, q = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
         for epoch in range(EPOCHS):
