@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from meshwork.llm import line_dedup, minhash, packing, quality
 from meshwork.llm.common import free_name, materialise, table
 
+#: The near-dedup stage's own threshold on the Jaccard similarity; 85 is that of the query op6 only.
+NEAR_PERCENT = 80
+
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score at least quality.ACCEPT."""
@@ -35,7 +38,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component."""
-    gone = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    gone = minhash.near_duplicates(docs, NEAR_PERCENT).where(~F.col("kept")).select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti")
     [once] = free_name(docs, "once")  # tells rows with a null id apart, so that only repeated ids are one
     key = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())

@@ -32,3 +32,15 @@ def test_stages_keep_the_columns(spark, odd_docs, no_docs):
         assert stage(spark, no_docs, SF).count() == 0
     assert corpus_pipeline.dedup_near(spark, odd_docs, SF).where("doc_id IS NULL").count() == 2
     assert corpus_pipeline.dedup_near(spark, odd_docs, SF).where("doc_id = 9").count() == 1
+
+
+def test_near_dedup_links_from_0_80(spark):
+    words = [f"w{i}" for i in range(104)]  # 100 shingles; a changed word at the end of n makes n differ on either side
+    rows = [(1, " ".join(words))]
+    rows += [(10 + n, " ".join(words[: 104 - n] + [f"x{n}y{k}" for k in range(n)])) for n in (9, 11, 12)]
+    docs = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    s = {d: test_minhash.shingles(t) for d, t in rows}
+    like = {d: len(s[1] & s[d]) / len(s[1] | s[d]) for d in s}
+    assert like[19] > 0.83 and 0.8 <= like[21] < 0.85 and like[22] < 0.8
+    kept = {r.doc_id for r in corpus_pipeline.dedup_near(spark, docs, SF).collect()}
+    assert kept == {d for d, _, _, k in test_minhash.brute(rows, 80) if k} != {d for d, _, _, k in test_minhash.brute(rows) if k}
