@@ -3,9 +3,11 @@
 1. Vectors are normalised in double precision; equal vectors are one class that its smallest vec_id stands for.
 2. Iterative quantisation learns rotations for balanced binary codes on a bounded sample (FIT_ROWS classes
    by hash): the centred sample is rotated from a random start, and code and rotation are fitted in turn. A rotation gives as
-   many bits as dimensions; several, each from its own start and half of the sample, give the full code.
+   many bits as dimensions; several, each from its own start and half of the sample, give the full code. Codes are signs of the
+   rotated vectors themselves: less their mean, a pair would be at a wider angle than the threshold's, without any bound.
 3. The code is cut into substrings, one Hamming table each; vectors meet where a substring is equal. A substring has
-   log2(classes) + 2 bits, so a bucket of unrelated vectors stays small at any size, and there are as many tables as
+   log2(classes) + 2 bits, so a bucket of unrelated vectors stays small at any size (unless the vectors share a strong common
+   direction: then unrelated ones meet too, which costs time but no links), and there are as many tables as
    bring two vectors at the threshold together with probability RECALL: (1 - (1 - angle / pi)**bits)**tables.
 4. What meets is reranked with the original vectors in double precision. A pair counts in the first of its tables only, so no
    list of pairs is ever shuffled. Buckets are split into blocks of BLOCK rows and compared block by block: no group
@@ -56,8 +58,8 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=-1, keepdims=True)
 
 
-def fit_rotations(sample: np.ndarray, bits: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projections [dimensions, >= bits]). Each rotation minimises |sign(VR) - VR| over its half of the sample."""
+def fit_rotations(sample: np.ndarray, bits: int, seed: int = 5) -> np.ndarray:
+    """Projections [dimensions, >= bits]. Each rotation minimises |sign(VR) - VR| over its half of the centred sample."""
     rng = np.random.default_rng(seed)
     mean, d, out = sample.mean(axis=0), sample.shape[1], []
     while len(out) * d < bits:
@@ -67,7 +69,7 @@ def fit_rotations(sample: np.ndarray, bits: int, seed: int = 5) -> tuple[np.ndar
             u, _, vt = np.linalg.svd(np.where(part @ rotation >= 0, 1.0, -1.0).T @ part)
             rotation = (u @ vt).T
         out.append(rotation)
-    return mean, np.concatenate(out, axis=1)
+    return np.concatenate(out, axis=1)
 
 
 def tables_for(classes: int, cosine: float = COSINE, recall: float = RECALL) -> tuple[int, int]:
@@ -77,8 +79,8 @@ def tables_for(classes: int, cosine: float = COSINE, recall: float = RECALL) ->
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - same))
 
 
-def substrings(x: np.ndarray, mean: np.ndarray, projections: np.ndarray, bits: int, tables: int) -> np.ndarray:
-    on = ((x - mean) @ projections >= 0)[:, : bits * tables].reshape(len(x), tables, bits)
+def substrings(x: np.ndarray, projections: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    on = (x @ projections >= 0)[:, : bits * tables].reshape(len(x), tables, bits)
     return on @ (1 << np.arange(bits, dtype=np.int64))
 
 
@@ -156,12 +158,12 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE, recall: float =
         size = len(classes.first()["unit"])
     bits, tables = tables_for(n, cosine, recall)
     fit_on = np.frombuffer(b"".join(s for s in sample if len(s) == size) or np.ones(size // 8).tobytes(), np.float64).reshape(-1, size // 8)
-    mean, projections = fit_rotations(fit_on, bits * tables)
+    projections = fit_rotations(fit_on, bits * tables)
 
     def code(batches):
         for b in batches:
             x = np.frombuffer(b"".join(b.column(2).to_pylist()), np.float64).reshape(b.num_rows, size // 8)
-            keys = substrings(x, mean, projections, bits, tables).astype("<i8")
+            keys = substrings(x, projections, bits, tables).astype("<i8")
             ends = np.arange(b.num_rows + 1, dtype=np.int32) * tables
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(3)), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1))), pa.array([k.astype("<i4").tobytes() for k in keys], pa.binary())], names=["node", "copies", "unit", "substrings", "keys"])
 

@@ -55,3 +55,22 @@ def test_tables_follow_the_recall():
     for n in (10, 10**5, 10**9):
         bits, tables = tables_for(n)
         assert (1 - (1 - math.acos(0.95) / math.pi) ** bits) ** tables <= 0.001
+
+
+def test_recall_with_a_large_common_mean(spark):
+    """Pairs at the threshold whose vectors share most of their direction."""
+    r, d, n, c = np.random.default_rng(3), 64, 1000, 0.9502
+    noise = r.normal(size=(n, d)) / math.sqrt(d)
+    x = 0.9 * np.eye(d)[0] + math.sqrt(1 - 0.9**2) * noise
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    away = r.normal(size=(n, d))
+    away -= (away * x).sum(axis=1, keepdims=True) * x
+    y = c * x + math.sqrt(1 - c * c) * away / np.linalg.norm(away, axis=1, keepdims=True)
+    v = np.concatenate([x, y])
+    assert np.linalg.norm(v.mean(axis=0)) > 0.85
+    near = v @ v.T >= 0.95
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(v)], "vec_id bigint, embedding array<double>")
+    got = {q.vec_id: q.n_links for q in near_vectors(df).collect()}
+    assert all(got[i] <= near[i].sum() for i in got)
+    assert sum(got.values()) >= 0.99 * near.sum() >= 0.99 * 2 * n
