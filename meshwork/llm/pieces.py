@@ -88,6 +88,8 @@ class PieceCodec:
         self.size_of = np.array([len(b) for b in self.bytes_of], np.int64)
         self.start_of, self.pool = np.cumsum(self.size_of) - self.size_of, np.frombuffer(b"".join(self.bytes_of), np.uint8)
         self.is_byte = np.array([p.type == 6 for p in model.pieces])
+        #: The bytes of normalised text that each piece covers.
+        self.covers = np.array([0 if p.type == 3 else 1 if p.type == 6 else len(p.piece.encode()) for p in model.pieces], np.int64)
         self.is_control = np.array([p.type == 3 for p in model.pieces])
         self.starts_space = np.array([t.startswith(_MARK) for t in texts])
         self.cache: dict[str, bytes] = {}
@@ -137,10 +139,11 @@ class PieceCodec:
         return final.decode(), np.array(at, np.int64)
 
     def align(self, text: str) -> np.ndarray:
-        """Source offsets of the identity case, made on demand."""
+        """Source offsets of the identity case, made on demand. All bytes of a character come from its start."""
         raw = np.frombuffer(text.encode(), np.uint8)
         width = np.where(raw == 32, len(self.space.encode()), 1)
-        out = np.repeat(np.arange(len(raw), dtype=np.int64), width)
+        start = np.maximum.accumulate(np.where(raw & 0xC0 == 0x80, 0, np.arange(len(raw), dtype=np.int64))) if len(raw) else np.zeros(0, np.int64)
+        out = np.repeat(start, width)
         lead = np.zeros(len(self.space.encode()) if self.prefix and len(raw) else 0, np.int64)
         return np.concatenate([lead, out, [len(raw)]])
 
@@ -187,19 +190,15 @@ class PieceCodec:
     def spans(self, text: str, ids: bytes) -> list[tuple[int, int]]:
         """[begin, end) of original bytes for each id; byte pieces of one character share its start
         and the last carries its end; begin, end and dummy-prefix bytes have empty spans."""
-        normalised, at = self.normalise(text)
+        return list(zip(*(a.tolist() for a in self.bounds(text, ids)), strict=True))
+
+    def bounds(self, text: str, ids: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The spans as arrays of begins and ends."""
+        _, at = self.normalise(text)
         at = self.align(text) if at is None else at
-        pos, out = 0, []
-        for i in np.frombuffer(ids, "<u4").tolist():
-            if self.is_control[i]:
-                n = 0
-            elif self.is_byte[i]:
-                n = 1
-            else:
-                n = len(self.segmenter.id_to_piece(i).encode())
-            out.append((int(at[pos]), int(at[pos + n])))
-            pos += n
-        return out
+        size = self.covers[np.frombuffer(ids, "<u4")]
+        upto = np.cumsum(size)
+        return at[upto - size], at[upto]
 
     def decode(self, ids: bytes) -> str:
         """As the library's decode(ids): the first piece loses its leading space; malformed byte runs give one
@@ -240,30 +239,48 @@ def codec(model: str = MODEL) -> PieceCodec:
     return _codecs[model]
 
 
+def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, parts)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts), kind))
+
+
+def _slices(column: pa.ListArray) -> list[np.ndarray]:
+    values, ends = column.values.to_numpy(), column.offsets.to_numpy().tolist()
+    return [values[a:b] for a, b in itertools.pairwise(ends)]
+
+
+def _digests(full: pa.RecordBatch, id_col: str) -> pa.RecordBatch:
+    """What is left of a batch of full output: counts and digests of its columns."""
+    ids, starts, ends = (_slices(full.column(k)) for k in (1, 2, 3))
+    sha = lambda parts: pa.array([hashlib.sha256(p).hexdigest() for p in parts], pa.string())
+    spans = (np.stack(s, axis=1).astype("<i8").tobytes() for s in zip(starts, ends, strict=True))
+    cols = [full.column(0), pa.array(map(len, ids), pa.int64()), sha(i.astype("<i4").tobytes() for i in ids), sha(spans), sha(t.encode() for t in full.column(4).to_pylist())]
+    return pa.RecordBatch.from_arrays(cols, names=[id_col, "n_tokens", "ids_sha256", "spans_sha256", "decoded_sha256"])
+
+
 def encode_documents(docs: DataFrame, model: str = MODEL, digest: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, ids array<int>, starts and ends array<long> (original byte spans of each id),
-    decoded text. With `digest`: id, n_tokens, ids_sha256, decoded_sha256, so that the long columns
-    need not leave the worker."""
+    decoded text. With `digest`: id, n_tokens, ids_sha256, spans_sha256 (start and end of each id in turn, as
+    little-endian longs), decoded_sha256, all taken from that output, so that the long columns need not leave the worker."""
     python_workers(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         c = codec(model)
         for batch in batches:
-            rows = []
-            for text, ids in c.encode(batch.column(1)):
-                back = c.decode(ids)
-                if digest:
-                    rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
-                else:
-                    spans = c.spans(text, ids)
-                    rows.append((np.frombuffer(ids, "<i4").tolist(), [s for s, _ in spans], [e for _, e in spans], back))
-            kinds = (pa.int64(), pa.string(), pa.string()) if digest else (pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string())
-            names = ("n_tokens", "ids_sha256", "decoded_sha256") if digest else ("ids", "starts", "ends", "decoded")
-            cols = zip(*rows, strict=True) if rows else [[] for _ in kinds]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(cols, kinds, strict=True))], names=[id_col, *names])
-
-    schema = f"`{id_col}` {id_type}, " + ("n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, starts array<bigint>, ends array<bigint>, decoded string")
+            rows, size, done = [], 0, 0
+            for k, (text, ids) in enumerate(c.encode(batch.column(1)), 1):
+                rows.append((np.frombuffer(ids, "<i4"), *c.bounds(text, ids), c.decode(ids)))
+                size += len(text)
+                if size < CHUNK_CHARS and k < batch.num_rows:
+                    continue
+                i, s, e, back = zip(*rows, strict=True)
+                cols = [batch.column(0).slice(done, k - done), _lists(i, pa.int32()), _lists(s, pa.int64()), _lists(e, pa.int64()), pa.array(back, pa.string())]
+                full = pa.RecordBatch.from_arrays(cols, names=[id_col, "ids", "starts", "ends", "decoded"])
+                yield _digests(full, id_col) if digest else full
+                rows, size, done = [], 0, k
+
+    schema = f"`{id_col}` {id_type}, " + ("n_tokens bigint, ids_sha256 string, spans_sha256 string, decoded_sha256 string" if digest else "ids array<int>, starts array<bigint>, ends array<bigint>, decoded string")
     return docs.select(id_col, docs[text_col].cast("string").alias("text")).mapInArrow(run, schema)
 
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import random
 import struct
 
@@ -95,3 +96,22 @@ def test_documents(spark, odd_docs, no_docs):
     assert encode_documents(no_docs).count() == 0
     short = encode_documents(odd_docs, digest=True).where("doc_id = 4").first()
     assert short.n_tokens == 2
+
+
+def test_spans_equal_the_library():
+    r, c = random.Random(3), codec()
+    assert c.is_byte[np.frombuffer(next(iter(c.encode(["ꙮ"])))[1], "<u4")].sum() == 3
+    for text, ids in c.encode(["".join(r.choice("ab \n▁éж日🎉ꙮ𝄞<>0x.s \t'") for _ in range(r.randrange(50))) for _ in range(2000)]):
+        want = [(p.begin, p.end) for p in LIB.encode(text, return_type="proto").pieces]
+        assert c.spans(text, ids)[1:-1] == want, repr(text)
+
+
+def test_the_query_takes_its_digests_from_the_full_output(spark, odd_docs):
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = sorted((str(r.doc_id), len(r.ids), sha(np.array(r.ids, "<i4").tobytes()), sha(np.array([*zip(r.starts, r.ends)], "<i8").tobytes()), sha(r.decoded.encode())) for r in encode_documents(odd_docs).collect())
+    got = encode_documents(odd_docs, digest=True)
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.spans_sha256, r.decoded_sha256) for r in got.collect()) == want
+    texts = {r.doc_id: r.text for r in odd_docs.collect()}
+    for r in encode_documents(odd_docs.where("doc_id IS NOT NULL")).collect():
+        raw = (texts[r.doc_id] or "").encode()
+        assert b"".join(raw[a:b] for a, b in zip(r.starts, r.ends)) == raw
