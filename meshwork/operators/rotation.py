@@ -97,7 +97,11 @@ def _occupant(side: str, positive: str, negative: str):
 
 
 def _is_invalid(att: DataFrame) -> DataFrame:
-    return att.withColumn("invalid", F.col("angle") == F.col("first_angle"))
+    """The reference at the source end of an edge that continues its ring is the ring's previous edge, else the node's first half-edge."""
+    p = F.col("prev_edge")
+    starts = (p["ax"] == F.col("x")) & (p["ay"] == F.col("y"))
+    back = F.atan2(F.when(starts, p["by"]).otherwise(p["ay"]) - F.col("y"), F.when(starts, p["bx"]).otherwise(p["ax"]) - F.col("x"))
+    return att.withColumn("invalid", F.col("angle") == F.when((F.col("n_sign") > 0) & p.isNotNull(), back).otherwise(F.col("first_angle")))
 
 
 def ring_intersections(att: DataFrame) -> DataFrame:
@@ -111,5 +115,5 @@ def ring_intersections(att: DataFrame) -> DataFrame:
 
 
 def invalid_angles(att: DataFrame) -> DataFrame:
-    """INVALID_ANGLE: a new half-edge in the very direction of its node's first one."""
+    """INVALID_ANGLE: a new half-edge in the very direction of its reference (see _is_invalid)."""
     return _is_invalid(att).where("invalid").select(F.col("created_key").alias("use_key"), "x", "y", F.abs("left_obj").alias("obj"), F.col("to_x").alias("tx"), F.col("to_y").alias("ty"), F.when(F.col("n_sign") < 0, 0).otherwise(1).alias("end_no"))

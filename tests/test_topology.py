@@ -81,6 +81,20 @@ def test_intersections_depend_on_the_order(spark):
     assert crossings(build(spark, [tilted], [A])[1]) == []
 
 
+def spikes(e):
+    return [(r.x, r.y, r.obj, r.tx, r.ty, r.end_no) for r in rotation.invalid_angles(rotation.attachments(rotation.half_edges(e))).collect()]
+
+
+def test_a_ring_that_doubles_back_has_an_invalid_angle(spark):
+    _, e = build(spark, [A], [[(5, 1), (1, 1), (3, 1), (3, 5)]])
+    assert spikes(e) == [(1, 1, 2, 3, 1, 1)]
+
+
+def test_an_edge_along_the_first_one_of_its_node_is_checked(spark):
+    _, e = build(spark, [A], [[(-5, -5), (0, 0), (3, 0), (3, -5)]])
+    assert spikes(e) == [] and [c[:3] for c in crossings(e)] == [(0, 0, 2)]
+
+
 @pytest.mark.parametrize(
     ("points", "detached", "invalid"),
     [
