@@ -1,7 +1,8 @@
 """License scans: phrase places and an exact set-similarity join of text blocks with templates (native).
 
 Blocks are windows of BLOCK words every BLOCK / 2 words, so any run of up to BLOCK / 2 + 1 words lies
-whole in one. A block meets a template when it holds at least THRESHOLD of the template's distinct words.
+whole in one. Templates of more words go by longer blocks: the least power of two that holds twice their words.
+A block meets a template when it holds at least THRESHOLD of the template's distinct words.
 
 1. Template words are counted over all documents; their rank by ascending frequency, then the word, is
    the global order. Words of no template cannot add to an overlap, so block sets keep template words only.
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import json
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,27 +96,33 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dict[s
     low = docs.select(F.col(id_col), F.xxhash64(text_col).alias("key"), lowered(F.col(text_col)).alias("low"))
     order = word_order(low, vocabulary)
     rank = {w: i for i, w in enumerate(order)}
-    index, rarest = [], set()
-    for label, words in sets.items():
-        ranks, need = sorted(rank[w] for w in words), math.ceil(threshold * len(words) - 1e-9)
-        index += [{"label": label, "i": i, "rank": ranks[i], "t": len(ranks), "need": need, "ranks": ranks} for i in range(len(ranks) - need + 1)]
-        rarest |= {order[r] for r in ranks[: len(ranks) - need + 1]}
-    indexed = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(index)), "array<struct<label string, i int, rank int, t int, need int, ranks array<int>>>")))
-
     words = low.withColumn("words", F.regexp_extract_all("low", F.lit(_WORD), F.lit(0)))
     documents = words.select(id_col, "key", F.size("words").cast("long").alias("n_words"), *[c.alias(k) for k, c in _base(F.col("low"), phrases).items()])
-    prefix = F.array(*[F.lit(w) for w in sorted(rarest)])
-    half = block // 2
-    hopeful = words.where(F.arrays_overlap("words", prefix)).select(id_col, "key", "words")
-    cut = hopeful.withColumn("start", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - half - 1), F.lit(half)))).select(id_col, "key", "start", F.slice("words", F.col("start") + 1, block).alias("words"))
-    cut = cut.where(F.arrays_overlap("words", prefix))
-    ordered = F.array(*[F.lit(w) for w in order])
-    ranked = cut.select(id_col, "key", "start", F.array_sort(F.transform(F.array_intersect("words", ordered), lambda w: (F.array_position(ordered, w) - 1).cast("int"))).alias("b"))
-    met = ranked.select(id_col, "key", "start", "b", F.posexplode("b").alias("j", "rank")).join(F.broadcast(indexed), "rank")
-    b = F.size("b")
-    met = met.where((b >= F.col("need")) & (1 + F.least(F.col("t") - F.col("i") - 1, b - F.col("j") - 1) >= F.col("need")))
-    common = F.size(F.array_intersect("b", "ranks"))
-    matches = met.where(common >= F.col("need")).select(id_col, "key", "label", "start", (common / F.col("t")).alias("containment")).distinct()
+
+    def meet(texts: DataFrame, labels: list[str], block: int) -> DataFrame:
+        index, rarest = [], set()
+        for label in labels:
+            words = sets[label]
+            ranks, need = sorted(rank[w] for w in words), math.ceil(threshold * len(words) - 1e-9)
+            index += [{"label": label, "i": i, "rank": ranks[i], "t": len(ranks), "need": need, "ranks": ranks} for i in range(len(ranks) - need + 1)]
+            rarest |= {order[r] for r in ranks[: len(ranks) - need + 1]}
+        indexed = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(index)), "array<struct<label string, i int, rank int, t int, need int, ranks array<int>>>")))
+        prefix = F.array(*[F.lit(w) for w in sorted(rarest)])
+        half = block // 2
+        hopeful = texts.where(F.arrays_overlap("words", prefix)).select(id_col, "key", "words")
+        cut = hopeful.withColumn("start", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - half - 1), F.lit(half)))).select(id_col, "key", "start", F.slice("words", F.col("start") + 1, block).alias("words"))
+        cut = cut.where(F.arrays_overlap("words", prefix))
+        ordered = F.array(*[F.lit(w) for w in order])
+        ranked = cut.select(id_col, "key", "start", F.array_sort(F.transform(F.array_intersect("words", ordered), lambda w: (F.array_position(ordered, w) - 1).cast("int"))).alias("b"))
+        met = ranked.select(id_col, "key", "start", "b", F.posexplode("b").alias("j", "rank")).join(F.broadcast(indexed), "rank")
+        b = F.size("b")
+        met = met.where((b >= F.col("need")) & (1 + F.least(F.col("t") - F.col("i") - 1, b - F.col("j") - 1) >= F.col("need")))
+        common = F.size(F.array_intersect("b", "ranks"))
+        return met.where(common >= F.col("need")).select(id_col, "key", "label", "start", (common / F.col("t")).alias("containment")).distinct()
+
+    need = {label: len(text.split()) for label, text in templates.items()}
+    sizes = {label: block if n <= block // 2 + 1 else 1 << (2 * n - 1).bit_length() for label, n in need.items()}
+    matches = reduce(DataFrame.unionByName, [meet(words, [k for k, n in sizes.items() if n == size], size) for size in sorted(set(sizes.values()) or {block})])
     return documents, matches
 
 

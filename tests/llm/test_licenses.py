@@ -3,7 +3,7 @@ from __future__ import annotations
 import math
 import re
 
-from meshwork.llm.licenses import BLOCK, PHRASES, TEMPLATES, THRESHOLD, label_documents
+from meshwork.llm.licenses import BLOCK, PHRASES, TEMPLATES, THRESHOLD, label_documents, scan
 
 from .conftest import prose
 
@@ -44,3 +44,11 @@ def test_against_brute_force(spark, odd_docs, no_docs):
 def test_no_python_in_the_plan(spark, odd_docs):
     plan = label_documents(odd_docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_long_templates_are_met(spark):
+    long, half = " ".join(f"clause{i}" for i in range(200)), " ".join(f"term{i}" for i in range(40))
+    texts = [prose(1, 100) + " " + long + " " + prose(2, 100), *(prose(3, n) + " " + half + " " + prose(4, 90) for n in (0, 28, 40)), prose(5, 400) + " " + TEMPLATES["notice-mit"], " ".join(long.split()[:150])]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    _, matches = scan(docs, templates=TEMPLATES | {"long": long, "half": half})
+    assert {(r.doc_id, r.label) for r in matches.collect()} == {(0, "long"), (1, "half"), (2, "half"), (3, "half"), (4, "notice-mit")}
