@@ -11,7 +11,8 @@ third of all records hold crosses the network once per task.
 Defined cases: null html is an empty payload; null url is an empty target URI; rows that repeat a page_id
 and its html are records of their own, all `response` if they hold the smallest page_id; a null
 page_id is a record whose Record-ID ends in `null`, and a payload that only such records hold has
-them all as `response`; an empty table gives an empty archive; other columns are ignored.
+them all as `response`; pages carry no time of capture, so all records of an archive have the one WARC-Date that is
+given; an empty table gives an empty archive; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ from pyspark.sql import functions as F
 from .common import shared_dir, table
 
 MIN_REVISIT_BYTES = 100
+DATE = "1970-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def _header(is_revisit: Column) -> Column:
+def _header(is_revisit: Column, date: str) -> Column:
     uri = F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), "[\\r\\n]", " ")
     rid = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     line = lambda k, v: F.concat(F.lit(f"{k}: "), v, F.lit("\r\n"))
@@ -33,6 +35,7 @@ def _header(is_revisit: Column) -> Column:
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.when(is_revisit, F.lit("revisit")).otherwise(F.lit("response"))),
         line("WARC-Record-ID", rid(F.col("page_id"))),
+        line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", uri),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         F.when(is_revisit, F.concat(line("WARC-Profile", F.lit(_PROFILE)), line("WARC-Refers-To", rid(F.col("first_id"))))).otherwise(F.lit("")),
@@ -42,8 +45,8 @@ def _header(is_revisit: Column) -> Column:
     )
 
 
-def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES) -> None:
-    """Write `pages` (page_id, url, html) below `path` as payloads/ and headers/."""
+def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES, date: str = DATE) -> None:
+    """Write `pages` (page_id, url, html) below `path` as payloads/ and headers/; `date` as WARC has it (UTC, ISO 8601)."""
     spark = pages.sparkSession
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
     records = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
@@ -52,7 +55,7 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTE
     index = spark.read.parquet(f"{path}/payloads").select("digest", "first_id", "payload_bytes")
     light = pages.select("page_id", "url", F.sha2(payload, 256).alias("digest")).join(index, "digest")
     revisit = (F.col("payload_bytes") >= min_bytes) & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    light.select("page_id", "digest", F.encode(_header(revisit), "UTF-8").alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
+    light.select("page_id", "digest", F.encode(_header(revisit, date), "UTF-8").alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
@@ -73,18 +76,22 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op4_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With record_sha256, the digest of each original record as rebuilt from header and payload."""
     path = shared_dir(spark, "warc")
     write_archive(table(spark, sf_dir, "pages"), path)
-    return read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
-
-
-OP4_SQL = """
-WITH r AS (SELECT page_id, encode(coalesce(html, '')) AS p FROM pages),
-d AS (SELECT page_id, octet_length(p)::BIGINT AS payload_bytes, sha256(p) AS payload_digest,
-             min(page_id) OVER (PARTITION BY sha256(p)) AS first_id FROM r)
-SELECT page_id, payload_bytes, payload_digest,
-       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to,
-       true AS verified
-FROM d
+    return read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified", F.sha2("record", 256).alias("record_sha256"))
+
+
+OP4_SQL = rf"""
+WITH r AS (SELECT page_id, regexp_replace(coalesce(url, ''), '[\r\n]', ' ', 'g') AS uri, encode(coalesce(html, '')) AS p FROM pages),
+d AS (SELECT *, octet_length(p)::BIGINT AS payload_bytes, sha256(p) AS payload_digest,
+             min(page_id) OVER (PARTITION BY sha256(p)) AS first_id, chr(13) || chr(10) AS nl FROM r),
+k AS (SELECT *, payload_bytes >= {MIN_REVISIT_BYTES} AND page_id <> first_id AS again FROM d),
+h AS (SELECT *, 'WARC/1.1' || nl || 'WARC-Type: ' || CASE WHEN again THEN 'revisit' ELSE 'response' END || nl || 'WARC-Record-ID: <urn:page:' || page_id || '>' || nl
+        || 'WARC-Date: {DATE}' || nl || 'WARC-Target-URI: ' || uri || nl || 'WARC-Payload-Digest: sha256:' || payload_digest || nl
+        || CASE WHEN again THEN 'WARC-Profile: {_PROFILE}' || nl || 'WARC-Refers-To: <urn:page:' || first_id || '>' || nl ELSE '' END
+        || 'Content-Type: text/html; charset=utf-8' || nl || 'Content-Length: ' || CASE WHEN again THEN 0 ELSE payload_bytes END || nl || nl AS header FROM k)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first_id END AS refers_to,
+       true AS verified, sha256(encode(header) || CASE WHEN again THEN ''::BLOB ELSE p END || encode(nl || nl)) AS record_sha256
+FROM h
 """

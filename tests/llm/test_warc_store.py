@@ -5,7 +5,7 @@ import hashlib
 from meshwork.llm.common import shared_dir
 from meshwork.llm.warc_store import read_archive, write_archive
 
-ROWS = [(1, "http://a\r\nX: y", "p" * 200), (2, "http://b", "p" * 200), (3, None, "short"), (4, "http://d", "short"), (5, "u", None), (6, "u", ""), (7, "u", "é" * 50), (9, "u", "é" * 50), (8, "u", "é" * 50), (7, "u", "é" * 50), (None, "n", "p" * 200), (None, "n", "q" * 300)]
+ROWS = [(1, "http://a\r\nX: y", "p" * 200), (2, "http://b", "p" * 200), (3, None, "short"), (4, "http://d", "short"), (5, "u", None), (6, "u", ""), (7, "u", "é" * 50), (9, "u", "é" * 50), (8, "u", "é" * 50), (7, "u", "é" * 50), (None, "n", "p" * 200), (None, "n", "q" * 300), (20, "long", "\x00é\r\n\r\n" * 300_000), (21, "long", "\x00é\r\n\r\n" * 300_000)]
 
 
 def test_records_come_back_whole(spark):
@@ -26,7 +26,7 @@ def test_records_come_back_whole(spark):
         assert r.record_type == ("revisit" if revisit else "response")
         assert r.refers_to == (first if revisit else None)
         head, _, rest = bytes(r.record).partition(b"\r\n\r\n")
-        assert head.startswith(b"WARC/1.1\r\n")
+        assert head.startswith(b"WARC/1.1\r\n") and b"\r\nWARC-Date: 1970-01-01T00:00:00Z\r\n" in head
         block = b"" if revisit else payload
         assert rest == block + b"\r\n\r\n" and f"Content-Length: {len(block)}".encode() in head
     stored = spark.read.parquet(f"{path}/payloads")
