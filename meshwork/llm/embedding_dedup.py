@@ -5,19 +5,23 @@
    by hash): the centred sample is rotated from a random start, and code and rotation are fitted in turn. A rotation gives as
    many bits as dimensions; several, each from its own start and half of the sample, give the full code. Codes are signs of the
    rotated vectors themselves: less their mean, a pair would be at a wider angle than the threshold's, without any bound.
+   Vectors of a length too rare in the sample, or too long, to learn a rotation for have bits of random hyperplanes.
 3. The code is cut into substrings, one Hamming table each; vectors meet where a substring is equal. A substring has
    log2(classes) + 2 bits, so a bucket of unrelated vectors stays small at any size (unless the vectors share a strong common
-   direction: then unrelated ones meet too, which costs time but no links), and there are as many tables as
-   bring two vectors at the threshold together with probability RECALL: (1 - (1 - angle / pi)**bits)**tables.
-4. What meets is reranked with the original vectors in double precision. A pair counts in the first of its tables only, so no
-   list of pairs is ever shuffled. Buckets are split into blocks of BLOCK rows and compared block by block: no group
-   is larger than two blocks, and a bucket gives one row per linked vector, not per pair.
-5. Linked vectors of a bucket point to their smallest fellow; components are taken over these edges.
-
-Defined cases: vectors that are null, zero, hold null or non-finite components, or have another length than most of the sample
-link with nothing (n_links 0, their own component, kept); rows with a null vec_id link with nothing, have no component and
-are kept; each repeated row is one more vector for its fellows' n_links; an empty table gives an
-empty result; labels and other columns are ignored.
+   direction: then unrelated ones meet too, which costs time but no links). The number of tables is measured: sample vectors get
+   partners at the threshold's angle, in random directions and in directions to other vectors, and tables are added until
+   the share RECALL of these pairs meets in one (and at least as many as random hyperplanes would need).
+4. What meets is compared by the Hamming distance of whole codes first. The radius is measured on the same pairs: beyond all of them
+   and eight standard deviations beyond their mean. Only codes travel so far; a pair counts in the first of its tables only,
+   and rows without a pair that is left are dropped before any vector is fetched.
+5. The rest is reranked with the original vectors in double precision. Buckets are split into blocks of BLOCK rows and compared block
+   by block in tiles: no group is larger than two blocks, no list of pairs leaves a task, and a bucket gives one row per linked vector.
+6. Linked vectors of a bucket point to their smallest fellow; components are taken over these edges.
+
+Defined cases: vectors that are null, empty, zero or hold null or non-finite components
+link with nothing (n_links 0, their own component, kept); vectors link with vectors of their own length only; rows with a null
+vec_id link with nothing, have no component and are kept; each repeated row is one more vector for its fellows' n_links; very
+large and very small components are scaled first; an empty table gives an empty result; labels and other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,102 +42,237 @@ from .components import connected_components
 COSINE = 0.95
 RECALL = 0.999
 FIT_ROWS = 8000
+#: Learnt on: lengths of at most this many components, with this share of the sample.
+LEARN_LENGTH, LEARN_SHARE = 4096, 0.01
 ITERATIONS = 25
-BLOCK = 512
-GROUP_ROWS = 6_000
+#: Rows of a block and of a group of blocks, for vectors of up to some 2,000 components; GROUP_BYTES holds them down for longer ones.
+BLOCK = 4096
+GROUP_ROWS = 30_000
+GROUP_BYTES = 64 << 20
+TILE = 512
+SMALL = 32
 MAX_BITS = 28
 
 
-def vectors(column: pa.Array) -> list[np.ndarray | None]:
-    """Each row's vector as float64, None where it cannot link."""
-    out = []
-    for v in column:
-        x = None if not v.is_valid else np.array([np.nan if c is None else c for c in v.as_py()], np.float64)
-        with np.errstate(over="ignore"):
-            out.append(x if x is not None and len(x) and np.isfinite(x).all() and x.any() and np.isfinite(x @ x) and x @ x > 0 else None)
-    return out
-
-
 def unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(axis=-1, keepdims=True)
     return x / np.linalg.norm(x, axis=-1, keepdims=True)
 
 
-def fit_rotations(sample: np.ndarray, bits: int, seed: int = 5) -> np.ndarray:
-    """Projections [dimensions, >= bits]. Each rotation minimises |sign(VR) - VR| over its half of the centred sample."""
-    rng = np.random.default_rng(seed)
-    mean, d, out = sample.mean(axis=0), sample.shape[1], []
-    while len(out) * d < bits:
-        part = sample[rng.permutation(len(sample))[: max(d, len(sample) // 2)]] - mean
-        rotation = np.linalg.qr(rng.normal(size=(d, d)))[0]
-        for _ in range(ITERATIONS):
-            u, _, vt = np.linalg.svd(np.where(part @ rotation >= 0, 1.0, -1.0).T @ part)
-            rotation = (u @ vt).T
-        out.append(rotation)
-    return np.concatenate(out, axis=1)
+def vectors(column: pa.ListArray):
+    """(rows, matrix) of the vectors of each length that can link."""
+    at, ok = column.offsets.to_numpy(), column.is_valid().to_numpy(zero_copy_only=False)
+    values = column.values.cast(pa.float64()).fill_null(math.nan).to_numpy()
+    size = np.where(ok, np.diff(at), 0)
+    for n in np.unique(size[size > 0]).tolist():
+        rows = np.flatnonzero(size == n)
+        x = values[at[rows][:, None] + np.arange(n)]
+        good = np.isfinite(x).all(axis=1) & x.any(axis=1)
+        if good.any():
+            yield rows[good], x[good]
+
+
+def fit_rotation(sample: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A rotation that minimises |sign(VR) - VR| over half of the centred sample V, from a random start."""
+    d = sample.shape[1]
+    part = sample[rng.permutation(len(sample))[: max(d, len(sample) // 2)]]
+    part = part - part.mean(axis=0)
+    rotation = np.linalg.qr(rng.normal(size=(d, d)))[0]
+    for _ in range(ITERATIONS):
+        u, _, vt = np.linalg.svd(np.where(part @ rotation >= 0, 1.0, -1.0).T @ part)
+        rotation = (u @ vt).T
+    return rotation
 
 
 def tables_for(classes: int, cosine: float = COSINE, recall: float = RECALL) -> tuple[int, int]:
-    """(bits of a substring, tables)."""
+    """(bits of a substring, tables) that bits of random hyperplanes need."""
     bits = min(MAX_BITS, max(8, math.ceil(math.log2(max(2, classes))) + 2))
     same = (1 - math.acos(cosine) / math.pi) ** bits
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - same))
 
 
-def substrings(x: np.ndarray, projections: np.ndarray, bits: int, tables: int) -> np.ndarray:
-    on = (x @ projections >= 0)[:, : bits * tables].reshape(len(x), tables, bits)
-    return on @ (1 << np.arange(bits, dtype=np.int64))
+def partners(x: np.ndarray, cosine: float, rng: np.random.Generator) -> np.ndarray:
+    """For each unit vector one at just that cosine: every other one in a random direction, the rest towards another vector."""
+    away = np.where(np.arange(len(x))[:, None] % 2 == 0, rng.normal(size=x.shape), x[rng.permutation(len(x))])
+    away -= (away * x).sum(axis=1, keepdims=True) * x
+    size = np.linalg.norm(away, axis=1, keepdims=True)
+    away = np.where(size > 1e-6, away / np.maximum(size, 1e-6), 0.0)
+    return cosine * x + math.sqrt(1 - cosine**2) * away
+
+
+@dataclass
+class Codes:
+    """Learnt projections by vector length, and what all lengths have in common."""
+
+    bits: int
+    tables: int
+    radius: int
+    learnt: dict[int, np.ndarray]
+
+    def signs(self, x: np.ndarray) -> np.ndarray:
+        """[vectors, bits * tables] booleans."""
+        d, n = x.shape[1], self.bits * self.tables
+        if d in self.learnt:
+            return (x @ self.learnt[d] >= 0)[:, :n]
+        out = np.zeros((len(x), n), bool)
+        for a in range(0, n, 64):
+            out[:, a : a + 64] = (x @ np.random.default_rng([d, a]).normal(size=(d, 64)) >= 0)[:, : n - a]
+        return out
+
+    def substrings(self, signs: np.ndarray) -> np.ndarray:
+        return signs.reshape(len(signs), self.tables, self.bits) @ (1 << np.arange(self.bits, dtype=np.int64))
+
+    def pack(self, signs: np.ndarray) -> np.ndarray:
+        """Codes as whole 64-bit words."""
+        wide = np.zeros((len(signs), -(-signs.shape[1] // 64) * 64), bool)
+        wide[:, : signs.shape[1]] = signs
+        return np.packbits(wide, axis=1, bitorder="little").view("<u8")
+
+    def unpack(self, words: np.ndarray) -> np.ndarray:
+        return np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")[:, : self.bits * self.tables].astype(bool)
+
+
+def learn(samples: dict[int, np.ndarray], classes: int, cosine: float = COSINE, recall: float = RECALL, seed: int = 5) -> Codes:
+    """Codes from samples of unit vectors by length. Tables are added until `recall` of the measured pairs meets, up to three times what random
+    hyperplanes need."""
+    rng = np.random.default_rng(seed)
+    bits, least = tables_for(classes, cosine, recall)
+    tables, p = least, math.acos(cosine) / math.pi
+    learnt, pairs = {d: np.zeros((d, 0)) for d in samples}, {d: (x, partners(x, cosine, rng)) for d, x in samples.items()}
+    differ = {d: np.zeros((len(x), 0), bool) for d, x in samples.items()}
+    for d, (x, y) in pairs.items():
+        while True:
+            while learnt[d].shape[1] < bits * tables:
+                turn = fit_rotation(x, rng)
+                learnt[d] = np.concatenate([learnt[d], turn], axis=1)
+                differ[d] = np.concatenate([differ[d], (x @ turn >= 0) != (y @ turn >= 0)], axis=1)
+            meet = ~differ[d][:, : bits * tables].reshape(len(x), tables, bits).any(axis=2)
+            if meet.any(axis=1).mean() >= recall or tables >= 3 * least:
+                break
+            tables += max(1, least // 8)
+    n = bits * tables
+    radius = n * p + 8 * math.sqrt(n * p * (1 - p))
+    for d, (x, _) in pairs.items():
+        while learnt[d].shape[1] < n:
+            learnt[d] = np.concatenate([learnt[d], fit_rotation(x, rng)], axis=1)
+        far = (((pairs[d][0] @ learnt[d]) >= 0) != ((pairs[d][1] @ learnt[d]) >= 0))[:, :n].sum(axis=1)
+        radius = max(radius, far.max(), far.mean() + 8 * far.std())
+    return Codes(bits, tables, math.ceil(radius), learnt)
 
 
-def _components(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """The smallest id that each row reaches within the block."""
-    label = ids.copy()
+def _labels(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The smallest index that each of n points reaches over the edges (u, v)."""
+    label = np.arange(n)
     while True:
-        new = np.minimum(label, np.where(linked, label[None, :], np.iinfo(np.int64).max).min(axis=1))
+        new = label.copy()
+        np.minimum.at(new, u, label[v])
+        np.minimum.at(new, v, label[u])
+        new = np.minimum(new, new[new])
         if (new == label).all():
             return label
         label = new
 
 
-def link_group(t: pa.Table, cosine: float) -> pa.Table:
-    """Rows (table_no, key, lo, hi, side, node, copies, unit, keys) of many block pairs -> (node, links, root) of what is linked."""
-    n = t.num_rows
-    col = {k: t[k].to_numpy() for k in ("table_no", "key", "lo", "hi", "block", "node", "copies")}
-    order = np.lexsort((col["hi"], col["lo"], col["key"], col["table_no"]))
-    change = np.zeros(n, bool)
-    change[0] = True
-    for k in ("table_no", "key", "lo", "hi"):
-        c = col[k][order]
-        change[1:] |= c[1:] != c[:-1]
-    at = np.flatnonzero(change)
-    raw, keys, out = t["unit"], t["keys"], []
-    x_all = np.frombuffer(b"".join(raw.to_pylist()), np.float64).reshape(n, -1)
-    k_all = np.frombuffer(b"".join(keys.to_pylist()), "<i4").reshape(n, -1)
-    for a, b in zip(at.tolist(), [*at[1:].tolist(), n], strict=True):
-        if b - a < 2:
-            continue
-        rows = order[a:b]
-        x, first = x_all[rows], rows[0]
-        linked = x @ x.T >= cosine
-        np.fill_diagonal(linked, False)
-        lo, hi = col["lo"][first], col["hi"][first]
-        if lo != hi:
-            side = col["block"][rows] == lo
-            linked &= side[:, None] != side[None, :]
-        if not linked.any():
+class Compared:
+    """Rows (slot, lo, hi, block, node, code, and copies and unit for reranking) of many block pairs, sorted into groups."""
+
+    def __init__(self, t: pa.Table, codes: Codes, cosine: float | None):
+        self.codes, self.cosine = codes, cosine
+        self.words = np.frombuffer(b"".join(t["code"].to_pylist()), "<u8").reshape(t.num_rows, -1)
+        self.keys = codes.substrings(codes.unpack(self.words)).astype(np.int32)
+        self.slot, self.lo, self.hi, self.block = (t[k].to_numpy() for k in ("slot", "lo", "hi", "block"))
+        self.table_no = (self.slot >> 28 & 1023).astype(np.int64)
+        if cosine is not None:
+            raw = t["unit"].to_pylist()
+            self.size = np.array([len(r) for r in raw])
+            self.raw = raw
+        order = np.lexsort((self.block, self.hi, self.lo, self.slot))
+        change = np.ones(t.num_rows, bool)
+        for c in (self.slot, self.lo, self.hi):
+            change[1:] &= c[order][1:] == c[order][:-1]
+        change[1:] = ~change[1:]
+        first = np.flatnonzero(change)
+        self.order, self.first, self.count = order, first, np.diff(np.append(first, t.num_rows))
+
+    def _near(self, i: np.ndarray, j: np.ndarray, fresh: bool) -> np.ndarray:
+        """Which pairs are within the radius, met in no earlier table (`fresh` if that is known) and, in reranking, reach the cosine."""
+        ok = np.zeros(len(i), bool)
+        for a in range(0, len(i), 1 << 14):
+            p, q = i[a : a + (1 << 14)], j[a : a + (1 << 14)]
+            k = np.flatnonzero(np.bitwise_count(self.words[p] ^ self.words[q]).sum(axis=1, dtype=np.int64) <= self.codes.radius)
+            if not fresh and len(k):
+                same = self.keys[p[k]] == self.keys[q[k]]
+                k = k[~(same & (np.arange(self.keys.shape[1]) < self.table_no[p[k]][:, None])).any(axis=1)]
+            if self.cosine is not None and len(k):
+                for n in np.unique(self.size[p[k]]):
+                    m = k[self.size[p[k]] == n]
+                    x, y = (np.frombuffer(b"".join([self.raw[r] for r in rows[m]]), np.float64).reshape(len(m), -1) for rows in (p, q))
+                    ok[a + m[(x * y).sum(axis=1) >= self.cosine]] = True
+            else:
+                ok[a + k] = True
+        return ok
+
+    def _tile(self, a: np.ndarray, b: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+        fresh = np.ones((len(a), len(b)), bool)
+        if same:
+            fresh = np.triu(fresh, 1)
+        for k in range(self.table_no[a[0]]):
+            fresh &= self.keys[a, k][:, None] != self.keys[b, k]
+            if k % 4 == 3 and not fresh.any():
+                break
+        i, j = np.nonzero(fresh)
+        i, j = a[i], b[j]
+        ok = self._near(i, j, True)
+        return i[ok], j[ok]
+
+    def pairs(self):
+        """(i, j) row numbers of pairs that are left, in bounded parts."""
+        alone = self.lo[self.order[self.first]] == self.hi[self.order[self.first]]
+        for s in range(2, SMALL + 1):
+            at = self.first[alone & (self.count == s)]
+            u, v = np.triu_indices(s, 1)
+            step = max(1, (1 << 16) // len(u))
+            for a in range(0, len(at), step):
+                rows = self.order[at[a : a + step][:, None] + np.arange(s)]
+                i, j = rows[:, u].ravel(), rows[:, v].ravel()
+                ok = self._near(i, j, False)
+                yield i[ok], j[ok]
+        for at, n, one in zip(self.first.tolist(), self.count.tolist(), alone.tolist(), strict=True):
+            if one and n <= SMALL:
+                continue
+            rows = self.order[at : at + n]
+            left = rows if one else rows[self.block[rows] == self.lo[rows[0]]]
+            right = rows if one else rows[self.block[rows] == self.hi[rows[0]]]
+            for a in range(0, len(left), TILE):
+                for b in range(a if one else 0, len(right), TILE):
+                    yield self._tile(left[a : a + TILE], right[b : b + TILE], one and a == b)
+
+
+def near_codes(t: pa.Table, codes: Codes) -> pa.Table:
+    """The rows that have a pair within the Hamming radius which met in no earlier table."""
+    some = np.zeros(t.num_rows, bool)
+    for i, j in Compared(t, codes, None).pairs():
+        some[i] = some[j] = True
+    return t.filter(pa.array(some))
+
+
+def link_group(t: pa.Table, codes: Codes, cosine: float) -> pa.Table:
+    """Rows of many block pairs -> (node, links, root) of what is linked."""
+    node, copies = t["node"].to_numpy(), t["copies"].to_numpy()
+    ids, at = np.unique(node, return_inverse=True)
+    links, edges = np.zeros(len(ids), np.int64), []
+    for i, j in Compared(t, codes, cosine).pairs():
+        if not len(i):
             continue
-        earlier = k_all[rows, : col["table_no"][first]]
-        i, j = np.nonzero(linked)
-        counted = np.zeros(len(rows), np.int64)
-        for s in range(0, len(i), 1 << 14):
-            p, q = i[s : s + (1 << 14)], j[s : s + (1 << 14)]
-            new = ~(earlier[p] == earlier[q]).any(axis=1)
-            np.add.at(counted, p[new], col["copies"][rows[q[new]]])
-        node = col["node"][rows]
-        some = linked.any(axis=1)
-        out.append((node[some], counted[some], _components(linked, node)[some]))
-    parts = [np.concatenate(c) if out else np.zeros(0, np.int64) for c in (zip(*out, strict=True) if out else ((), (), ()))]
-    return pa.table({k: pa.array(v, pa.int64()) for k, v in zip(("node", "links", "root"), parts, strict=True)})
+        np.add.at(links, at[i], copies[j])
+        np.add.at(links, at[j], copies[i])
+        u, v = at[i], at[j]
+        root = _labels(len(ids), u, v) if len(u) > len(ids) else None
+        edges.append((u, v) if root is None else (np.flatnonzero(root != np.arange(len(ids))), root[root != np.arange(len(ids))]))
+    some = np.flatnonzero(links)
+    u, v = (np.concatenate(c) for c in zip(*edges, strict=True)) if edges else (some, some)
+    root = ids[_labels(len(ids), u, v)]
+    return pa.table({"node": pa.array(ids[some], pa.int64()), "links": pa.array(links[some], pa.int64()), "root": pa.array(root[some], pa.int64())})
 
 
 def near_vectors(embeddings: DataFrame, cosine: float = COSINE, recall: float = RECALL, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -142,42 +282,55 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE, recall: float =
 
     def prepare(batches):
         for b in batches:
-            found = vectors(b.column(1))
-            raws = [None if x is None or not i.is_valid else unit(x).tobytes() for x, i in zip(found, b.column(0), strict=True)]
-            digests = [None if r is None else hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x, r in zip(found, raws, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(raws, pa.binary())], names=["vec_id", "digest", "unit"])
+            digests, units = [None] * b.num_rows, [None] * b.num_rows
+            named = b.column(0).is_valid().to_pylist()
+            for rows, x in vectors(b.column(1)):
+                for r, own, one in zip(rows.tolist(), x, unit(x), strict=True):
+                    if named[r]:
+                        digests[r], units[r] = hashlib.blake2b(own.tobytes(), digest_size=16).digest(), one.tobytes()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(units, pa.binary())], names=["vec_id", "digest", "unit"])
 
     rows = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v")).mapInArrow(prepare, "vec_id bigint, digest binary, unit binary")
     rows = materialise(rows, "vectors")
     classes = materialise(rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("unit").alias("unit")), "vector-classes")
-    n = classes.count()
+    n, size = classes.agg(F.count("*"), F.coalesce(F.avg(F.octet_length("unit")), F.lit(1.0))).first()
+    block, group_rows = (max(2, min(most, int(GROUP_BYTES / size))) for most in (BLOCK, GROUP_ROWS))
     every = max(1, -(-n // FIT_ROWS))
-    sample = [bytes(r[0]) for r in classes.where(F.pmod(F.xxhash64("digest"), F.lit(every)) == 0).select("unit").limit(2 * FIT_ROWS).collect()]
-    size = Counter(map(len, sample)).most_common(1)[0][0] if sample else 8
-    if not sample and n:
-        size = len(classes.first()["unit"])
-    bits, tables = tables_for(n, cosine, recall)
-    fit_on = np.frombuffer(b"".join(s for s in sample if len(s) == size) or np.ones(size // 8).tobytes(), np.float64).reshape(-1, size // 8)
-    projections = fit_rotations(fit_on, bits * tables)
+    # The limit bounds what a skewed hash could bring; lengths beyond LEARN_LENGTH are not learnt on.
+    sample = [bytes(r[0]) for r in classes.where((F.pmod(F.xxhash64("digest"), F.lit(every)) == 0) & (F.octet_length("unit") <= 8 * LEARN_LENGTH)).select("unit").limit(2 * FIT_ROWS).collect()]
+    common = [size for size, k in Counter(map(len, sample)).items() if k >= max(2, LEARN_SHARE * len(sample))]
+    codes = learn({size // 8: np.frombuffer(b"".join(s for s in sample if len(s) == size), np.float64).reshape(-1, size // 8) for size in common}, n, cosine, recall)
 
     def code(batches):
         for b in batches:
-            x = np.frombuffer(b"".join(b.column(2).to_pylist()), np.float64).reshape(b.num_rows, size // 8)
-            keys = substrings(x, projections, bits, tables).astype("<i8")
-            ends = np.arange(b.num_rows + 1, dtype=np.int32) * tables
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(3)), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1))), pa.array([k.astype("<i4").tobytes() for k in keys], pa.binary())], names=["node", "copies", "unit", "substrings", "keys"])
-
-    usable = classes.where(F.octet_length("unit") == size).select("node", "copies", "unit")
-    coded = materialise(usable.mapInArrow(code, "node bigint, copies bigint, unit binary, substrings array<bigint>, keys binary"), "vector-codes")
-    slots = coded.select("node", F.posexplode("substrings").alias("table_no", "key"))
-    shared = slots.groupBy("table_no", "key").agg(F.count("*").alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / BLOCK)
-    placed = slots.join(shared, ["table_no", "key"]).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("table_no", F.col("key"), "node", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+            raw = b.column(2).to_pylist()
+            size = np.array([len(r) for r in raw])
+            words, slots = np.zeros((b.num_rows, -(-codes.bits * codes.tables // 64)), "<u8"), np.zeros((b.num_rows, codes.tables), np.int64)
+            for k in np.unique(size):
+                at = np.flatnonzero(size == k)
+                signs = codes.signs(np.frombuffer(b"".join([raw[i] for i in at]), np.float64).reshape(len(at), -1))
+                words[at] = codes.pack(signs)
+                # A slot is the length, the table and the substring.
+                slots[at] = (int(k) // 8 & 0x1FFFFFF) << 38 | np.arange(codes.tables) << 28 | codes.substrings(signs)
+            ends = np.arange(b.num_rows + 1, dtype=np.int32) * codes.tables
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(3)), pa.ListArray.from_arrays(pa.array(ends), pa.array(slots.reshape(-1))), pa.array([w.tobytes() for w in words], pa.binary())], names=["node", "copies", "unit", "slots", "code"])
+
+    coded = materialise(classes.select("node", "copies", "unit").mapInArrow(code, "node bigint, copies bigint, unit binary, slots array<bigint>, code binary"), "vector-codes")
+    slots = coded.select("node", F.explode("slots").alias("slot"))
+    shared = slots.groupBy("slot").agg(F.count("*").alias("n")).where("n > 1")
+    placed = slots.join(shared, "slot").withColumn("blocks", F.ceil(F.col("n") / block)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("slot", "node", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     dealt = materialise(dealt, "vector-slots")
-    groups = max(1, -(-dealt.count() // GROUP_ROWS))
-    full = dealt.join(coded.select("node", "copies", "unit", "keys"), "node").withColumn("g", F.pmod(F.xxhash64("table_no", "key", "lo", "hi"), F.lit(groups)))
-    found = materialise(full.groupBy("g").applyInArrow(lambda t: link_group(t, cosine), "node bigint, links bigint, root bigint"), "vector-links")
+
+    def grouped(df: DataFrame, count: int) -> DataFrame:
+        return df.withColumn("g", F.pmod(F.xxhash64("slot", "lo", "hi"), F.lit(max(1, -(-count // group_rows))))).groupBy("g")
+
+    schema = "slot bigint, node bigint, block bigint, lo bigint, hi bigint, code binary"
+    names = [c.split()[0] for c in schema.split(", ")]
+    met = grouped(dealt.join(coded.select("node", "code"), "node").select(names), dealt.count())
+    near = materialise(met.applyInArrow(lambda t: near_codes(t.select(names), codes), schema), "vector-near")
+    full = grouped(near.join(coded.select("node", "copies", "unit"), "node"), near.count())
+    found = materialise(full.applyInArrow(lambda t: link_group(t, codes, cosine), "node bigint, links bigint, root bigint"), "vector-links")
     comps = connected_components(found.select(F.col("node").alias("u"), F.col("root").alias("v")), "vector-components")
     totals = found.groupBy("node").agg(F.sum("links").alias("links"))
     per_class = classes.select("digest", "node", "copies").join(totals, "node", "left").join(comps, "node", "left")

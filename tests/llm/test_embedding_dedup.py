@@ -4,7 +4,7 @@ import math
 
 import numpy as np
 from meshwork.llm import embedding_dedup
-from meshwork.llm.embedding_dedup import near_vectors, tables_for
+from meshwork.llm.embedding_dedup import learn, near_vectors, op1_itq_embedding_dedup, partners, tables_for, unit
 
 
 def brute(rows):
@@ -21,6 +21,8 @@ def brute(rows):
 
 def test_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 20)
+    monkeypatch.setattr(embedding_dedup, "TILE", 8)
+    monkeypatch.setattr(embedding_dedup, "SMALL", 6)
     monkeypatch.setattr(embedding_dedup, "GROUP_ROWS", 200)
     r, rows = np.random.default_rng(2), []
     for c in range(40):
@@ -74,3 +76,44 @@ def test_recall_with_a_large_common_mean(spark):
     got = {q.vec_id: q.n_links for q in near_vectors(df).collect()}
     assert all(got[i] <= near[i].sum() for i in got)
     assert sum(got.values()) >= 0.99 * near.sum() >= 0.99 * 2 * n
+
+
+def test_learnt_codes_reach_the_recall_on_other_vectors():
+    """Tables and radius are measured on one sample and hold on another, with and without a common direction."""
+    r = np.random.default_rng(6)
+    for shift in (0.0, 2.0):
+        x = unit(r.normal(size=(6000, 32)) * np.linspace(0.2, 2, 32) + shift)
+        codes = learn({32: x[:3000]}, 50_000)
+        a, b = codes.signs(x[3000:]), codes.signs(partners(x[3000:], 0.95, r))
+        met = (codes.substrings(a) == codes.substrings(b)).any(axis=1)
+        assert met.mean() >= 0.995 and codes.tables >= tables_for(50_000)[1]
+        assert ((a != b).sum(axis=1) <= codes.radius).all()
+        assert (codes.unpack(codes.pack(a)) == a).all()
+        unrelated = (a[:1000] != a[1000:2000]).sum(axis=1)
+        assert shift or (unrelated > codes.radius).mean() > 0.99
+
+
+def test_other_lengths_and_extreme_sizes_link_too(spark):
+    r = np.random.default_rng(7)
+    rows = [(i, r.normal(size=16).tolist()) for i in range(300)]
+    for k, base in enumerate((r.normal(size=5), r.normal(size=3), r.normal(size=9000))):
+        rows += [(1000 + 10 * k + j, (base * (1 + j)).tolist()) for j in range(3)]
+    rows += [(2000, [1e200, 1e200]), (2001, [1e200, 1.1e200]), (2002, [1e-320, 1e-320]), (2003, [-1.0, 1.0])]
+    got = {q.vec_id: (q.n_links, q.component_id) for q in near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    for k in range(3):
+        assert [got[1000 + 10 * k + j] for j in range(3)] == [(2, 1000 + 10 * k)] * 3
+    assert [got[i] for i in range(2000, 2004)] == [(2, 2000)] * 3 + [(0, 2003)]
+
+
+def test_the_query(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [(q.vec_id, q.embedding) for q in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    x = unit(np.array([v for _, v in rows], float))
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    ids = np.array([i for i, _ in rows])
+    label = ids.copy()
+    for _ in rows:
+        label = np.minimum(label, np.where(near, label[None, :], 1 << 60).min(axis=1))
+    got = {q.vec_id: (q.n_links, q.component_id, q.kept) for q in op1_itq_embedding_dedup(spark, sf).collect()}
+    assert got == {int(i): (int(n), int(c), bool(i == c)) for i, n, c in zip(ids, near.sum(axis=1), label)}
