@@ -11,10 +11,6 @@ from pyspark.sql import functions as F
 ARC, LINE = 1, 2
 
 
-def segment_type(local_name) -> Column:
-    return F.when(F.col(local_name) == "Arc", F.lit(ARC)).otherwise(F.lit(LINE))
-
-
 def edge_key(x1, y1, x2, y2) -> Column:
     """The undirected edge: its two points in order."""
     a, b = F.struct(F.col(x1).alias("x"), F.col(y1).alias("y")), F.struct(F.col(x2).alias("x"), F.col(y2).alias("y"))
@@ -31,13 +27,3 @@ def turn(reference: Column, other: Column) -> Column:
     """How far `other` lies clockwise of `reference`, 0 to 2 pi."""
     d = reference - other
     return F.when(d < 0, d + 2 * math.pi).otherwise(d)
-
-
-def arc_centre(x1, y1, x2, y2, x3, y3) -> Column:
-    """Centre of the circle through three points; null where they are on one line."""
-    x1, y1, x2, y2, x3, y3 = (F.col(c) if isinstance(c, str) else c for c in (x1, y1, x2, y2, x3, y3))
-    d = 2 * (x1 * (y2 - y3) + x2 * (y3 - y1) + x3 * (y1 - y2))
-    s1, s2, s3 = x1 * x1 + y1 * y1, x2 * x2 + y2 * y2, x3 * x3 + y3 * y3
-    cx = s1 * (y2 - y3) + s2 * (y3 - y1) + s3 * (y1 - y2)
-    cy = s1 * (x3 - x2) + s2 * (x1 - x3) + s3 * (x2 - x1)
-    return F.when(d != 0, F.struct((cx / d).alias("x"), (cy / d).alias("y")))

@@ -11,7 +11,7 @@ from .edges import nodes
 
 
 def line_vertices(lines: DataFrame, restart_per_part: bool = False) -> DataFrame:
-    """lines (line_id, v_ord, x, y[, part]) with consecutive equal vertices dropped, px, py the vertex before and pos_key. All parts of a line are
+    """lines (line_id, v_ord, x, y[, part]) with consecutive equal vertices dropped, px, py the vertex before. All parts of a line are
     one chain unless `restart_per_part`."""
     if "part" not in lines.columns:
         lines = lines.withColumn("part", F.lit(0))
@@ -20,23 +20,21 @@ def line_vertices(lines: DataFrame, restart_per_part: bool = False) -> DataFrame
     return v.where("px IS NULL OR x <> px OR y <> py")
 
 
-def _with_nodes(v: DataFrame, edges: DataFrame) -> DataFrame:
-    n = nodes(edges).select("x", "y", F.lit(True).alias("is_node"))
-    here = v.join(n, ["x", "y"], "left")
-    return here.join(n.select(F.col("x").alias("px"), F.col("y").alias("py"), F.col("is_node").alias("prev_is_node")), ["px", "py"], "left")
+def points_detached(lines: DataFrame, edges: DataFrame, at: DataFrame | None = None, **options) -> DataFrame:
+    """BOUNDARY_POINT_DETACHED: vertices that are no node. `at`: the edges' nodes where they are known."""
+    n = nodes(edges) if at is None else at
+    return line_vertices(lines, **options).join(n.select("x", "y"), ["x", "y"], "left_anti").select("line_id", "part", "v_ord", "x", "y")
 
 
-def points_detached(lines: DataFrame, edges: DataFrame, **options) -> DataFrame:
-    """BOUNDARY_POINT_DETACHED: vertices that are no node."""
-    return line_vertices(lines, **options).join(nodes(edges).select("x", "y"), ["x", "y"], "left_anti").select("line_id", "part", "v_ord", "x", "y")
-
-
-def edges_invalid(lines: DataFrame, edges: DataFrame, **options) -> DataFrame:
+def edges_invalid(lines: DataFrame, edges: DataFrame, at: DataFrame | None = None, **options) -> DataFrame:
     """BOUNDARY_EDGE_INVALID: neighbouring vertices that are nodes without an edge between. x, y is the
-    current vertex, x2, y2 the one before; a detached vertex interrupts the chain."""
-    pairs = _with_nodes(line_vertices(lines, **options).where("px IS NOT NULL"), edges).where("is_node AND prev_is_node")
-    pairs = pairs.withColumn("edge_key", edge_key("px", "py", "x", "y"))
-    return pairs.join(edges.select("edge_key"), "edge_key", "left_anti").select("line_id", "part", "v_ord", "x", "y", F.col("px").alias("x2"), F.col("py").alias("y2"))
+    current vertex, x2, y2 the one before; a detached vertex interrupts the chain. Pairs with an edge, mostly all, go first; two semi joins with
+    the nodes see the few that are left."""
+    n = nodes(edges) if at is None else at
+    pairs = line_vertices(lines, **options).where("px IS NOT NULL").withColumn("edge_key", edge_key("px", "py", "x", "y"))
+    loose = pairs.join(edges.select("edge_key"), "edge_key", "left_anti").join(n.select("x", "y"), ["x", "y"], "left_semi")
+    loose = loose.join(n.select(F.col("x").alias("px"), F.col("y").alias("py")), ["px", "py"], "left_semi")
+    return loose.select("line_id", "part", "v_ord", "x", "y", F.col("px").alias("x2"), F.col("py").alias("y2"))
 
 
 def boundary_overlaps(lines: DataFrame, **options) -> DataFrame:

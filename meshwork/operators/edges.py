@@ -39,10 +39,10 @@ def edges(owned: DataFrame) -> DataFrame:
     return e.withColumns({"src_angle": angle("src_x", "src_y", "tgt_x", "tgt_y"), "tgt_angle": angle("tgt_x", "tgt_y", "src_x", "src_y")})
 
 
-def overlapping_edges(owned: DataFrame) -> DataFrame:
-    """RING_OVERLAPPING_EDGES: use_key, x, y (target of the colliding use), is_loc, o_loc, side."""
+def overlapping_edges(owned: DataFrame, with_edge: bool = False) -> DataFrame:
+    """RING_OVERLAPPING_EDGES: use_key, x, y (target of the colliding use), is_loc, o_loc, side, and edge_key if asked for."""
     left, right = (F.col("n") > 1) & F.col("same"), (F.col("n") > 1) & ~F.col("same") & (F.col("right_no") > 1)
-    return owned.where(left | right).select("use_key", F.col("x2").alias("x"), F.col("y2").alias("y"), F.when(left, F.col("left_loc")).otherwise(F.col("right_use.location")).alias("is_loc"), F.col("location").alias("o_loc"), F.when(left, "left").otherwise("right").alias("side"))
+    return owned.where(left | right).select("use_key", F.col("x2").alias("x"), F.col("y2").alias("y"), F.when(left, F.col("left_loc")).otherwise(F.col("right_use.location")).alias("is_loc"), F.col("location").alias("o_loc"), F.when(left, "left").otherwise("right").alias("side"), *(["edge_key"] if with_edge else []))
 
 
 def overlap_pairs(overlaps: DataFrame) -> DataFrame:

@@ -6,22 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .materialise import keep
+from .rings import USE_KEY
 from .rotation import ccw_next, half_edges
 
 
-def candidates(edges: DataFrame, holes: bool) -> DataFrame:
-    """Edges without a right owner; for holes those of interior rings, else those of exterior rings."""
-    sign = F.col("left_obj") < 0 if holes else F.col("left_obj") > 0
-    return edges.where(F.col("right_obj").isNull() & sign)
+def candidates(edges: DataFrame, inner: bool | None = None) -> DataFrame:
+    """Edges without a right owner: those of interior rings (holes), those of exterior rings (free-standing surfaces), or both."""
+    c = edges.where("right_obj IS NULL").withColumn("inner", F.col("left_obj") < 0)
+    return c if inner is None else c.where(F.col("inner") == inner)
 
 
-def successors(edges: DataFrame, holes: bool) -> DataFrame:
-    """(id, next): the candidate that follows on the right face, null where the walk leaves the candidates.
+def successors(edges: DataFrame, inner: bool | None = None) -> DataFrame:
+    """(id, next): the candidate of the same kind that follows on the right face, null where the walk leaves the candidates.
     id is the creation key, which orders the walks."""
     turn = ccw_next(half_edges(edges)).where("sign = -1 AND next_sign = 1").select("edge_key", "next_edge")
-    c = candidates(edges, holes).select("edge_key", F.col("created_key").alias("id"))
-    ends = c.select(F.col("edge_key").alias("next_edge"), F.col("id").alias("next"))
-    return c.join(turn, "edge_key", "left").join(ends, "next_edge", "left").select("id", "next")
+    c = candidates(edges, inner).select("edge_key", "inner", F.col("created_key").alias("id"))
+    ends = c.select(F.col("edge_key").alias("next_edge"), "inner", F.col("id").alias("next"))
+    return c.join(turn, "edge_key", "left").join(ends, ["next_edge", "inner"], "left").select("id", "next")
 
 
 def walk_starts(successor: DataFrame, checkpoint: bool = True) -> DataFrame:
@@ -42,16 +43,21 @@ def walk_starts(successor: DataFrame, checkpoint: bool = True) -> DataFrame:
     return state.groupBy(F.col("low").alias("start")).agg(F.count("*").alias("length"))
 
 
-def holes(edges: DataFrame, checkpoint: bool = True) -> DataFrame:
-    """HOLE_EMPTY_INTERIOR: use_key, x, y (source of the walk's first edge), is_loc."""
-    starts = walk_starts(successors(edges, True), checkpoint)
-    return edges.join(starts, edges["created_key"] == starts["start"]).select(F.col("created_key").alias("use_key"), F.col("src_x").alias("x"), F.col("src_y").alias("y"), F.col("left_loc").alias("is_loc"))
+def walks(edges: DataFrame, inner: bool | None = None) -> DataFrame:
+    """Every walk by its first edge: use_key, x, y (the edge's source), is_loc, inner, length. Both kinds are walked at once unless one is asked for."""
+    starts = walk_starts(successors(edges, inner))
+    first = F.col("created_key").alias("use_key"), F.col("src_x").alias("x"), F.col("src_y").alias("y"), F.col("left_loc").alias("is_loc"), (F.col("left_obj") < 0).alias("inner")
+    return edges.join(starts, edges["created_key"] == starts["start"]).select(*first, "length")
 
 
-def free_standing(edges: DataFrame, checkpoint: bool = True) -> DataFrame:
-    """FREE_STANDING_SURFACE: walks of three edges or more but the longest (the first of equal ones)."""
-    starts = walk_starts(successors(edges, False), checkpoint).where("length >= 3")
+def holes(edges: DataFrame, walked: DataFrame | None = None) -> DataFrame:
+    """HOLE_EMPTY_INTERIOR: use_key, x, y, is_loc of every interior walk. `walked`: the walks where they are known."""
+    return (walks(edges, True) if walked is None else walked).where("inner").drop("inner", "length")
+
+
+def free_standing(edges: DataFrame, walked: DataFrame | None = None) -> DataFrame:
+    """FREE_STANDING_SURFACE: exterior walks of three edges or more but the longest (the first of equal ones)."""
+    w = (keep(walks(edges, False)) if walked is None else walked).where("NOT inner AND length >= 3")
     # Top-1 by aggregate: one row for each task, no global sort.
-    longest = starts.agg(F.max_by("start", F.struct("length", *[(-F.col(f"start.{k}")).alias(k) for k in ("object_id", "ring_no", "seg_ord", "v_ord")])).alias("longest"))
-    rest = starts.join(F.broadcast(longest), F.col("start") == F.col("longest"), "left_anti")
-    return edges.join(rest, edges["created_key"] == rest["start"]).select(F.col("created_key").alias("use_key"), F.col("src_x").alias("x"), F.col("src_y").alias("y"), F.col("left_loc").alias("is_loc"))
+    longest = w.agg(F.max_by("use_key", F.struct("length", *[(-F.col(f"use_key.{k}")).alias(k) for k in USE_KEY])).alias("longest"))
+    return w.join(F.broadcast(longest), F.col("use_key") == F.col("longest"), "left_anti").drop("inner", "length")

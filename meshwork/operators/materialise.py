@@ -2,15 +2,48 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_FOLDER = "meshwork-tables"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """This session's folder below spark.checkpoint.dir, which all executors share. Where that is unset, a local session (tests on one machine)
+    takes a temporary folder; a cluster raises, as executors do not share such a folder."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        import tempfile
+
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="meshwork-"))
+        base = sc.getCheckpointDir()
+    return f"{base.rstrip('/')}/{_FOLDER}-{sc.applicationId}"
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder of spark.checkpoint.dir, which all executors share; where that is unset (tests on
-    one machine) a local folder is taken."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="meshwork-"))
-    return df.checkpoint()
+    """Write `df` to the shared folder and read it again, by columns and with statistics. A lost executor costs nothing that was written."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete all tables that `keep` wrote in this session. DataFrames that read them are of no use afterwards."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def kept_tables(spark: SparkSession):
+    """A scope at whose end the tables written in this session are deleted."""
+    try:
+        yield
+    finally:
+        forget(spark)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.geometry import turn
 from ..workers import python_workers
 from .materialise import keep
 
@@ -76,7 +77,7 @@ def attachments(halves: DataFrame, star_degree: int = STAR_DEGREE) -> DataFrame:
         best = F.array_min(F.transform("olds", lambda o: F.struct(distance(o["angle"]).alias("d"), key(o["created_key"]).alias("k"), o.alias("o"))))["o"]
         return F.when(best.isNotNull(), F.struct(*[best[c].alias(c) for c in _NEIGHBOUR]))
 
-    back = lambda a: F.when(F.col("angle") - a < 0, F.col("angle") - a + _TURN).otherwise(F.col("angle") - a)
+    back = lambda a: turn(F.col("angle"), a)
     ahead = lambda a: F.when(a - F.col("angle") <= 0, a - F.col("angle") + _TURN).otherwise(a - F.col("angle"))
     newest = lambda k: F.struct(*[(-k[c]).alias(c) for c in ("object_id", "ring_no", "seg_ord", "v_ord")])
     h = h.where("older >= 2 OR degree > " + str(star_degree)).withColumns({"cw": nearest(back, newest), "ccw": nearest(ahead, lambda k: k)}).drop("olds")
@@ -104,6 +105,11 @@ def _is_invalid(att: DataFrame) -> DataFrame:
     return att.withColumn("invalid", F.col("angle") == F.when((F.col("n_sign") > 0) & p.isNotNull(), back).otherwise(F.col("first_angle")))
 
 
+def _end_no():
+    """Which of an edge's ends reports first: the source end where the edge starts its ring, else the target end."""
+    return F.when(F.col("prev_edge").isNull() == (F.col("n_sign") > 0), 0).otherwise(1).alias("end_no")
+
+
 def ring_intersections(att: DataFrame) -> DataFrame:
     """RING_INTERSECTION: use_key, x, y, is_loc, cw_loc, ccw_loc, end_no."""
     a = _is_invalid(att).where(~F.col("invalid"))
@@ -111,9 +117,9 @@ def ring_intersections(att: DataFrame) -> DataFrame:
     own = F.col("left_obj")
     other = lambda o: (o["obj"] != 0) & (F.abs(o["obj"]) != F.abs(own))
     wrong = F.when(F.col("is_exterior"), (on_cw["obj"] != 0) & (on_cw["obj"] != own)).otherwise(other(on_ccw) | other(on_cw))
-    return a.where(wrong).select(F.col("created_key").alias("use_key"), "x", "y", F.col("left_loc").alias("is_loc"), on_ccw["loc"].alias("cw_loc"), on_cw["loc"].alias("ccw_loc"), F.when(F.col("n_sign") < 0, 0).otherwise(1).alias("end_no"))
+    return a.where(wrong).select(F.col("created_key").alias("use_key"), "x", "y", F.col("left_loc").alias("is_loc"), on_ccw["loc"].alias("cw_loc"), on_cw["loc"].alias("ccw_loc"), _end_no())
 
 
 def invalid_angles(att: DataFrame) -> DataFrame:
     """INVALID_ANGLE: a new half-edge in the very direction of its reference (see _is_invalid)."""
-    return _is_invalid(att).where("invalid").select(F.col("created_key").alias("use_key"), "x", "y", F.abs("left_obj").alias("obj"), F.col("to_x").alias("tx"), F.col("to_y").alias("ty"), F.when(F.col("n_sign") < 0, 0).otherwise(1).alias("end_no"))
+    return _is_invalid(att).where("invalid").select(F.col("created_key").alias("use_key"), "x", "y", F.abs("left_obj").alias("obj"), F.col("to_x").alias("tx"), F.col("to_y").alias("ty"), _end_no())

@@ -22,19 +22,18 @@ ORACLE_SQL: dict[str, str] = {}
 _KEY = "object_id, ring_no, seg_ord, v_ord"
 _USES = f"""{coverages.VERTICES},
 chained AS (SELECT *, lag(x) OVER r AS x1, lag(y) OVER r AS y1 FROM vertices WINDOW r AS (PARTITION BY object_id, ring_no ORDER BY seg_ord, v_ord)),
-uses AS (SELECT object_id, ring_no, seg_ord, v_ord, is_exterior, x1, y1, x AS x2, y AS y2,
-    CASE WHEN x1 < x OR (x1 = x AND y1 < y) THEN x1 ELSE x END AS ax, CASE WHEN x1 < x OR (x1 = x AND y1 < y) THEN y1 ELSE y END AS ay,
-    CASE WHEN x1 < x OR (x1 = x AND y1 < y) THEN x ELSE x1 END AS bx, CASE WHEN x1 < x OR (x1 = x AND y1 < y) THEN y ELSE y1 END AS by_,
-    (x1 < x OR (x1 = x AND y1 < y)) AS fwd, row_number() OVER (ORDER BY {_KEY}) AS u
-  FROM chained WHERE x1 IS NOT NULL AND (x1 <> x OR y1 <> y))"""
+steps AS (SELECT object_id, ring_no, seg_ord, v_ord, is_exterior, x1, y1, x AS x2, y AS y2, (x1 < x OR (x1 = x AND y1 < y)) AS fwd, row_number() OVER (ORDER BY {_KEY}) AS u
+  FROM chained WHERE x1 IS NOT NULL AND (x1 <> x OR y1 <> y)),
+uses AS MATERIALIZED (SELECT *, CASE WHEN fwd THEN x1 ELSE x2 END AS ax, CASE WHEN fwd THEN y1 ELSE y2 END AS ay, CASE WHEN fwd THEN x2 ELSE x1 END AS bx, CASE WHEN fwd THEN y2 ELSE y1 END AS by_,
+    lag(x1) OVER r AS px, lag(y1) OVER r AS py FROM steps WINDOW r AS (PARTITION BY object_id, ring_no ORDER BY seg_ord, v_ord))"""
 _OWNED = f"""{_USES},
-firsts AS (SELECT ax, ay, bx, by_, min(u) AS u1, count(*) AS uses FROM uses GROUP BY ALL),
-marked AS (SELECT s.*, f.u1, (s.u > f.u1 AND s.is_exterior = c.is_exterior AND s.fwd = c.fwd) AS same,
+firsts AS MATERIALIZED (SELECT ax, ay, bx, by_, min(u) AS u1, count(*) AS uses FROM uses GROUP BY ALL),
+marked AS MATERIALIZED (SELECT s.*, f.u1, (s.u > f.u1 AND s.is_exterior = c.is_exterior AND s.fwd = c.fwd) AS same,
     (s.u > f.u1 AND NOT (s.is_exterior = c.is_exterior AND s.fwd = c.fwd)) AS compat, c.object_id AS creator
   FROM uses s JOIN firsts f USING (ax, ay, bx, by_) JOIN uses c ON c.u = f.u1),
 rights AS (SELECT u1, min(u) AS u2 FROM marked WHERE compat GROUP BY u1)"""
 _EDGES = f"""{_OWNED},
-edges AS (SELECT f.ax, f.ay, f.bx, f.by_, f.u1 AS u, f.uses, c.object_id, c.ring_no, c.seg_ord, c.v_ord, c.is_exterior, c.x1 AS src_x, c.y1 AS src_y, c.x2 AS tgt_x, c.y2 AS tgt_y,
+edges AS MATERIALIZED (SELECT f.ax, f.ay, f.bx, f.by_, f.u1 AS u, f.uses, c.px, c.py, c.object_id, c.ring_no, c.seg_ord, c.v_ord, c.is_exterior, c.x1 AS src_x, c.y1 AS src_y, c.x2 AS tgt_x, c.y2 AS tgt_y,
     CASE WHEN c.is_exterior THEN c.object_id ELSE -c.object_id END AS left_obj, c.object_id AS left_loc,
     CASE WHEN o.is_exterior THEN o.object_id ELSE -o.object_id END AS right_obj, o.object_id AS right_loc, r.u2
   FROM firsts f JOIN uses c ON c.u = f.u1 LEFT JOIN rights r ON r.u1 = f.u1 LEFT JOIN uses o ON o.u = r.u2)"""
@@ -42,30 +41,35 @@ _OVERLAPS = f"""{_OWNED},
 overlapped AS (SELECT m.object_id, m.ring_no, m.seg_ord, m.v_ord, m.x2 AS x, m.y2 AS y, CASE WHEN same THEN m.creator ELSE o.object_id END AS is_loc, m.object_id AS o_loc, CASE WHEN same THEN 'left' ELSE 'right' END AS side
   FROM marked m LEFT JOIN rights r ON r.u1 = m.u1 LEFT JOIN uses o ON o.u = r.u2 WHERE same OR (compat AND m.u > r.u2))"""
 _HALVES = f"""{_EDGES},
-halves AS (
+halves AS MATERIALIZED (
   SELECT e.*, src_x AS x, src_y AS y, tgt_x AS to_x, tgt_y AS to_y, 1 AS sign, atan2(tgt_y - src_y, tgt_x - src_x) AS angle FROM edges e
   UNION ALL SELECT e.*, tgt_x, tgt_y, src_x, src_y, -1, atan2(src_y - tgt_y, src_x - tgt_x) FROM edges e),
 turned AS (SELECT *, coalesce(lead(u) OVER n, first_value(u) OVER n) AS next_u, coalesce(lead(sign) OVER n, first_value(sign) OVER n) AS next_sign
   FROM halves WINDOW n AS (PARTITION BY x, y ORDER BY angle, u))"""
+# Every half-edge is held against those that were at its node before; the sides of an older edge are owned as of the newer one.
 _ATTACHED = f"""{_HALVES},
-older AS (SELECT n.u, n.sign, count(*) AS older,
-    arg_min(s.angle, s.u) AS first_angle,
-    arg_min(struct_pack(g := s.sign, lo := s.left_obj, ll := s.left_loc, ro := s.right_obj, rl := s.right_loc, k := s.u2), struct_pack(d := CASE WHEN n.angle - s.angle < 0 THEN n.angle - s.angle + 2 * pi() ELSE n.angle - s.angle END, k := -s.u)) AS cw,
-    arg_min(struct_pack(g := s.sign, lo := s.left_obj, ll := s.left_loc, ro := s.right_obj, rl := s.right_loc, k := s.u2), struct_pack(d := CASE WHEN s.angle - n.angle <= 0 THEN s.angle - n.angle + 2 * pi() ELSE s.angle - n.angle END, k := s.u)) AS ccw
-  FROM halves n JOIN halves s ON n.x = s.x AND n.y = s.y AND s.u < n.u GROUP BY n.u, n.sign HAVING count(*) >= 2),
-att AS (SELECT h.*, first_angle,
-    coalesce(CASE WHEN cw.g > 0 THEN cw.lo WHEN cw.k < h.u THEN cw.ro END, 0) AS cw_obj, coalesce(CASE WHEN cw.g > 0 THEN cw.ll WHEN cw.k < h.u THEN cw.rl END, 0) AS cw_own,
-    coalesce(CASE WHEN ccw.g < 0 THEN ccw.lo WHEN ccw.k < h.u THEN ccw.ro END, 0) AS ccw_obj, coalesce(CASE WHEN ccw.g < 0 THEN ccw.ll WHEN ccw.k < h.u THEN ccw.rl END, 0) AS ccw_own
+met AS (SELECT n.u, n.sign, s.u AS su, s.angle AS sa, CASE WHEN n.angle - s.angle < 0 THEN n.angle - s.angle + 2 * pi() ELSE n.angle - s.angle END AS back,
+    CASE WHEN s.angle - n.angle <= 0 THEN s.angle - n.angle + 2 * pi() ELSE s.angle - n.angle END AS ahead,
+    CASE WHEN s.sign > 0 THEN s.left_obj WHEN s.u2 < n.u THEN s.right_obj END AS ccw_side, CASE WHEN s.sign > 0 THEN s.left_loc WHEN s.u2 < n.u THEN s.right_loc END AS ccw_side_loc,
+    CASE WHEN s.sign < 0 THEN s.left_obj WHEN s.u2 < n.u THEN s.right_obj END AS cw_side, CASE WHEN s.sign < 0 THEN s.left_loc WHEN s.u2 < n.u THEN s.right_loc END AS cw_side_loc
+  FROM halves n JOIN halves s ON n.x = s.x AND n.y = s.y AND s.u < n.u),
+ranked AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY u, sign) AS older, row_number() OVER (PARTITION BY u, sign ORDER BY su) AS by_age,
+    row_number() OVER (PARTITION BY u, sign ORDER BY back, su DESC) AS by_back, row_number() OVER (PARTITION BY u, sign ORDER BY ahead, su) AS by_ahead FROM met),
+older AS (SELECT u, sign, max(CASE WHEN by_age = 1 THEN sa END) AS first_angle, max(CASE WHEN by_back = 1 THEN ccw_side END) AS cw_obj, max(CASE WHEN by_back = 1 THEN ccw_side_loc END) AS cw_own,
+    max(CASE WHEN by_ahead = 1 THEN cw_side END) AS ccw_obj, max(CASE WHEN by_ahead = 1 THEN cw_side_loc END) AS ccw_own FROM ranked WHERE older >= 2 GROUP BY u, sign),
+att AS MATERIALIZED (SELECT h.*, CASE WHEN h.sign > 0 AND px IS NOT NULL THEN atan2(py - y, px - x) ELSE first_angle END AS reference, CASE WHEN (px IS NULL) = (h.sign > 0) THEN 0 ELSE 1 END AS end_no,
+    coalesce(cw_obj, 0) AS cw_obj, coalesce(cw_own, 0) AS cw_own, coalesce(ccw_obj, 0) AS ccw_obj, coalesce(ccw_own, 0) AS ccw_own
   FROM halves h JOIN older o ON h.u = o.u AND h.sign = o.sign)"""
 _CROSS = f"""{_ATTACHED},
-crossings AS (SELECT object_id, ring_no, seg_ord, v_ord, x, y, left_loc AS is_loc, ccw_own AS cw_loc, cw_own AS ccw_loc, CASE WHEN sign < 0 THEN 0 ELSE 1 END AS end_no
-  FROM att WHERE angle <> first_angle AND CASE WHEN is_exterior THEN cw_obj <> 0 AND cw_obj <> left_obj ELSE (ccw_obj <> 0 AND abs(ccw_obj) <> abs(left_obj)) OR (cw_obj <> 0 AND abs(cw_obj) <> abs(left_obj)) END)"""
+crossings AS (SELECT object_id, ring_no, seg_ord, v_ord, x, y, left_loc AS is_loc, ccw_own AS cw_loc, cw_own AS ccw_loc, end_no
+  FROM att WHERE angle <> reference AND CASE WHEN is_exterior THEN cw_obj <> 0 AND cw_obj <> left_obj ELSE (ccw_obj <> 0 AND abs(ccw_obj) <> abs(left_obj)) OR (cw_obj <> 0 AND abs(cw_obj) <> abs(left_obj)) END),
+spikes AS (SELECT object_id, ring_no, seg_ord, v_ord, x, y, abs(left_obj) AS obj, to_x AS tx, to_y AS ty, end_no FROM att WHERE angle = reference)"""
 
 
 def _walks(condition: str) -> str:
     return f"""{_HALVES},
-cand AS (SELECT u, src_x, src_y, left_loc FROM edges WHERE right_obj IS NULL AND {condition}),
-succ AS (SELECT t.u, t.next_u FROM turned t JOIN cand a ON a.u = t.u JOIN cand b ON b.u = t.next_u WHERE t.sign = -1 AND t.next_sign = 1),
+cand AS MATERIALIZED (SELECT u, src_x, src_y, left_loc FROM edges WHERE right_obj IS NULL AND {condition}),
+succ AS MATERIALIZED (SELECT t.u, t.next_u FROM turned t JOIN cand a ON a.u = t.u JOIN cand b ON b.u = t.next_u WHERE t.sign = -1 AND t.next_sign = 1),
 back(u, p) AS (SELECT u, u FROM cand UNION SELECT b.u, s.u FROM back b JOIN succ s ON s.next_u = b.p),
 low AS (SELECT u, min(p) AS low FROM back GROUP BY u),
 starts AS (SELECT low AS u, count(*) AS length FROM low GROUP BY low)"""
@@ -76,12 +80,13 @@ _FREE = f"""{_walks('left_obj > 0')},
 walks AS (SELECT * FROM starts WHERE length >= 3), longest AS (SELECT u FROM walks ORDER BY length DESC, u LIMIT 1),
 found AS (SELECT object_id, ring_no, seg_ord, v_ord, e.src_x AS x, e.src_y AS y, e.left_loc AS is_loc FROM edges e JOIN walks USING (u) WHERE u NOT IN (SELECT u FROM longest))"""
 _POINTS = f"""{_EDGES}, {coverages.LINES.strip()},
-points AS (SELECT DISTINCT src_x AS x, src_y AS y FROM edges UNION SELECT tgt_x, tgt_y FROM edges),
-steps AS (SELECT *, lag(x) OVER l AS px, lag(y) OVER l AS py FROM lines WINDOW l AS (PARTITION BY line_id ORDER BY v_ord)),
-moved AS (SELECT * FROM steps WHERE px IS NULL OR x <> px OR y <> py),
+points AS MATERIALIZED (SELECT DISTINCT src_x AS x, src_y AS y FROM edges UNION SELECT tgt_x, tgt_y FROM edges),
+strides AS (SELECT *, lag(x) OVER l AS px, lag(y) OVER l AS py FROM lines WINDOW l AS (PARTITION BY line_id ORDER BY v_ord)),
+moved AS MATERIALIZED (SELECT * FROM strides WHERE px IS NULL OR x <> px OR y <> py),
 detached AS (SELECT line_id, v_ord, x, y FROM moved m WHERE NOT EXISTS (SELECT 1 FROM points p WHERE p.x = m.x AND p.y = m.y)),
 invalid AS (SELECT m.line_id, m.v_ord, m.x, m.y, m.px AS x2, m.py AS y2 FROM moved m JOIN points a ON a.x = m.x AND a.y = m.y JOIN points b ON b.x = m.px AND b.y = m.py
-  WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE (e.src_x = m.x AND e.src_y = m.y AND e.tgt_x = m.px AND e.tgt_y = m.py) OR (e.tgt_x = m.x AND e.tgt_y = m.y AND e.src_x = m.px AND e.src_y = m.py)))"""
+  LEFT JOIN edges e ON e.ax = CASE WHEN m.px < m.x OR (m.px = m.x AND m.py < m.y) THEN m.px ELSE m.x END AND e.ay = CASE WHEN m.px < m.x OR (m.px = m.x AND m.py < m.y) THEN m.py ELSE m.y END
+    AND e.bx = CASE WHEN m.px < m.x OR (m.px = m.x AND m.py < m.y) THEN m.x ELSE m.px END AND e.by_ = CASE WHEN m.px < m.x OR (m.px = m.x AND m.py < m.y) THEN m.y ELSE m.py END WHERE e.u IS NULL)"""
 
 
 def _query(name: str, sql: str | None = None):
@@ -121,49 +126,60 @@ def _sign(c: str):
     return F.round(F.degrees(c), 6)
 
 
-def _parts(spark, d) -> list[DataFrame]:
-    owned = keep(_owned(spark, d))
+def _parts(spark, d, vertices: DataFrame | None = None) -> list[DataFrame]:
+    owned = keep(edges.owned_uses(rings.edge_uses(coverages.vertices(spark, d) if vertices is None else vertices)))
     e = keep(edges.edges(owned))
-    att = rotation.attachments(rotation.half_edges(e))
+    att, walked, n = rotation.attachments(rotation.half_edges(e)), keep(faces.walks(e)), keep(edges.nodes(e))
     lines = coverages.lines(spark, d)
     return [
         errors.as_errors(edges.overlapping_edges(owned), "RING_OVERLAPPING_EDGES", "surface"),
         errors.as_errors(rotation.ring_intersections(att), "RING_INTERSECTION", "surface"),
         errors.as_errors(rotation.invalid_angles(att), "INVALID_ANGLE", "surface"),
-        errors.as_errors(faces.holes(e), "HOLE_EMPTY_INTERIOR", "holes"),
-        errors.as_errors(faces.free_standing(e), "FREE_STANDING_SURFACE", "free"),
-        errors.as_errors(boundaries.points_detached(lines, e), "BOUNDARY_POINT_DETACHED", "boundary"),
-        errors.as_errors(boundaries.edges_invalid(lines, e), "BOUNDARY_EDGE_INVALID", "boundary"),
+        errors.as_errors(faces.holes(e, walked), "HOLE_EMPTY_INTERIOR", "holes"),
+        errors.as_errors(faces.free_standing(e, walked), "FREE_STANDING_SURFACE", "free"),
+        errors.as_errors(boundaries.points_detached(lines, e, n), "BOUNDARY_POINT_DETACHED", "boundary"),
+        errors.as_errors(boundaries.edges_invalid(lines, e, n), "BOUNDARY_EDGE_INVALID", "boundary"),
     ]
 
 
-def all_errors(spark, d) -> DataFrame:
-    return errors.number_errors(_parts(spark, d))
+def all_errors(spark, d, vertices: DataFrame | None = None) -> DataFrame:
+    return errors.number_errors(_parts(spark, d, vertices))
 
 
 _KEYED = "object_id AS k1, ring_no AS k2, seg_ord AS k3, v_ord AS k4"
 _ALL = f"""WITH RECURSIVE {_CROSS},
 overlapped AS (SELECT m.object_id, m.ring_no, m.seg_ord, m.v_ord, m.x2 AS x, m.y2 AS y, CASE WHEN same THEN m.creator ELSE o.object_id END AS is_loc, m.object_id AS o_loc
   FROM marked m LEFT JOIN rights r ON r.u1 = m.u1 LEFT JOIN uses o ON o.u = r.u2 WHERE same OR (compat AND m.u > r.u2)),
-cand AS (SELECT u, left_obj < 0 AS inner_, src_x, src_y FROM edges WHERE right_obj IS NULL),
-succ AS (SELECT t.u, t.next_u FROM turned t JOIN cand a ON a.u = t.u JOIN cand b ON b.u = t.next_u AND a.inner_ = b.inner_ WHERE t.sign = -1 AND t.next_sign = 1),
+cand AS MATERIALIZED (SELECT u, left_obj < 0 AS inner_ FROM edges WHERE right_obj IS NULL),
+succ AS MATERIALIZED (SELECT t.u, t.next_u FROM turned t JOIN cand a ON a.u = t.u JOIN cand b ON b.u = t.next_u AND a.inner_ = b.inner_ WHERE t.sign = -1 AND t.next_sign = 1),
 back(u, p) AS (SELECT u, u FROM cand UNION SELECT b.u, s.u FROM back b JOIN succ s ON s.next_u = b.p),
 starts AS (SELECT low AS u, count(*) AS length FROM (SELECT u, min(p) AS low FROM back GROUP BY u) GROUP BY low),
-walks AS (SELECT s.*, inner_ FROM starts s JOIN cand USING (u)),
+walks AS MATERIALIZED (SELECT s.*, inner_ FROM starts s JOIN cand USING (u)),
 longest AS (SELECT u FROM walks WHERE NOT inner_ AND length >= 3 ORDER BY length DESC, u LIMIT 1),
-{_POINTS.split(coverages.LINES.strip())[1].strip().lstrip(',')},
-lines_all AS (SELECT 1),
+{coverages.LINES.strip()},
+{_POINTS.split(coverages.LINES.strip())[1].strip().lstrip(',').strip()},
 e AS (
-  SELECT 1 AS phase, {_KEYED}, 2 AS k5, 'RING_OVERLAPPING_EDGES' AS t, x, y FROM overlapped
-  UNION ALL SELECT 1, object_id, ring_no, seg_ord, v_ord, end_no, 'RING_INTERSECTION', x, y FROM crossings
-  UNION ALL SELECT 1, object_id, ring_no, seg_ord, v_ord, CASE WHEN sign < 0 THEN 0 ELSE 1 END, 'INVALID_ANGLE', x, y FROM att WHERE angle = first_angle
-  UNION ALL SELECT CASE WHEN inner_ THEN 2 ELSE 3 END, object_id, ring_no, seg_ord, v_ord, 2, CASE WHEN inner_ THEN 'HOLE_EMPTY_INTERIOR' ELSE 'FREE_STANDING_SURFACE' END, ed.src_x, ed.src_y
+  SELECT 1 AS phase, {_KEYED}, 2 AS k5, 'RING_OVERLAPPING_EDGES' AS t, x, y, is_loc, o_loc, NULL::BIGINT AS cw_loc, NULL::BIGINT AS ccw_loc, NULL::DOUBLE AS x2, NULL::DOUBLE AS y2, NULL::BIGINT AS obj, NULL::DOUBLE AS tx, NULL::DOUBLE AS ty FROM overlapped
+  UNION ALL SELECT 1, object_id, ring_no, seg_ord, v_ord, end_no, 'RING_INTERSECTION', x, y, is_loc, NULL, cw_loc, ccw_loc, NULL, NULL, NULL, NULL, NULL FROM crossings
+  UNION ALL SELECT 1, object_id, ring_no, seg_ord, v_ord, end_no, 'INVALID_ANGLE', x, y, NULL, NULL, NULL, NULL, NULL, NULL, obj, tx, ty FROM spikes
+  UNION ALL SELECT CASE WHEN inner_ THEN 2 ELSE 3 END, object_id, ring_no, seg_ord, v_ord, 2, CASE WHEN inner_ THEN 'HOLE_EMPTY_INTERIOR' ELSE 'FREE_STANDING_SURFACE' END, ed.src_x, ed.src_y, ed.left_loc, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
     FROM edges ed JOIN walks w USING (u) WHERE inner_ OR (length >= 3 AND u NOT IN (SELECT u FROM longest))
-  UNION ALL SELECT 4, line_id, 0, v_ord, 0, 2, 'BOUNDARY_POINT_DETACHED', x, y FROM detached
-  UNION ALL SELECT 4, line_id, 0, v_ord, 0, 2, 'BOUNDARY_EDGE_INVALID', x, y FROM invalid),
-numbered AS (SELECT row_number() OVER (ORDER BY phase, k1, k2, k3, k4, k5, t) AS i, t, x, y FROM e),
-rel AS (SELECT i, t, CASE WHEN min(i) OVER (PARTITION BY x, y) < i THEN min(i) OVER (PARTITION BY x, y) END AS p, x, y FROM numbered)"""
-_ALL = _ALL.replace("WITH RECURSIVE ", "WITH RECURSIVE " + coverages.LINES.strip() + ",\n", 1)
+  UNION ALL SELECT 4, line_id, 0, v_ord, 0, 2, 'BOUNDARY_POINT_DETACHED', x, y, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM detached
+  UNION ALL SELECT 4, line_id, 0, v_ord, 0, 2, 'BOUNDARY_EDGE_INVALID', x, y, NULL, NULL, NULL, NULL, x2, y2, NULL, NULL, NULL FROM invalid),
+numbered AS MATERIALIZED (SELECT row_number() OVER (ORDER BY phase, k1, k2, k3, k4, k5, t, x, y) AS i, * EXCLUDE (phase, k1, k2, k3, k4, k5) FROM e),
+rel AS MATERIALIZED (SELECT *, CASE WHEN min(i) OVER (PARTITION BY x, y) < i THEN min(i) OVER (PARTITION BY x, y) END AS p FROM numbered)"""
+_TAGGED = " || ".join(f"coalesce('<{tag}>' || {c} || '</{tag}>', '')" for c, tag in sinks.TAGS.items())
+_AT = "' at (' || x || ', ' || y || ')'"
+_MESSAGE = f"""CASE t WHEN 'RING_OVERLAPPING_EDGES' THEN 'Edge of geometry ' || o_loc || ' overlaps geometry ' || is_loc || {_AT}
+  WHEN 'HOLE_EMPTY_INTERIOR' THEN 'Interior of geometry ' || is_loc || ' is not filled' || {_AT} WHEN 'FREE_STANDING_SURFACE' THEN 'Geometry ' || is_loc || ' does not touch the coverage' || {_AT}
+  WHEN 'BOUNDARY_POINT_DETACHED' THEN 'Boundary point is on no node' || {_AT} WHEN 'BOUNDARY_EDGE_INVALID' THEN 'Boundary has no edge between (' || x2 || ', ' || y2 || ') and its point' || {_AT}
+  WHEN 'INVALID_ANGLE' THEN 'Edge of object ' || obj || ' could not be attached' || {_AT}
+  ELSE 'Geometry ' || is_loc || ' intersects, clockwise ' || cw_loc || ', counter-clockwise ' || ccw_loc || {_AT} END"""
+# Whole features in a text of their own: rings of points, objects of rings, features of objects.
+_SHAPES = f"""points_of AS (SELECT object_id, ring_no, '[' || string_agg('[' || x || ',' || y || ']', ',' ORDER BY seg_ord, v_ord) || ']' AS r FROM vertices GROUP BY object_id, ring_no),
+shapes AS (SELECT object_id, '[' || string_agg(r, ',' ORDER BY ring_no) || ']' AS g FROM points_of GROUP BY object_id),
+named AS (SELECT DISTINCT (object_id - 1) // 8 AS k FROM (SELECT unnest([is_loc, o_loc, cw_loc, ccw_loc]) AS object_id FROM rel WHERE p IS NULL) n WHERE object_id <> 0),
+areas AS (SELECT k, count(*) AS n, string_agg(g, ',' ORDER BY object_id) AS g FROM shapes JOIN named ON (object_id - 1) // 8 = k GROUP BY k)"""
 
 # ---- queries ---------------------------------------------------------------------------------
 
@@ -228,7 +244,7 @@ def ring_intersection(spark, d):
     return _flat(rotation.ring_intersections(rotation.attachments(_halves(spark, d))))
 
 
-@_query("invalid_angle", f"WITH {_ATTACHED} SELECT object_id, ring_no, seg_ord, v_ord, x, y, abs(left_obj) AS obj, to_x AS tx, to_y AS ty, CASE WHEN sign < 0 THEN 0 ELSE 1 END AS end_no FROM att WHERE angle = first_angle")
+@_query("invalid_angle", f"WITH {_CROSS} SELECT * FROM spikes")
 def invalid_angle(spark, d):
     return _flat(rotation.invalid_angles(rotation.attachments(_halves(spark, d))))
 
@@ -276,7 +292,7 @@ def node_lookup(spark, d):
     return lookup.find_nodes(_edges(spark, d), coverages.lines(spark, d))
 
 
-@_query("edge_lookup", f"WITH {_POINTS} SELECT line_id, m.v_ord, px AS x1, py AS y1, m.x AS x2, m.y AS y2, left_obj, right_obj, coalesce(e.u IS NOT NULL, false) AS found FROM moved m LEFT JOIN edges e ON (e.src_x = m.x AND e.src_y = m.y AND e.tgt_x = px AND e.tgt_y = py) OR (e.tgt_x = m.x AND e.tgt_y = m.y AND e.src_x = px AND e.src_y = py) WHERE px IS NOT NULL")
+@_query("edge_lookup", f"WITH {_POINTS} SELECT line_id, m.v_ord, m.px AS x1, m.py AS y1, m.x AS x2, m.y AS y2, left_obj, right_obj, coalesce(e.u IS NOT NULL, false) AS found FROM moved m LEFT JOIN edges e ON e.ax = CASE WHEN m.px < m.x OR (m.px = m.x AND m.py < m.y) THEN m.px ELSE m.x END AND e.ay = CASE WHEN m.px < m.x OR (m.px = m.x AND m.py < m.y) THEN m.py ELSE m.y END AND e.bx = CASE WHEN m.px < m.x OR (m.px = m.x AND m.py < m.y) THEN m.x ELSE m.px END AND e.by_ = CASE WHEN m.px < m.x OR (m.px = m.x AND m.py < m.y) THEN m.y ELSE m.py END WHERE m.px IS NOT NULL")
 def edge_lookup(spark, d):
     v = boundaries.line_vertices(coverages.lines(spark, d)).where("px IS NOT NULL")
     pairs = v.select("line_id", "v_ord", F.col("px").alias("x1"), F.col("py").alias("y1"), F.col("x").alias("x2"), F.col("y").alias("y2"))
@@ -293,9 +309,9 @@ def bbox(spark, d):
     return edges.bounding_box(coverages.vertices(spark, d))
 
 
-@_query("error_relation", f"{_ALL} SELECT * FROM rel")
+@_query("error_relation", f"{_ALL} SELECT i, t, p, x, y, is_loc, o_loc, cw_loc, ccw_loc, x2, y2, obj, tx, ty FROM rel")
 def error_relation(spark, d):
-    return all_errors(spark, d).select("i", "t", "p", "x", "y")
+    return all_errors(spark, d)
 
 
 @_query("error_stats", f"{_ALL} SELECT t, count(*)::BIGINT AS errors, count(p)::BIGINT AS repeats FROM rel GROUP BY t")
@@ -350,22 +366,51 @@ def diag(spark, d):
     return lookup.diagnostics(uses, keep(edges.edges(edges.owned_uses(uses))))
 
 
-@_query("edge_csv", f"WITH {_EDGES} SELECT src_x, src_y, tgt_x, tgt_y, left_obj, right_obj FROM edges")
+_EDGE_NO = f"""WITH {_HALVES}, no AS (SELECT u, row_number() OVER (ORDER BY u) AS edge FROM edges),
+nexts AS (SELECT t.u, max(CASE WHEN t.sign = 1 THEN n.edge * t.next_sign END) AS source_next, max(CASE WHEN t.sign = -1 THEN n.edge * t.next_sign END) AS target_next FROM turned t JOIN no n ON n.u = t.next_u GROUP BY t.u)
+SELECT edge, src_x || ' ' || src_y AS source, tgt_x || ' ' || tgt_y AS target, round(degrees(atan2(tgt_y - src_y, tgt_x - src_x)), 6) AS source_degrees, round(degrees(atan2(src_y - tgt_y, src_x - tgt_x)), 6) AS target_degrees,
+  source_next, target_next, left_obj, coalesce(right_obj, 0) AS right_obj, left_loc, coalesce(right_loc, 0) AS right_loc FROM edges JOIN no USING (u) JOIN nexts USING (u)"""
+
+
+@_query("edge_csv", _EDGE_NO)
 def edge_csv(spark, d):
-    return sinks.edge_dump(_edges(spark, d)).select("src_x", "src_y", "tgt_x", "tgt_y", "left_obj", "right_obj")
+    dump = sinks.edge_dump(keep(_edges(spark, d)))
+    return dump.withColumns({c: F.round(c, 6) for c in ("source_degrees", "target_degrees")})
+
+
+@_query("feature_lookup", f"""WITH {_OVERLAPS}, {coverages.FEATURES.split(coverages.RINGS)[1].strip().lstrip(',')}
+SELECT o.object_id, ring_no, seg_ord, v_ord, feature_id, feature_type, (is_loc - 1) % 8 AS patch_ord
+FROM overlapped o LEFT JOIN features f ON (is_loc - 1) // 8 = f.first_geometry // 8 + CASE WHEN db_idx = 1 THEN 1000000000 ELSE 0 END""")
+def feature_lookup(spark, d):
+    """The feature that an overlap's first geometry belongs to, by its packed location."""
+    owned = edges.owned_uses(rings.edge_uses(coverages.located(coverages.vertices(spark, d))))
+    found = lookup.features_at(edges.overlapping_edges(owned), coverages.features(spark, d), "is_loc")
+    return _flat(found).select(*rings.USE_KEY, "feature_id", "feature_type", "patch_ord")
+
+
+@_query("geometry_lookup", f"""WITH {_OVERLAPS}, {coverages.POS_LISTS.split(coverages.RINGS)[1].strip().lstrip(',')}
+SELECT o.object_id, o.ring_no, o.seg_ord, o.v_ord, p.ring_no AS at_ring, p.seg_ord AS at_seg, p.geo_type, (o_loc - 1) % 8 AS patch_ord, pos_list FROM overlapped o LEFT JOIN pos_lists p ON p.object_id = o_loc""")
+def geometry_lookup(spark, d):
+    """The coordinate lists of the geometry that overlaps another, by its packed location."""
+    owned = edges.owned_uses(rings.edge_uses(coverages.located(coverages.vertices(spark, d))))
+    lists = coverages.located(coverages.pos_lists(spark, d)).withColumns({"feature_id": F.lit(None).cast("string"), "patch_ord": loc.location_delta("location")})
+    found = lookup.geometries_at(edges.overlapping_edges(owned), lists, "o_loc")
+    return found.select(*[F.col(f"use_key.{k}").alias(k) for k in rings.USE_KEY], F.col("ring_no").alias("at_ring"), F.col("seg_ord").alias("at_seg"), "geo_type", loc.location_delta("o_loc").alias("patch_ord"), "pos_list")
 
 
-@_query("geojson_points")
+@_query("geojson_points", f"""{_ALL} SELECT i AS id, '{{"type":"Feature","properties":{{"id":"' || i || '","e":"' || {_MESSAGE} || '"}},"geometry":{{"type":"Point","coordinates":[' || x || ',' || y || ']}}}}' AS feature FROM rel WHERE p IS NULL""")
 def geojson_points(spark, d):
     return sinks.error_points(errors.filter_errors(all_errors(spark, d)))
 
 
-@_query("erroneous_features")
+@_query("erroneous_features", f"""{_ALL}, {_SHAPES} SELECT 'F' || k AS feature_id, '{{"type":"Feature","properties":{{"id":"F' || k || '"}},"geometry":{{"type":"'
+  || CASE WHEN n = 1 THEN 'Polygon","coordinates":' || g ELSE 'MultiPolygon","coordinates":[' || g || ']' END || '}}}}' AS feature FROM areas""")
 def erroneous_features(spark, d):
-    """The distinct objects that errors name, as GeoJSON polygons."""
-    return sinks.erroneous_features(errors.filter_errors(all_errors(spark, d)), coverages.vertices(spark, d).withColumn("location", F.col("object_id")))
+    """The whole features that errors name, each once, as GeoJSON."""
+    vertices = coverages.located(coverages.vertices(spark, d))
+    return sinks.erroneous_features(errors.filter_errors(all_errors(spark, d, vertices)), vertices, coverages.features(spark, d))
 
 
-@_query("error_xml")
+@_query("error_xml", f"""{_ALL} SELECT i, '<e i="' || i || '" t="' || t || '"' || coalesce(' p="' || p || '"', '') || '>' || {_TAGGED} || '</e>' AS xml FROM rel""")
 def error_xml(spark, d):
     return sinks.error_elements(all_errors(spark, d))

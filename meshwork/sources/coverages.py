@@ -9,6 +9,7 @@ Ordinates are multiples of 1/8, so all engines hold the same doubles.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _CELL = "1000.125e0 + 10 * (k % 40) AS x0, 2000.125e0 + 10 * cast((k - k % 40) / 40 AS bigint) AS y0"
 
@@ -52,6 +53,16 @@ pos_lists AS (
   FROM rings)"""
 
 
+#: An object's packed location: database 0 holds the grid, database 1 the islands; a cell is a feature of up to five patches.
+LOCATION = "CASE WHEN object_id > 8000000000 THEN 72057594037927936 + ((object_id - 1) % 8) * 4294967296 + object_id - 8000000000 ELSE ((object_id - 1) % 8) * 4294967296 + object_id END"
+
+#: features(db_idx, first_geometry, patches, feature_id, feature_type), as many as there are cells and islands.
+FEATURES = f"""{RINGS},
+features AS (
+  SELECT CASE WHEN k >= 1000000000 THEN 1 ELSE 0 END AS db_idx, 8 * (k % 1000000000) AS first_geometry, count(*) AS patches, concat('F', cast(k AS varchar(20))) AS feature_id, CASE WHEN k >= 1000000000 THEN 'Island' ELSE 'Cell' END AS feature_type
+  FROM (SELECT DISTINCT object_id, cast((object_id - (object_id - 1) % 8 - 1) / 8 AS bigint) AS k FROM (SELECT object_id FROM rings UNION ALL SELECT 8 * k + 4 FROM cells WHERE k % 61 = 0) o) p GROUP BY k)"""
+
+
 def register(spark: SparkSession, sf_dir: str, *tables: str) -> None:
     for t in tables:
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
@@ -62,6 +73,15 @@ def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"WITH {VERTICES} SELECT * FROM vertices")
 
 
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register(spark, sf_dir, "orders", "supplier")
+    return spark.sql(f"WITH {FEATURES} SELECT * FROM features")
+
+
+def located(df: DataFrame) -> DataFrame:
+    return df.withColumn("location", F.expr(LOCATION))
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     register(spark, sf_dir, "lineitem")
     return spark.sql(f"WITH {LINES} SELECT * FROM lines")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from itertools import count
 
@@ -121,36 +122,110 @@ def test_stars_are_swept_like_joined(spark):
 
 
 def model(objects):
-    """The rules as one sequential walk: owners and overlaps."""
-    owners, found = {}, []
+    """The rules as one sequential walk over all uses: owners, overlaps, and what is reported when an edge is attached."""
+    edges_, found, crossed, spiked, at = {}, [], [], [], {}
+
+    def attach(edge, node, to, reference, end_no):
+        here, new = at.setdefault(node, []), math.atan2(to[1] - node[1], to[0] - node[0])
+        if len(here) >= 2:
+            if new == (here[0][0] if reference is None else reference):
+                spiked.append((*node, edge["object"], *to, end_no))
+            else:
+                turn = lambda d: d + 2 * math.pi if d < 0 else d
+                cw = min(here, key=lambda h: (turn(new - h[0]), -h[2]["no"]))
+                ccw = min(here, key=lambda h: (turn(h[0] - new) or 2 * math.pi, h[2]["no"]))
+                side = lambda h, ccw_side: h[2]["left" if (h[1] > 0) == ccw_side else "right"] or 0
+                a, b, own = side(cw, True), side(ccw, False), edge["left"]
+                if own > 0 and a not in (0, own) or own < 0 and any(o and abs(o) != -own for o in (a, b)):
+                    crossed.append((*node, abs(own), abs(b), abs(a), end_no))
+        here.append((new, 1 if node == edge["src"] else -1, edge))
+
     for o, obj in zip(count(1), objects):
         for k, ring in enumerate(obj):
+            previous = None
             for p, q in zip(ring, [*ring[1:], ring[0]]):
+                if p == q:
+                    continue
                 key, use = (min(p, q), max(p, q)), (k == 0, p < q)
-                if key not in owners:
-                    owners[key] = [use, o, None]
-                elif owners[key][0] == use:
-                    found.append((*q, owners[key][1], o))
-                elif owners[key][2]:
-                    found.append((*q, owners[key][2], o))
+                if key not in edges_:
+                    edge = edges_[key] = {"use": use, "object": o, "left": o if k == 0 else -o, "right": None, "src": p, "tgt": q, "no": len(edges_)}
+                    back = previous and math.atan2(previous[1] - p[1], previous[0] - p[0])
+                    ends = [(q, p, None), (p, q, back)] if previous else [(p, q, None), (q, p, None)]
+                    for n, (node, to, reference) in enumerate(ends):
+                        attach(edge, node, to, reference, n)
+                elif edges_[key]["use"] == use:
+                    found.append((*q, abs(edges_[key]["left"]), o))
+                elif edges_[key]["right"]:
+                    found.append((*q, abs(edges_[key]["right"]), o))
                 else:
-                    owners[key][2] = o
-    return owners, sorted(found)
+                    edges_[key]["right"] = o if k == 0 else -o
+                previous = p
+    return edges_, sorted(found), sorted(crossed), sorted(spiked), at
+
+
+def walked(edges_, at, inner):
+    """Walks over marked edges in order of creation: (first edge, edges marked)."""
+    order = {n: sorted(h, key=lambda x: (x[0], x[2]["no"])) for n, h in at.items()}
+    marked, out = set(), []
+
+    def following(e):
+        here = order[e["tgt"]]
+        k = next(i for i, h in enumerate(here) if h[2] is e and h[1] < 0)
+        _, sign, nxt = here[(k + 1) % len(here)]
+        return nxt if sign > 0 else None
+
+    free = lambda e: e is not None and e["right"] is None and (e["left"] < 0) == inner and e["no"] not in marked
+    for e in edges_.values():
+        if free(e):
+            n, x = 0, e
+            while free(x):
+                marked.add(x["no"])
+                n, x = n + 1, following(x)
+            out.append((e, n))
+    return out
+
+
+def random_objects(r, n):
+    for _ in range(n):
+        x, y, s = r.randrange(6), r.randrange(6), r.choice([1, 1, 2])
+        ring = r.choice([[(x, y), (x + s, y), (x + s, y + s), (x, y + s)], [(x, y), (x + 2, y + 1), (x + 1, y + 2)], [(x, y), (x + s, y), (x + 2 * s, y), (x, y + s)], [(x, y), (x + 2, y), (x + 1, y), (x + 1, y + 1)]])
+        k = r.randrange(len(ring))
+        obj = [(ring[k:] + ring[:k])[:: r.choice([1, -1])]]
+        if r.random() < 0.3:
+            obj.append([(x, y), (x, y + 1), (x + 1, y + 1), (x + 1, y)][:: r.choice([1, -1])])
+        yield obj
 
 
 def test_random_coverages_equal_the_sequential_model(spark):
     r = random.Random(9)
-    for _ in range(3):
-        objects = []
-        for _ in range(60):
-            x, y, s = r.randrange(6), r.randrange(6), r.choice([1, 1, 2])
-            ring = [(x, y), (x + s, y), (x + s, y + s), (x, y + s)]
-            objects.append([ring[:: r.choice([1, -1])]])
-        owners, found = model(objects)
+    seen = [0] * 5
+    for size in (8, 20, 60, 60):
+        objects = list(random_objects(r, size))
+        want, found, crossed, spiked, at = model(objects)
         owned = keep(edges.owned_uses(rings.edge_uses(coverage(spark, *objects).repartition(7))))
-        e = edges.edges(owned).collect()
-        assert sorted((r.x, r.y, r.is_loc, r.o_loc) for r in edges.overlapping_edges(owned).collect()) == found
-        assert {((x.edge_key.ax, x.edge_key.ay), (x.edge_key.bx, x.edge_key.by)): (x.left_obj, x.right_obj) for x in e} == {k: (v[1], v[2]) for k, v in owners.items()}
+        e = keep(edges.edges(owned))
+        assert sorted((x.x, x.y, x.is_loc, x.o_loc) for x in edges.overlapping_edges(owned).collect()) == found
+        assert {((x.edge_key.ax, x.edge_key.ay), (x.edge_key.bx, x.edge_key.by)): (x.left_obj, x.right_obj) for x in e.collect()} == {k: (v["left"], v["right"]) for k, v in want.items()}
+        att = keep(rotation.attachments(rotation.half_edges(e), star_degree=12))
+        assert sorted((x.x, x.y, x.is_loc, x.cw_loc, x.ccw_loc, x.end_no) for x in rotation.ring_intersections(att).collect()) == crossed
+        assert sorted((x.x, x.y, x.obj, x.tx, x.ty, x.end_no) for x in rotation.invalid_angles(att).collect()) == spiked
+        place = lambda w: (*w[0]["src"], w[0]["object"])
+        inner, outer = walked(want, at, True), [w for w in walked(want, at, False) if w[1] >= 3]
+        both = keep(faces.walks(e))
+        assert places(faces.holes(e)) == places(faces.holes(e, both)) == sorted(map(place, inner))
+        outer.remove(max(outer, key=lambda w: (w[1], -w[0]["no"])))
+        assert places(faces.free_standing(e)) == places(faces.free_standing(e, both)) == sorted(map(place, outer))
+        seen = [a + len(b) for a, b in zip(seen, (found, crossed, spiked, inner, outer))]
+    assert all(seen)
+
+
+def test_the_end_that_reports_first(spark):
+    """A ring that starts at a known node reports its first edge's source end first, a later edge its target end."""
+    star = [[(0, 0), (2, 0), (2, 2), (0, 2)], [(4, 0), (6, 0), (6, 2), (4, 2)]]
+    found = model([[s] for s in star] + [[[(1, 1), (0, 0), (4, 0), (1, 5)]], [[(0, 0), (6, 2), (9, 9)]]])[2]
+    _, e = build(spark, *[[s] for s in star], [[(1, 1), (0, 0), (4, 0), (1, 5)]], [[(0, 0), (6, 2), (9, 9)]])
+    got = [(x.x, x.y, x.is_loc, x.cw_loc, x.ccw_loc, x.end_no) for x in rotation.ring_intersections(rotation.attachments(rotation.half_edges(e))).collect()]
+    assert sorted(got) == found and len(found) >= 4
 
 
 def test_numbering_and_filters(spark):
