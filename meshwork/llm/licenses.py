@@ -40,7 +40,7 @@ BLOCK = 64
 THRESHOLD = 0.8
 MAX_TEMPLATE_WORDS = 5000
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: Public licence notices; the label that a block which meets one gives its document.
+#: Public licence notices and whole texts; the label that a block which meets one gives its document.
 TEMPLATES = {
     "notice-gpl": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
     "notice-gpl-short": "this work is licensed under the gnu general public license version 3",
@@ -50,6 +50,8 @@ TEMPLATES = {
     "notice-bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "notice-mpl": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "notice-cc": "this work is licensed under a creative commons attribution 4 0 international license",
+    "text-mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "text-isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
 }
 #: Characters of words in lower-cased text. All others below 0x80 are named one by one: a class of single characters is looked up
 #: in a table, a class of ranges is tried range by range, at five times the time.
@@ -205,17 +207,18 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _oracle() -> str:
     """Brute force: every block against every template."""
     w = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
-    arrays = ", ".join(f"('{k}', [{', '.join(repr(x) for x in sorted(set(t.split())))}])" for k, t in TEMPLATES.items())
+    sizes = block_sizes(TEMPLATES)
+    arrays = ", ".join(f"('{k}', {sizes[k]}, [{', '.join(repr(x) for x in sorted(set(t.split())))}])" for k, t in TEMPLATES.items())
     phrases = ", ".join(f"('{label}', [{', '.join(repr(x) for x in p.split())}])" for p, label in PHRASES.items())
     return rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {w}) AS ws FROM documents),
-t(label, tw) AS (VALUES {arrays}), p(label, pw) AS (VALUES {phrases}),
+t(label, size, tw) AS (VALUES {arrays}), p(label, pw) AS (VALUES {phrases}),
 h AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d),
 hit AS (SELECT doc_id, label, i - 1 AS pos FROM h, p WHERE ws[i] = pw[1] AND ws[i : i + len(pw) - 1] = pw),
 base AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS bl FROM hit GROUP BY doc_id),
-blocks AS (SELECT doc_id, list_distinct(ws[s + 1 : s + {BLOCK}]) AS b
-           FROM (SELECT doc_id, ws, unnest(range(0, greatest(len(ws) - {BLOCK // 2}, 1), {BLOCK // 2})) AS s FROM d)),
-m AS (SELECT doc_id, label, len(list_intersect(b, tw)) AS c, len(tw) AS n FROM blocks, t WHERE list_has_any(b, tw)),
+blocks AS (SELECT doc_id, size, list_distinct(ws[s + 1 : s + size]) AS b
+           FROM (SELECT doc_id, ws, size, unnest(range(0, greatest(len(ws) - size // 2, 1), size // 2)) AS s FROM d, (SELECT DISTINCT size FROM t))),
+m AS (SELECT doc_id, label, len(list_intersect(b, tw)) AS c, len(tw) AS n FROM blocks JOIN t USING (size) WHERE list_has_any(b, tw)),
 tm AS (SELECT doc_id, list(DISTINCT label) AS tl, max(c / n) AS s FROM m WHERE c >= ceil({THRESHOLD} * n - 1e-9) GROUP BY doc_id)
 SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
        array_to_string(list_sort(coalesce(bl, []::VARCHAR[])), ',') AS base_labels,

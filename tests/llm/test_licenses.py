@@ -3,7 +3,9 @@ from __future__ import annotations
 import math
 import re
 
-from meshwork.llm.licenses import BLOCK, PHRASES, TEMPLATES, THRESHOLD, label_documents, scan
+from meshwork.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, block_sizes, label_documents, op7_license_scan, scan
+
+from pyspark.sql import functions as F
 
 from .conftest import prose
 
@@ -12,10 +14,10 @@ def brute(text):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
     hits = [(i, label) for p, label in PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
     base, added, score = {x for _, x in hits}, set(), 1.0 if hits else 0.0
-    for s in range(0, max(len(w) - BLOCK // 2, 1), BLOCK // 2):
-        b = set(w[s : s + BLOCK])
-        for label, t in TEMPLATES.items():
-            t = set(t.split())
+    for label, t in TEMPLATES.items():
+        t, size = set(t.split()), block_sizes(TEMPLATES)[label]
+        for s in range(0, max(len(w) - size // 2, 1), size // 2):
+            b = set(w[s : s + size])
             if len(b & t) >= math.ceil(THRESHOLD * len(t) - 1e-9):
                 added.add(label)
                 score = max(score, len(b & t) / len(t))
@@ -33,6 +35,10 @@ def test_against_brute_force(spark, odd_docs, no_docs):
         " ".join(TEMPLATES["notice-bsd"].split()[:12]),
         *TEMPLATES.values(),
         "éapache license apache licenseé 日apache license",
+        prose(4, 90) + " " + TEMPLATES["text-mit"].title() + ". " + prose(5, 300),
+        prose(6, 40) + " " + " ".join(w for i, w in enumerate(TEMPLATES["text-isc"].split()) if i % 9),
+        "gnu general public gnu general public license; gnu. general, public license cc",
+        "\u212aernel mit \u0130license mit license\u0130 \u00a0mit license",
     ]
     more = spark.createDataFrame([(500 + i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
     docs = odd_docs.select("doc_id", "text").unionByName(more)
@@ -52,3 +58,14 @@ def test_long_templates_are_met(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
     _, matches = scan(docs, templates=TEMPLATES | {"long": long, "half": half})
     assert {(r.doc_id, r.label) for r in matches.collect()} == {(0, "long"), (1, "half"), (2, "half"), (3, "half"), (4, "notice-mit")}
+
+
+def test_clashing_columns_and_the_query(spark, odd_docs):
+    """Extra columns with the names that the operator uses itself."""
+    names = ["row", "n_words", "chunks", "words", "label", "start", "b", "x", "rank", "labels", "added", "containment"]
+    wide = odd_docs.select("doc_id", "text", *[F.lit("z").alias(n) for n in names])
+    plain = sorted(map(tuple, label_documents(odd_docs.select("doc_id", "text")).collect()), key=str)
+    assert sorted(map(tuple, label_documents(wide).collect()), key=str) == plain
+    sf = "/root/testdata/sf0.001"
+    got = sorted(map(tuple, op7_license_scan(spark, sf).collect()), key=str)
+    assert got == sorted(((r.doc_id, *brute(r.text)) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()), key=str)
