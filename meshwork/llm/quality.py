@@ -5,11 +5,13 @@ word shares, then a learned tanh layer), a gated attention tanh(Vh) * sigmoid(Uh
 how much each passage weighs, and the score is the logistic of the weighted passage representation. Every
 passage of every document is encoded and weighed; labels, language, source and ids are never inputs.
 
-Fitting uses a documented bound: at most FIT_DOCS labelled documents, by hash of the id, and of each at most
-FIT_PASSAGES passages, evenly spread. Rows with crc32(id as text) mod 5 = 0 are held out.
+Fitting uses a documented bound on rows: at most FIT_DOCS of the labelled documents that are there, in the order of their ids' hashes, passing over
+those with which their texts would exceed FIT_BYTES together. Of a chosen document all passages are fitted on. Rows with crc32(id as text) mod 5 = 0
+are held out.
 
 Defined cases: null, empty or blank text is one passage of zeros and gets a score too; null ids are not held out and not
-fitted on; repeated rows get equal scores; labels of an id that repeats are taken once (the largest); without any label, or with one
+fitted on; repeated rows get equal scores; labels of an id that repeats are taken once (the largest), and
+so are texts of an id (the one of the least hash); without any label, or with one
 label only, the score is that label's smoothed share for all; very long texts are encoded in ranges of whole
 passages; an empty table gives an empty result; all columns of the input stay.
 """
@@ -21,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, pieces_of, python_workers, table, utf8, word_hashes, words
+from .common import free_name, materialise, pieces_of, python_workers, table, utf8, word_hashes, words
 
 PASSAGE = 64
 BUCKETS = 128
 FIT_DOCS = 6000
-FIT_PASSAGES = 32
+FIT_BYTES = 64 << 20
 HIDDEN, GATE = 32, 16
 EPOCHS, BATCH, RATE, DECAY = 40, 64, 3e-3, 1e-4
 ACCEPT = 0.3
@@ -54,20 +56,22 @@ def passages(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     x = np.zeros((total, WIDTH), np.float32)
     if not len(starts):
         return x, count
-    # A byte belongs to the passage of the last word that starts at or before it.
-    spread = np.diff(np.append(starts, len(data)))
+    # A byte belongs to the passage of its row's last word that starts at or before it.
+    spread = np.minimum(np.append(starts[1:], len(data)), off[rows + 1]) - starts
     of_byte = np.repeat(of_word, spread)
-    kinds = np.bincount(of_byte * KINDS + _KIND[data[starts[0] :]], minlength=total * KINDS).reshape(total, KINDS).astype(np.float32)
+    at = np.arange(len(of_byte)) + np.repeat(starts - (np.cumsum(spread) - spread), spread)
+    kinds = np.bincount(of_byte * KINDS + _KIND[data[at]], minlength=total * KINDS).reshape(total, KINDS).astype(np.float32)
     x[:, :KINDS] = kinds / np.maximum(kinds.sum(axis=1, keepdims=True), 1)
     h = word_hashes(data, starts, lens)
-    n = np.maximum(np.bincount(of_word, minlength=total), 1).astype(np.float32)
+    held = np.bincount(of_word, minlength=total).astype(np.float32)
+    n = np.maximum(held, 1)
     mean = lambda v: np.bincount(of_word, weights=v, minlength=total) / n
     first, last = data[starts], data[starts + lens - 1]
     again = np.zeros(len(h))
     again[1:] = (h[1:] == h[:-1]) & (of_word[1:] == of_word[:-1])
     bucket = np.bincount(of_word * BUCKETS + (h >> np.uint64(57)).astype(np.int64), minlength=total * BUCKETS).reshape(total, BUCKETS)
     size = mean(lens)
-    shape = (size / 10, np.sqrt(np.maximum(mean(lens.astype(float) ** 2) - size**2, 0)) / 10, mean(again), (bucket > 0).sum(axis=1) / n, mean(lens == 1), mean((first >= 65) & (first <= 90)), mean(_KIND[last] >= 5), n / PASSAGE)
+    shape = (size / 10, np.sqrt(np.maximum(mean(lens.astype(float) ** 2) - size**2, 0)) / 10, mean(again), (bucket > 0).sum(axis=1) / n, mean(lens == 1), mean((first >= 65) & (first <= 90)), mean(_KIND[last] >= 5), held / PASSAGE)
     for k, v in enumerate(shape):
         x[:, KINDS + k] = v
     x[:, KINDS + SHAPE :] = bucket / n[:, None]
@@ -148,22 +152,29 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % HELD_OUT_OF == 0, F.lit(False))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", most: int = FIT_DOCS) -> AttentionModel:
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", most: int = FIT_DOCS, most_bytes: int = FIT_BYTES) -> AttentionModel:
     python_workers(docs.sparkSession)
+    own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(label).cast("double").alias("y"))
     # At most FIT_DOCS rows, by hash: the limit's order is total, so the choice does not depend on partitions.
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    sample = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
+    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    chosen = known.join(own.select("doc_id"), "doc_id", "left_semi").orderBy(*order).limit(most)
+    once = own.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    sample = materialise(once, "quality-sample")
+    left, kept = most_bytes, []
+    for doc, size in sample.orderBy(*order).select("doc_id", F.octet_length("text")).collect():
+        if size <= left:
+            kept.append(doc)
+            left -= size
 
     def features(batches):
         for batch in batches:
             for a, b, x, count in bags(batch.column(2)):
                 ends = np.cumsum(count)
-                kept = [x[e - c : e][np.unique(np.linspace(0, c - 1, min(c, FIT_PASSAGES)).astype(int))].tobytes() for e, c in zip(ends, count, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(kept, pa.binary())], names=["doc_id", "y", "x"])
+                bag = [x[e - c : e].tobytes() for e, c in zip(ends, count, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(bag, pa.binary())], names=["doc_id", "y", "x"])
 
-    rows = sample.mapInArrow(features, f"doc_id {docs.schema[id_col].dataType.simpleString()}, y double, x binary").toArrow().sort_by([("doc_id", "ascending"), ("x", "ascending")])
-    rows = rows.slice(0, most)
+    rows = sample.where(F.col("doc_id").isin(kept)).mapInArrow(features, f"doc_id {docs.schema[id_col].dataType.simpleString()}, y double, x binary").toArrow().sort_by([("doc_id", "ascending")])
     xs = [np.frombuffer(v.as_py(), np.float32).reshape(-1, WIDTH) for v in rows["x"]]
     return AttentionModel().fit(xs, rows["y"].to_numpy())
 
