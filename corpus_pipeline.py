@@ -5,7 +5,7 @@ Each stage works on all that its predecessor kept. All but the last return the c
 Defined cases: those of the operators. The classifier is fitted on the labelled documents that reach it; without labels
 every document gets one score and, at the smoothed share of good labels, stays or goes alike. Line dedup leaves a document
 whose lines are all held by others with an empty text. Near-dedup keeps the smallest doc_id of each component;
-rows that repeat an id are one document; rows with a null id link with nothing and stay.
+rows that repeat an id are one document, of which the least row stays; rows with a null id link with nothing and stay.
 """
 
 from __future__ import annotations
@@ -42,7 +42,9 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     left = docs.join(gone, "doc_id", "left_anti")
     [once] = free_name(docs, "once")  # tells rows with a null id apart, so that only repeated ids are one
     key = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    return left.withColumn(once, key).dropDuplicates(["doc_id", once]).select(docs.columns)
+    rest = [c for c in docs.columns if c != "doc_id"]
+    kept = left.withColumn(once, key).groupBy("doc_id", once).agg(F.min(F.struct(*rest)).alias(once + "_row"))
+    return kept.select("doc_id", f"{once}_row.*").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -64,6 +64,27 @@ def free_name(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+#: Keys with more rows than this are split; and at most MAX_HOT of them are broadcast, whatever the number of rows.
+HOT_ROWS, MAX_HOT = 256, 100_000
+
+
+def hot_limit(rows: int) -> int:
+    """Keys with more rows than this are hot: of `rows` rows at most MAX_HOT keys can be."""
+    return max(HOT_ROWS, rows // MAX_HOT)
+
+
+def join_hot(rows: DataFrame, per_key: DataFrame, key: str, count: str, limit: int) -> DataFrame:
+    """Inner join of `rows` with `per_key` (one row for each key, `count` its rows). The values of keys with more than `limit` rows, at most MAX_HOT
+    by hot_limit, are broadcast, and the rows of such a key are spread by their hash, so that no task gets them all."""
+    values = [c for c in per_key.columns if c not in (key, count)]
+    hot = per_key.where(F.col(count) > limit).select(key, F.struct(*values).alias("_hot"))
+    spread = 1 + F.pmod(F.xxhash64(*rows.columns), F.lit(65_536))
+    marked = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.when(F.col("_hot").isNull(), F.lit(0).cast("long")).otherwise(spread))
+    own = per_key.select(key, F.lit(0).cast("long").alias("_salt"), F.struct(*values).alias("_own"))
+    both = marked.join(own, [key, "_salt"], "left").withColumn("_v", F.coalesce("_hot", "_own")).where("_v IS NOT NULL")
+    return both.select(*rows.columns, *[F.col(f"_v.{c}").alias(c) for c in values])
+
+
 def text_col(name: str) -> Column:
     """The text with null taken as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

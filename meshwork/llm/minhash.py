@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, mix, pieces_of, python_workers, table, utf8, word_hashes, words
+from .common import hot_limit, join_hot, materialise, mix, pieces_of, python_workers, table, utf8, word_hashes, words
 from .components import connected_components
 
 SHINGLE = 5
@@ -135,11 +135,15 @@ def full_sets(docs: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets reach the threshold. A set crosses the network once per pair; a hub's pairs are one
-    key only in the first join, whose rows are two ids, and are split there by AQE."""
-    a = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("s"))
+    """The pairs (u, v) whose full sets reach the threshold. A set crosses the network once per pair. A hub's pairs, many
+    with one u, are dealt to copies of its set, one for each hot_limit of them, so no task gets them all."""
+    pairs = materialise(pairs, "minhash-pairs")
+    limit = hot_limit(pairs.count())
+    hubs = F.broadcast(pairs.groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("u", F.ceil(F.col("n") / limit).alias("copies")))
+    a = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("s")).join(hubs, "u", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
     b = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("t"))
-    both = pairs.join(b, "v").join(a, "u")
+    salted = pairs.join(hubs, "u", "left").select("u", "v", F.coalesce(F.pmod(F.xxhash64("v"), F.col("copies")), F.lit(0)).alias("salt"))
+    both = salted.join(a, ["u", "salt"]).join(b, "v")
     common = F.size(F.array_intersect("s", "t"))
     return both.where(100 * common >= percent * (F.size("s") + F.size("t") - common)).select("u", "v")
 
@@ -170,8 +174,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     classes = materialise(named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size")), "minhash-classes")
     reps = classes.groupBy(F.col("rep").alias("doc_id")).agg(F.min(F.struct("digest", "size")).alias("c")).select("doc_id", F.col("c.digest").alias("rep_digest"), "c.size")
     banded = named.join(reps, "doc_id").where(F.col("digest") == F.col("rep_digest")).select("doc_id", "size", F.explode("bands").alias("band"))
-    grouped = banded.groupBy("band").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top")).where("hub < top").select("band", "hub")
-    members = materialise(banded.join(grouped, "band").select("band", "hub", "doc_id", "size").distinct(), "minhash-members")
+    grouped = banded.groupBy("band").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top"), F.count("*").alias("n")).where("hub < top").select("band", "hub", "n")
+    members = materialise(join_hot(banded, grouped, "band", "n", hot_limit(BANDS * classes.count())).select("band", "hub", "doc_id", "size").distinct(), "minhash-members")
 
     ids = materialise(members.select("doc_id").distinct().join(reps.select("doc_id", "rep_digest"), "doc_id"), "minhash-candidates")
     few = ids.count() <= BROADCAST_IDS  # 24 MB at most; beyond that a shuffled join
@@ -189,7 +193,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     rest = materialise(placed.join(mixed, "band", "left_semi").select("doc_id", "component").distinct(), "minhash-mixed")
     more = materialise(confirmed(prefix_pairs(rest.join(sets, "doc_id"), percent), sets, percent), "minhash-links")
     if not more.isEmpty():
-        comps = connected_components(links.unionByName(more), "minhash-components")
+        comps = connected_components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), "minhash-components")
 
     final = classes.select("digest", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = sk.select("doc_id", "n_shingles", "digest").join(final, "digest", "left")
