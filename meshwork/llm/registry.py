@@ -24,5 +24,6 @@ ORACLE_SQL = {
     "op4_content_addressed_warc": warc_store.OP4_SQL,
     "op6_minhash_near_dedup": minhash.OP6_SQL,
     "op7_license_scan": licenses.OP7_SQL,
+    "op8_feistel_sharding": sharding.OP8_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
 }
