@@ -9,7 +9,7 @@ that at least two documents hold lose all their lines but those of the smallest
 2. The distinct hashes are dealt to shards of about SHARD_KEYS. Each shard gets a minimal perfect hash
    (levels of bit arrays with ranks) that indexes three arrays: fingerprints, counts and
    first documents. The shards are a table in the shared folder.
-3. Documents are dealt to parts of about PART_BYTES of text. A part asks for each distinct hash once,
+3. Documents are dealt to parts of about PART_BYTES of text; rows that repeat one id and text more often are spread over several. A part asks for each distinct hash once,
    however many of its documents hold it; requests meet their shard, probe its arrays, and what is
    repeated goes back to the part, where the lines are dropped.
 
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, materialise, mix, python_workers, table
+from .common import MAX_HOT, free_name, materialise, mix, python_workers, table
 
 MIN_CHARS = 10
 SHARD_KEYS = 100_000
@@ -138,28 +138,37 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_
     """All columns of `docs`, then n_lines, n_dropped and kept_text."""
     spark = docs.sparkSession
     python_workers(spark)
-    part, doc = free_name(docs, "part", "doc")
+    part, doc, own, spread = free_name(docs, "part", "doc", "own", "spread")
     outs = free_name(docs, "n_lines", "n_dropped", "kept_text")
-    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    parts = max(1, -(-total // PART_BYTES))
-    dealt = docs.withColumn(part, F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(parts))).withColumn(doc, F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)))
+    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    sizes = materialise(docs.groupBy(key.alias(own)).agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0))).alias("bytes")), "line-sizes")
+    total = sizes.agg(F.sum("bytes")).first()[0] or 0
+    parts, most = max(1, -(-total // PART_BYTES)), max(PART_BYTES, total // MAX_HOT)
+    # At most MAX_HOT keys can have more than `most` bytes.
+    hot = F.broadcast(sizes.where(F.col("bytes") > most).select(own, F.least(F.ceil(F.col("bytes") / most), F.lit(parts)).cast("long").alias(spread)))
+    keyed = docs.withColumn(own, key).join(hot, own, "left").withColumn(spread, F.coalesce(spread, F.lit(1).cast("long")))
+    base = F.pmod(F.col(own), F.lit(parts))
+    keyed = keyed.withColumn(doc, F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)))
+    # Any of its parts will do for a row, as each of them asks for the row's lines.
+    dealt = keyed.withColumn(part, F.pmod(base + F.pmod(F.monotonically_increasing_id(), F.col(spread)), F.lit(parts))).drop(own, spread)
 
     def keys(batches):
         for b in batches:
             counts, found = [], []
-            for text in b.column(2):
+            for text in b.column(3):
                 own = set(line_hashes(text.as_py() or b"", min_chars))
                 own.discard(b"")
                 counts.append(len(own))
                 found += own
             h = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
             at = pa.array(np.repeat(np.arange(len(counts)), counts))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(h[:, 0]), pa.array(h[:, 1])], names=["part", "doc", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(at) for k in range(3)), pa.array(h[:, 0]), pa.array(h[:, 1])], names=["base", "spread", "doc", "h1", "h2"])
 
-    raw = dealt.select(part, doc, F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"))
-    lines = materialise(raw.mapInArrow(keys, "part bigint, doc bigint, h1 bigint, h2 bigint"), "line-hashes")
+    raw = keyed.select(base.alias("base"), spread, doc, F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"))
+    lines = materialise(raw.mapInArrow(keys, "base bigint, spread bigint, doc bigint, h1 bigint, h2 bigint"), "line-hashes")
     index, shards = build_index(lines, lines.count())
-    asked = lines.select("part", "h1", "h2").distinct().withColumn("shard", F.pmod("h1", F.lit(shards)))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("spread") - 1))
+    asked = lines.select("base", "spread", "h1", "h2").distinct().withColumn("k", every).select(F.pmod(F.col("base") + F.col("k"), F.lit(parts)).alias("part"), "h1", "h2").distinct().withColumn("shard", F.pmod("h1", F.lit(shards)))
     answers = asked.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(_probe, "part bigint, h1 bigint, h2 bigint, first_doc bigint")
 
     names = docs.columns

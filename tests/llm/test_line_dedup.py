@@ -45,3 +45,13 @@ def test_against_brute_force(spark, odd_docs, no_docs, monkeypatch):
     wide = dedup_lines(odd_docs)
     assert wide.columns[: len(odd_docs.columns)] == odd_docs.columns and wide.count() == odd_docs.count()
     assert dedup_lines(no_docs).count() == 0
+
+
+def test_rows_that_repeat_are_spread(spark, monkeypatch):
+    """One id and text many times over: several parts hold its rows, and each knows which lines go."""
+    monkeypatch.setattr(line_dedup, "PART_BYTES", 500)
+    rows = [(5, "the line that stays here\nanother of my own lines")] * 60 + [(1, "The line that stays here")] + [(9, "another of my own lines\nlast")] * 3 + [(None, "last of the long lines")] * 40 + [(2, "last of the long lines")]
+    docs = spark.createDataFrame([(*r, "x", "y", 1) for r in rows], "doc_id bigint, text string, own string, spread string, base int")
+    got = dedup_lines(docs.repartition(3))
+    assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in got.collect()), key=str) == brute(rows)
+    assert got.columns == [*docs.columns, "n_lines", "n_dropped", "kept_text"]
