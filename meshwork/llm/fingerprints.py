@@ -7,7 +7,7 @@ chunks cover the text, halved while fewer than 32 are found. A fingerprint is
 by edit distance: 1 - distance / longer length, the best of those that are compatible, else 0.
 
 The edited text needs the next document in descending id. Ids are split at exact ids of the table
-(as many as shuffle partitions); each range is a partition, ordered, and the head of a range is
+(into ranges of about RANGE_BYTES of text, or as many as shuffle partitions); each range is a partition, ordered, and the head of a range is
 sent to the range before as well, so one shuffle of the texts is all and nothing is ordered in one
 task. A worker holds two texts at a time.
 
@@ -31,6 +31,7 @@ from .common import shuffle_partitions, python_workers, table
 WINDOW = 7
 MIN_BLOCK = 3
 LENGTH = 64
+RANGE_BYTES = 64 << 20
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 
 
@@ -105,8 +106,8 @@ def edited(text: str, following: str) -> str:
 def _in_ranges(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (id, text, part, echo) ordered by part, echo and descending id; echo rows are copies of the next part's head."""
     spark = docs.sparkSession
-    n = shuffle_partitions(spark)
     row = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    n = max(shuffle_partitions(spark), (row.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE_BYTES)
     q = row.agg(F.max("id"), F.percentile_approx("id", F.array(*[F.lit(i / n) for i in range(n - 1, 0, -1)]), F.lit(10_000)) if n > 1 else F.lit(None)).first()
     splits = sorted({q[0], *(q[1] or ())} - {None}, reverse=True)
     if not splits:
