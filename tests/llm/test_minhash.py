@@ -5,7 +5,9 @@ import re
 
 import numpy as np
 import pytest
-from meshwork.llm.minhash import BINS, near_duplicates, one_permutation, shingle_sets
+from meshwork.llm.minhash import BINS, near_duplicates, one_permutation, op6_minhash_near_dedup, shingle_sets
+
+from pyspark.sql import functions as F
 
 from .conftest import prose
 
@@ -89,3 +91,22 @@ def test_the_exact_join_finds_what_a_star_loses(spark):
     ids = [3, 0, 5, 1, 7, 2, 6, 4]
     rows = [(ids[i], t) for i, t in rows]
     assert run(spark.createDataFrame(rows, "doc_id bigint, text string")) == brute(rows)
+
+
+def test_the_query_and_clashing_columns(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = brute([(r.doc_id, r.text) for r in docs.collect()])
+    assert sorted(map(tuple, op6_minhash_near_dedup(spark, sf).collect()), key=str) == want
+    wide = docs.select("doc_id", "text", *[F.lit(3).alias(n) for n in ("digest", "bands", "rep", "band", "hub", "component", "shingles", "u", "v", "salt", "_hot")])
+    assert run(wide) == want
+
+
+def test_hubs_are_spread(spark, monkeypatch):
+    """With every key of two rows a hot one, nothing changes."""
+    from meshwork.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 1)
+    words = prose(3, 150).split()
+    rows = [(i, " ".join([*words[:140], f"own{i}", *words[141:]])) for i in range(40)] + [(100 + i, prose(50 + i, 30)) for i in range(5)]
+    assert run(spark.createDataFrame(rows, "doc_id bigint, text string")) == brute(rows)
