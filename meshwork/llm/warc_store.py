@@ -6,7 +6,8 @@ record's exact header bytes; reading joins them and gives the original records b
 Of records with equal payloads of at least 100 bytes the one with the smallest page_id is a
 `response`, the others are `revisit` records without a block of their own; smaller payloads are
 always `response`. The payload's one shuffle combines copies on the map side, so a payload that a
-third of all records hold crosses the network once per task.
+third of all records hold crosses the network once per task. Records of such a payload are spread over all tasks: its facts are broadcast when
+writing, and copies of it, one for each hot_limit of its records, meet them when reading.
 
 Defined cases: null html is an empty payload; null url is an empty target URI; rows that repeat a page_id
 and its html are records of their own, all `response` if they hold the smallest page_id; a null
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import hot_limit, join_hot, shared_dir, table
 
 MIN_REVISIT_BYTES = 100
 DATE = "1970-01-01T00:00:00Z"
@@ -52,25 +53,36 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTE
     records = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     once = records.groupBy("digest").agg(F.first("payload").alias("payload"), F.min("page_id").alias("first_id"), F.count("*").alias("records"))
     once.withColumn("payload_bytes", F.octet_length("payload").cast("long")).write.option("compression", "zstd").parquet(f"{path}/payloads")
-    index = spark.read.parquet(f"{path}/payloads").select("digest", "first_id", "payload_bytes")
-    light = pages.select("page_id", "url", F.sha2(payload, 256).alias("digest")).join(index, "digest")
+    index = spark.read.parquet(f"{path}/payloads").select("digest", "first_id", "payload_bytes", "records")
+    light = join_hot(pages.select("page_id", "url", F.sha2(payload, 256).alias("digest")), index, "digest", "records", hot_limit(_records(index)))
     revisit = (F.col("payload_bytes") >= min_bytes) & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     light.select("page_id", "digest", F.encode(_header(revisit, date), "UTF-8").alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
 
 
+def _records(payloads: DataFrame) -> int:
+    return payloads.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
+
+
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """Per record: page_id, record_type, refers_to, payload_digest and payload_bytes (both recomputed
     from the stored payload), verified, payload (the full one, for revisits too) and record, the original
     bytes. Each stored payload is hashed once, before the join; columns that are not asked
     for are pruned there."""
-    stored = spark.read.parquet(f"{path}/payloads").select(F.col("digest").alias("stored_digest"), "payload", F.sha2("payload", 256).alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"))
+    payloads = spark.read.parquet(f"{path}/payloads")
+    limit = hot_limit(_records(payloads))
+    copies = F.ceil(F.col("records") / limit)
+    stored = payloads.select(F.col("digest").alias("stored_digest"), "records", "payload", F.sha2("payload", 256).alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"))
+    stored = stored.withColumn("stored_salt", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
+    # At most MAX_HOT payloads have more than `limit` records.
+    hot = F.broadcast(payloads.where(F.col("records") > limit).select("digest", copies.alias("copies")))
     head = F.decode("header", "UTF-8")
-    headers = spark.read.parquet(f"{path}/headers").select(
-        "page_id", "digest", "header",
+    salt = F.coalesce(F.pmod(F.xxhash64("page_id", "header"), F.col("copies")), F.lit(0))
+    headers = spark.read.parquet(f"{path}/headers").join(hot, "digest", "left").select(
+        "page_id", "digest", "header", salt.alias("salt"),
         F.regexp_extract(head, "\r\nWARC-Type: ([a-z]+)\r\n", 1).alias("record_type"),
         F.expr("try_cast(nullif(regexp_extract(decode(header, 'UTF-8'), '\\r\\nWARC-Refers-To: <urn:page:(-?[0-9]+)>\\r\\n', 1), '') as bigint)").alias("refers_to"),
     )
-    both = headers.join(stored, headers.digest == stored.stored_digest, "left")
+    both = headers.join(stored, (headers.digest == stored.stored_digest) & (headers.salt == stored.stored_salt), "left")
     block = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
     return both.select("page_id", "record_type", "refers_to", "payload_digest", "payload_bytes", F.coalesce(F.col("payload_digest") == F.col("digest"), F.lit(False)).alias("verified"), "payload", F.concat("header", block, F.lit(b"\r\n\r\n")).alias("record"))
 

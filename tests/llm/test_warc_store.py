@@ -33,6 +33,14 @@ def test_records_come_back_whole(spark):
     assert stored.count() == len({h or "" for _, _, h in ROWS})
 
 
+def test_hot_payloads_are_spread(spark, monkeypatch):
+    """With every payload of two records a hot one, records come back all the same."""
+    from meshwork.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 1)
+    test_records_come_back_whole(spark)
+
+
 def test_damage_is_found(spark):
     from pyspark.sql import functions as F
 
