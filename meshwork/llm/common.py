@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from pathlib import Path
 
@@ -12,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.materialise import shared_dir as session_dir
+
 #: Rows in one Arrow batch; with maxBytesPerBatch it bounds what a Python worker holds.
 BATCH_ROWS = 1000
 
@@ -25,19 +26,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share. Where that is unset
-    (tests on one machine) a local folder is taken and set as the checkpoint folder."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not base:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="meshwork-"))
-        base = sc.getCheckpointDir()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder below this session's in spark.checkpoint.dir, which all executors share; `materialise.forget` deletes the session's."""
+    return f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it again: lineage is cut and a lost executor
-    costs nothing that was written. The files stay until the folder is cleaned."""
+    costs nothing that was written. The files stay until `materialise.forget` or the end of a `kept_tables` scope."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,7 +7,8 @@ import struct
 import numpy as np
 import public_tokenizers
 import sentencepiece
-from meshwork.llm.pieces import CharMap, codec, encode_documents
+from meshwork.llm.pieces import CharMap, codec, encode_documents, op5_offset_preserving_pieces
+from pyspark.sql import functions as F
 
 LIB = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -115,3 +116,25 @@ def test_the_query_takes_its_digests_from_the_full_output(spark, odd_docs):
     for r in encode_documents(odd_docs.where("doc_id IS NOT NULL")).collect():
         raw = (texts[r.doc_id] or "").encode()
         assert b"".join(raw[a:b] for a, b in zip(r.starts, r.ends)) == raw
+
+
+def test_the_query(spark):
+    """Ids, text and spans of every document by the library."""
+    sf = "/root/testdata/sf0.001"
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    got = {r.doc_id: r for r in op5_offset_preserving_pieces(spark, sf).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    assert len(got) == len(docs)
+    for d in docs:
+        text, r = d.text or "", got[d.doc_id]
+        ids = [1, *LIB.encode(text), 2]
+        spans = [(0, 0), *((p.begin, p.end) for p in LIB.encode(text, return_type="proto").pieces), (len(text.encode()),) * 2]
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), sha(np.array(ids, "<u4").tobytes())), d.doc_id
+        assert r.decoded_sha256 == sha(LIB.decode(ids).encode()) and r.spans_sha256 == sha(np.array(spans, "<i8").tobytes()), d.doc_id
+
+
+def test_clashing_columns(spark, odd_docs):
+    """Extra columns with the names that the operator uses itself."""
+    wide = odd_docs.select("doc_id", "text", *[F.lit(1).alias(n) for n in ("ids", "starts", "ends", "decoded", "n_tokens")])
+    plain = odd_docs.select("doc_id", "text")
+    assert sorted(map(str, encode_documents(wide).collect())) == sorted(map(str, encode_documents(plain).collect()))

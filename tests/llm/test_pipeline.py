@@ -44,3 +44,18 @@ def test_near_dedup_links_from_0_80(spark):
     assert like[19] > 0.83 and 0.8 <= like[21] < 0.85 and like[22] < 0.8
     kept = {r.doc_id for r in corpus_pipeline.dedup_near(spark, docs, SF).collect()}
     assert kept == {d for d, _, _, k in test_minhash.brute(rows, 80) if k} != {d for d, _, _, k in test_minhash.brute(rows) if k}
+
+
+def test_packing_takes_odd_documents(spark, odd_docs, no_docs):
+    encode = packing._encoder("byte_bpe_50k.json")
+    got = corpus_pipeline.pack(spark, odd_docs, SF).collect()
+    assert sum(r.length for r in got) == sum(len(encode(r.text or "")) + 1 for r in odd_docs.collect())
+    assert corpus_pipeline.pack(spark, no_docs, SF).count() == 0
+
+
+def test_of_rows_that_repeat_an_id_the_least_stays(spark):
+    rows = [(1, t, "en", s, 9) for t, s in (("b c d", "x"), ("a q r", "y"), ("a q r", "b"))] + [(None, "n", None, None, None)] * 2
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for k in (1, 3):
+        got = corpus_pipeline.dedup_near(spark, docs.repartition(k), SF).collect()
+        assert sorted(map(tuple, got), key=str) == [(1, "a q r", "en", "b", 9), (None, "n", None, None, None), (None, "n", None, None, None)]
