@@ -14,9 +14,9 @@ def shared_dir(spark: SparkSession) -> str:
     """This session's folder below spark.checkpoint.dir, which all executors share. Where that is unset, a local session (tests on one machine)
     takes a temporary folder; a cluster raises, as executors do not share such a folder."""
     sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
-        if not sc.master.startswith("local"):
+        if sc.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 

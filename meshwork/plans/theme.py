@@ -32,11 +32,23 @@ class TopologyTheme:
         self._vertices: DataFrame | None = None
         self._objects, self._geometries = 0, {}
         self._errors: dict[str, DataFrame] = {}
+        self._all: DataFrame | None = None
         _THEMES[name] = self
 
     def close(self) -> None:
         _THEMES.pop(self.name, None)
 
+    def __enter__(self) -> TopologyTheme:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    @staticmethod
+    def of(name: str) -> TopologyTheme:
+        """The theme of that name."""
+        return _THEMES[name]
+
     def parse_surface(self, features: DataFrame) -> TopologyTheme:
         """features (xml) -> topology; overlaps, intersections and invalid angles are reported."""
         features = keep(gml.renumbered(features, self._objects, self._geometries))
@@ -61,6 +73,7 @@ class TopologyTheme:
         for k in ("owned", "edges", "attachments", "walks", "nodes"):
             self.__dict__.pop(k, None)
         self._errors.setdefault("surface", None)
+        self._all = None
         return self
 
     @cached_property
@@ -85,6 +98,7 @@ class TopologyTheme:
 
     def _phase(self, name: str) -> int:
         """Its number by the order in which phases were asked for."""
+        self._all = None
         self._errors.setdefault(name, None)
         return list(self._errors).index(name) + 1
 
@@ -108,13 +122,17 @@ class TopologyTheme:
         return self.check_boundary(tokenize_pos_lists(gml.boundary_pos_lists(features)), **options)
 
     def all_errors(self) -> DataFrame:
+        """All errors that were found, numbered; written once until something more is parsed or detected."""
+        if self._all is not None:
+            return self._all
         phase = self._phase("surface")
         parts = [
             errors.as_errors(edges.overlapping_edges(self.owned), "RING_OVERLAPPING_EDGES", phase),
             errors.as_errors(rotation.ring_intersections(self.attachments), "RING_INTERSECTION", phase),
             errors.as_errors(rotation.invalid_angles(self.attachments), "INVALID_ANGLE", phase),
         ]
-        return errors.number_errors(parts + [e for e in self._errors.values() if e is not None])
+        self._all = keep(errors.number_errors(parts + [e for e in self._errors.values() if e is not None]))
+        return self._all
 
     def topological_errors(self, codes: list[str] | None = None) -> DataFrame:
         return errors.filter_errors(self.all_errors(), codes)

@@ -82,6 +82,20 @@ def located(df: DataFrame) -> DataFrame:
     return df.withColumn("location", F.expr(LOCATION))
 
 
+def gml_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(k, value): the coverage as GML, one feature member a line, in the order of k; a cell is a feature of one or several patches."""
+    v = vertices(spark, sf_dir).withColumn("k", F.expr("(object_id - 1) div 8"))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("seg_ord", "v_ord", "x", "y"))), lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string")))
+    ring = v.groupBy("k", "object_id", "ring_no", "is_exterior").agg(F.concat_ws(" ", texts).alias("p"))
+    kind = F.when(F.col("is_exterior"), "exterior").otherwise("interior")
+    curve = F.concat(F.lit('<gml:Ring><gml:curveMember><gml:Curve gml:id="C'), "object_id", F.lit("_"), "ring_no", F.lit('"><gml:segments><gml:LineStringSegment><gml:posList>'), "p", F.lit("</gml:posList></gml:LineStringSegment></gml:segments></gml:Curve></gml:curveMember></gml:Ring>"))
+    ring = ring.withColumn("xml", F.concat(F.lit("<gml:"), kind, F.lit(">"), curve, F.lit("</gml:"), kind, F.lit(">")))
+    joined = lambda *by: F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct(*by, "xml"))), lambda r: r["xml"]))
+    patch = ring.groupBy("k", "object_id").agg(joined("ring_no").alias("xml")).withColumn("xml", F.concat(F.lit("<gml:PolygonPatch>"), "xml", F.lit("</gml:PolygonPatch>")))
+    head = F.concat(F.lit('<gml:featureMember><adv:Cell gml:id="F'), F.col("k").cast("string"), F.lit('"><adv:modellart><adv:AA_Modellart><adv:advStandardModell>DLKM</adv:advStandardModell></adv:AA_Modellart></adv:modellart><adv:position><gml:Surface gml:id="S'), F.col("k").cast("string"), F.lit('"><gml:patches>'))
+    return patch.groupBy("k").agg(joined("object_id").alias("xml")).select("k", F.concat(head, "xml", F.lit("</gml:patches></gml:Surface></adv:position></adv:Cell></gml:featureMember>")).alias("value"))
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     register(spark, sf_dir, "lineitem")
     return spark.sql(f"WITH {LINES} SELECT * FROM lines")

@@ -40,13 +40,24 @@ def database_index(name: str) -> int:
     return int(name[-3:])
 
 
-def _tree(xml: str) -> ET.Element | None:
+def _plain(xml: str) -> str:
+    """The text without namespace prefixes."""
+    return _ATTRIBUTE.sub(r"\1\2", _PREFIX.sub(r"\1", xml))
+
+
+def _tree(plain: str) -> ET.Element | None:
     try:
-        return ET.fromstring(_ATTRIBUTE.sub(r"\1\2", _PREFIX.sub(r"\1", xml)))
+        return ET.fromstring(plain)
     except ET.ParseError:
         return None
 
 
+def _inner(tree: ET.Element, plain: str) -> str:
+    """The first feature's own text: what its member holds, where it holds one and no other text to be told apart."""
+    inner = plain[plain.index(">") + 1 : plain.rindex("</")].strip()
+    return inner if len(tree) == 1 and inner.startswith(f"<{tree[0].tag}") else ET.tostring(tree[0], encoding="unicode")
+
+
 def _positions(tree: ET.Element | None) -> list[ET.Element]:
     return tree.findall("position") if tree is not None else []
 
@@ -74,10 +85,11 @@ def read_features(spark: SparkSession, path: str | list[str] | dict[str, str], d
             for db, file, block, value in zip(b["db_idx"], b["file"], b["block"], b["value"], strict=True):
                 if at != (db, file, block):
                     at, n, patches, lines = (db, file, block), 0, 0, 0
-                tree = _tree(value)
+                text = _plain(value)
+                tree = _tree(text)
                 feature = tree[0] if tree is not None and len(tree) else None
                 own, of_lines = sum(1 for p in _positions(feature) for _ in _patches(p)), len(_lines(feature))
-                named = (feature.get("id"), feature.tag, ET.tostring(feature, encoding="unicode")) if feature is not None else (None, None, value)
+                named = (feature.get("id"), feature.tag, _inner(tree, text)) if feature is not None else (None, None, value)
                 rows.append((db, file, block, n, named[0], named[1], own, of_lines, patches, lines, named[2]))
                 n, patches, lines = n + 1, patches + own, lines + of_lines
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in _PARSED.split(", ")])

@@ -206,6 +206,30 @@ def test_errors_come_in_the_order_that_was_asked_for(spark, tmp_path):
     assert got == [["HOLE_EMPTY_INTERIOR", "FREE_STANDING_SURFACE"], ["FREE_STANDING_SURFACE", "HOLE_EMPTY_INTERIOR"]]
 
 
+def test_a_coverage_as_gml_gives_the_errors_of_its_vertices(spark, tmp_path):
+    from meshwork.plans import catalog
+    from meshwork.sources import coverages
+
+    sf = "/root/testdata/sf0.001"
+    members = [r.value for r in coverages.gml_members(spark, sf).orderBy("k").collect()]
+    theme = TopologyTheme(spark, "coverage").parse_surface(gml.read_features(spark, write_document(tmp_path / "c.xml", *members)))
+    theme.detect_holes(), theme.detect_free_standing_surfaces()
+    got = [(r.t, r.x, r.y) for r in theme.all_errors().orderBy("i").collect()]
+    theme.close()
+    assert got == [(r.t, r.x, r.y) for r in catalog.all_errors(spark, sf).where("t NOT LIKE 'BOUNDARY%'").orderBy("i").collect()]
+
+
+def test_themes_are_known_by_name_until_they_close(spark, capsys):
+    v = spark.createDataFrame([(o, 0, 0, i, True, float(x), float(y)) for o in (1, 2) for i, (x, y) in enumerate([(0, 0), (1, 0), (1, 1), (0, 0)])], "object_id bigint, ring_no int, seg_ord int, v_ord int, is_exterior boolean, x double, y double")
+    with TopologyTheme(spark, "named").parse_vertices(v) as theme:
+        assert TopologyTheme.of("named") is theme
+        theme.show_errors(1)
+        assert "RING_OVERLAPPING_EDGES" in capsys.readouterr().out
+        assert theme.messages().where("message LIKE 'Edge of geometry 2 overlaps geometry 1 at (%'").count() == 3
+    with pytest.raises(KeyError):
+        TopologyTheme.of("named")
+
+
 def test_polygons_drop_repeats_and_close(spark):
     v = spark.createDataFrame([(1, 0, 0, i, float(x), float(y)) for i, (x, y) in enumerate([(0, 0), (1, 0), (1, 0), (1, 1)])], "object_id bigint, ring_no int, seg_ord int, v_ord int, x double, y double")
     [r] = sinks.polygons(v).collect()

@@ -228,6 +228,20 @@ def test_the_end_that_reports_first(spark):
     assert sorted(got) == found and len(found) >= 4
 
 
+def test_edges_at_a_point_go_counter_clockwise_with_their_owners(spark):
+    """Four squares around (1, 1): owners as seen from the node, in order of angle."""
+    _, e = build(spark, [A], [B], [[(0, 1), (1, 1), (1, 2), (0, 2)]], [[(1, 1), (2, 1), (2, 2), (1, 2)]])
+    got = lookup.edges_at(e, 1.0, 1.0).collect()
+    assert [(r.to_x, r.to_y) for r in got] == [(1, 0), (2, 1), (1, 2), (0, 1)]
+    assert [(r.sign, r.left_obj, r.right_obj) for r in got] == [(-1, 1, 2), (-1, 2, 4), (1, 3, 4), (1, 1, 3)]
+    assert got[0].details == "to (1.0, 0.0) -90.0° left 1 right 2"
+    assert lookup.edges_at(e, 7.0, 7.0).count() == 0
+    turned = {(r.to_x, r.to_y): (r.next_edge.ax, r.next_edge.ay, r.next_edge.bx, r.next_edge.by, r.next_sign) for r in got}
+    assert turned == {(1, 0): (1, 1, 2, 1, -1), (2, 1): (1, 1, 1, 2, 1), (1, 2): (0, 1, 1, 1, 1), (0, 1): (1, 0, 1, 1, -1)}
+    [none] = lookup.find_nodes(e, spark.createDataFrame([(7.0, 7.0)], "x double, y double")).collect()
+    assert none.degree is None
+
+
 def test_numbering_and_filters(spark):
     owned, e = build(spark, [A], [A], [A])
     every = keep(errors.number_errors([errors.as_errors(edges.overlapping_edges(owned), "RING_OVERLAPPING_EDGES", "surface"), errors.as_errors(faces.holes(e), "HOLE_EMPTY_INTERIOR", "holes")]))
