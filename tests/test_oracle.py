@@ -37,9 +37,8 @@ def test_query_equals_sql(spark, duck, name):
     assert rows(df.columns, df.collect()) == rows(want.columns, want.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
-def test_text_queries_have_rows(spark, name):
-    assert catalog.QUERIES[name](spark, SF).count() > 0
+def test_every_query_has_sql():
+    assert set(catalog.QUERIES) == set(catalog.ORACLE_SQL)
 
 
 def test_entry(spark):
