@@ -174,9 +174,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
                 bag = [x[e - c : e].tobytes() for e, c in zip(ends, count, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(bag, pa.binary())], names=["doc_id", "y", "x"])
 
-    rows = sample.where(F.col("doc_id").isin(kept)).mapInArrow(features, f"doc_id {docs.schema[id_col].dataType.simpleString()}, y double, x binary").toArrow().sort_by([("doc_id", "ascending")])
-    xs = [np.frombuffer(v.as_py(), np.float32).reshape(-1, WIDTH) for v in rows["x"]]
-    return AttentionModel().fit(xs, rows["y"].to_numpy())
+    found = sample.join(F.broadcast(sample.sparkSession.createDataFrame([(d,) for d in kept], sample.select("doc_id").schema)), "doc_id").select("doc_id", "y", "text")
+    rows = found.mapInArrow(features, f"doc_id {docs.schema[id_col].dataType.simpleString()}, y double, x binary").toArrow()
+    order, bag = np.argsort(rows["doc_id"].to_numpy(), kind="stable"), rows["x"]
+    xs = [np.frombuffer(bag[int(i)].as_buffer(), np.float32).reshape(-1, WIDTH) for i in order]  # views: `fit` makes the one copy
+    return AttentionModel().fit(xs, rows["y"].to_numpy()[order])
 
 
 def score_documents(docs: DataFrame, model: AttentionModel, text_col: str = "text", name: str = "score") -> DataFrame:
