@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import edge_key
 from .edges import nodes
+from .materialise import discard, keep_lean, sliced
 
 
 def line_vertices(lines: DataFrame, restart_per_part: bool = False) -> DataFrame:
@@ -37,6 +38,27 @@ def edges_invalid(lines: DataFrame, edges: DataFrame, at: DataFrame | None = Non
     return loose.select("line_id", "part", "v_ord", "x", "y", F.col("px").alias("x2"), F.col("py").alias("y2"))
 
 
+def kept_vertices(lines: DataFrame, **options) -> DataFrame:
+    return keep_lean(line_vertices(lines, **options).select("line_id", "part", "v_ord", "x", "y", "px", "py"))
+
+
+def sliced_errors(v: DataFrame, edges: DataFrame, at: DataFrame, slices: int) -> tuple[DataFrame, DataFrame]:
+    """`points_detached` and `edges_invalid` of `kept_vertices`, which are discarded, in slices: a vertex with an edge to the one before is on a node, so only others
+    are held against nodes."""
+    key, slices, fewer = ("edge_key",), -(-slices // 2), -(-slices // 4)
+    pairs = v.where("px IS NOT NULL").withColumn("edge_key", edge_key("px", "py", "x", "y"))
+    loose = keep_lean(v.where("px IS NULL"), *sliced(slices, lambda p, e: p.join(e, "edge_key", "left_anti").select(v.columns), (pairs, key), (edges.select("edge_key"), key)))
+    discard(v)
+    n, place = at.select("x", "y", F.lit(True).alias("hit")), ("x", "y")
+    met = keep_lean(*sliced(fewer, lambda p, m: p.join(m, ["x", "y"], "left").where("hit IS NULL OR px IS NOT NULL").select(*v.columns, "hit"), (loose, place), (n, place)))
+    discard(loose)
+    before, place = at.select(F.col("x").alias("px"), F.col("y").alias("py")), ("px", "py")
+    invalid = keep_lean(*sliced(fewer, lambda p, m: p.join(m, ["px", "py"], "left_semi").select("line_id", "part", "v_ord", "x", "y", F.col("px").alias("x2"), F.col("py").alias("y2")), (met.where("hit"), place), (before, place)))
+    detached = keep_lean(met.where("hit IS NULL").select("line_id", "part", "v_ord", "x", "y"))
+    discard(met)
+    return detached, invalid
+
+
 def boundary_overlaps(lines: DataFrame, **options) -> DataFrame:
     """Extension: edges that more than one line runs along, with their lines counted."""
     v = line_vertices(lines, **options).where("px IS NOT NULL").withColumn("edge_key", edge_key("px", "py", "x", "y"))

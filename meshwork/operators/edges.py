@@ -28,6 +28,11 @@ def owned_uses(uses: DataFrame) -> DataFrame:
     return u.withColumn("right_use", F.first(F.when(other & (F.col("right_no") == 1), taken), ignorenulls=True).over(whole))
 
 
+def reported(owned: DataFrame) -> DataFrame:
+    """The owned uses that `edges` and `overlapping_edges` read: creators and those that collide."""
+    return owned.where("n = 1 OR same OR right_no > 1")
+
+
 def edges(owned: DataFrame) -> DataFrame:
     """One row per undirected edge in the direction of its creation: the creators' rows, which know the right owner by the window. No further shuffle."""
     r = F.col("right_use")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .materialise import keep
+from .materialise import discard, keep, keep_lean
 from .rings import USE_KEY
 from .rotation import ccw_next, half_edges
 
@@ -30,17 +30,25 @@ def walk_starts(successor: DataFrame, checkpoint: bool = True) -> DataFrame:
     cycle; its walk ends before the next start.
 
     Each round doubles the stretch that is known behind a candidate and keeps the smallest id on it. When a round changes
-    no smallest id none is farther away: O(log longest path) rounds of one join each. Rounds are checkpointed."""
+    no smallest id none is farther away: O(log longest path) rounds of one join each. Rounds are checkpointed, and go when the next one is."""
     state = successor.select("id").join(successor.where("next IS NOT NULL").select(F.col("next").alias("id"), F.col("id").alias("back")), "id", "left").withColumn("low", F.col("id"))
+    old = None
     while True:
         behind = state.select(F.col("id").alias("back"), F.col("back").alias("back2"), F.col("low").alias("low2"))
         lower = F.least("low", F.coalesce("low2", "low"))
         new = state.join(behind, "back", "left").select("id", F.col("back2").alias("back"), lower.alias("low"), (lower < F.col("low")).alias("moved"))
-        new = keep(new) if checkpoint else new
+        if checkpoint:
+            new = keep_lean(new)
+            if old is not None:
+                discard(old)
+            old = new
         state = new.drop("moved")
         if new.where("moved").isEmpty():
             break
-    return state.groupBy(F.col("low").alias("start")).agg(F.count("*").alias("length"))
+    starts = state.groupBy(F.col("low").alias("start")).agg(F.count("*").alias("length"))
+    if old is not None:
+        starts._kept_at = old._kept_at  # `discard` deletes the last round
+    return starts
 
 
 def walks(edges: DataFrame, inner: bool | None = None) -> DataFrame:
@@ -50,6 +58,16 @@ def walks(edges: DataFrame, inner: bool | None = None) -> DataFrame:
     return edges.join(starts, edges["created_key"] == starts["start"]).select(*first, "length")
 
 
+def turned_walks(turned: DataFrame) -> DataFrame:
+    """The walks of both kinds from `rotation.turns`, as a table of `keep_lean`."""
+    opened = turned.where("open")
+    starts = walk_starts(opened.select(F.col("created_key").alias("id"), F.col("follower").alias("next")))
+    first = F.col("created_key").alias("use_key"), F.col("to_x").alias("x"), F.col("to_y").alias("y"), F.col("left_loc").alias("is_loc"), (F.col("left_obj") < 0).alias("inner")
+    walked = keep_lean(opened.join(starts, opened["created_key"] == starts["start"]).select(*first, "length"))
+    discard(starts)
+    return walked
+
+
 def holes(edges: DataFrame, walked: DataFrame | None = None) -> DataFrame:
     """HOLE_EMPTY_INTERIOR: use_key, x, y, is_loc of every interior walk. `walked`: the walks where they are known."""
     return (walks(edges, True) if walked is None else walked).where("inner").drop("inner", "length")

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _FOLDER = "meshwork-tables"
+#: Shuffle files go at the end of the query that wrote them, not when the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,11 +38,57 @@ def keep(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep_lean(*parts: DataFrame | Callable[[], DataFrame]) -> DataFrame:
+    """`keep` for tables that nearly fill the disk: packed harder, one part (all of one schema) after the other, and the shuffle files of a part go as soon as it is
+    written. `discard` deletes the table."""
+    first = parts[0]() if callable(parts[0]) else parts[0]
+    spark = first.sparkSession
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        for k, part in enumerate(parts):
+            df = first if k == 0 else part() if callable(part) else part
+            df.write.mode("append").option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    kept = spark.read.schema(first.schema).parquet(path)
+    kept._kept_at = path
+    return kept
+
+
+def sliced(n: int, plan: Callable[..., DataFrame], *tables: tuple[DataFrame, tuple[str, ...]]) -> list[Callable[[], DataFrame]]:
+    """`plan` of n slices of the tables, each given with the columns whose values decide a row's slice: parts for `keep_lean`. For plans in which rows of other
+    values do not meet; their shuffles are n times smaller, one at a time."""
+
+    def part(k: int) -> DataFrame:
+        return plan(*[t.where(F.pmod(F.xxhash64(*by), F.lit(n)) == k) if n > 1 else t for t, by in tables])
+
+    return [partial(part, k) for k in range(n)]
+
+
+def _at(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def kept_bytes(kept: DataFrame) -> int:
+    """The size of a table of `keep_lean` on disk."""
+    fs, p = _at(kept.sparkSession, kept._kept_at)
+    return fs.getContentSummary(p).getLength()
+
+
+def discard(*kept: DataFrame) -> None:
+    """Delete tables that `keep_lean` wrote. Nothing may read them afterwards."""
+    for t in kept:
+        fs, p = _at(t.sparkSession, t._kept_at)
+        fs.delete(p, True)
+
+
 def forget(spark: SparkSession) -> None:
     """Delete all tables that `keep` wrote in this session. DataFrames that read them are of no use afterwards."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    fs, path = _at(spark, shared_dir(spark))
+    fs.delete(path, True)
 
 
 @contextmanager

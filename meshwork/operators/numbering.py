@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .materialise import keep
+from .materialise import keep_lean
 
 
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
@@ -15,7 +15,7 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     Rows are range-partitioned and numbered inside partitions; the offsets, one row for each
     partition, are broadcast."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = keep(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    dealt = keep_lean(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
     dealt = dealt.withColumns({"_part": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))})
     counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
     offsets = counts.select("_part", (F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).alias("_off"))

@@ -28,3 +28,17 @@ def edge_uses(vertices: DataFrame) -> DataFrame:
         ((F.col("x1") == F.col("edge_key.ax")) & (F.col("y1") == F.col("edge_key.ay"))).alias("forward"),
         F.lag("edge_key").over(ring).alias("prev_edge"),
     )
+
+
+def packed(uses: DataFrame) -> DataFrame:
+    """Uses with each point once: what follows from others is left out, the previous edge is its other end px, py. `unpacked` adds it again."""
+    p = F.col("prev_edge")
+    here = (p["ax"] == F.col("x1")) & (p["ay"] == F.col("y1"))
+    other = lambda c: F.when(here, p[f"b{c}"]).otherwise(p[f"a{c}"]).alias(f"p{c}")
+    derived = ("object_id", "ring_no", "edge_key", "forward", "prev_edge")
+    return uses.select(*[c for c in uses.columns if c not in derived], other("x"), other("y"))
+
+
+def unpacked(uses: DataFrame) -> DataFrame:
+    u = uses.withColumns({"object_id": F.col("use_key.object_id"), "ring_no": F.col("use_key.ring_no"), "edge_key": edge_key("x1", "y1", "x2", "y2"), "prev_edge": F.when(F.col("px").isNotNull(), edge_key("px", "py", "x1", "y1"))})
+    return u.withColumn("forward", (F.col("x1") == F.col("edge_key.ax")) & (F.col("y1") == F.col("edge_key.ay"))).drop("px", "py")

@@ -28,13 +28,17 @@ def half_edges(edges: DataFrame) -> DataFrame:
     return edges.select(*shared, F.inline(ends))
 
 
-def ccw_next(halves: DataFrame) -> DataFrame:
-    """Each half-edge with its counter-clockwise successor at the node: order by angle, then creation, then wrap around."""
+def _next(*columns: str):
+    """What the counter-clockwise successor at the node has in `columns`."""
     w = W.partitionBy("x", "y").orderBy("angle", "created_key")
     whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    here = F.struct("edge_key", "sign")
-    nxt = F.coalesce(F.lead(here).over(w), F.first(here).over(whole))
-    return halves.withColumn("next", nxt).select("*", F.col("next.edge_key").alias("next_edge"), F.col("next.sign").alias("next_sign")).drop("next")
+    here = F.struct(*columns)
+    return F.coalesce(F.lead(here).over(w), F.first(here).over(whole))
+
+
+def ccw_next(halves: DataFrame) -> DataFrame:
+    """Each half-edge with its counter-clockwise successor at the node: order by angle, then creation, then wrap around."""
+    return halves.withColumn("next", _next("edge_key", "sign")).select("*", F.col("next.edge_key").alias("next_edge"), F.col("next.sign").alias("next_sign")).drop("next")
 
 
 def _sweep_star(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -65,7 +69,12 @@ def attachments(halves: DataFrame, star_degree: int = STAR_DEGREE) -> DataFrame:
 
     One shuffle on the node: a window hands each half-edge its older ones as an array, in which the nearest on either side
     are found. Nodes of a higher degree than `star_degree` get no array and are swept one by one."""
-    python_workers(halves.sparkSession)
+    h = _set_between(halves, star_degree).where("older >= 2 OR degree > " + str(star_degree))
+    return _swept(keep(h.withColumnsRenamed({"edge_key": "n_edge", "sign": "n_sign"})), star_degree)
+
+
+def _set_between(halves: DataFrame, star_degree: int) -> DataFrame:
+    """Half-edges with degree, older, first_angle, and cw and ccw where the node is no star."""
     node = W.partitionBy("x", "y")
     order = node.orderBy("created_key")
     older = order.rowsBetween(W.unboundedPreceding, -1)
@@ -80,14 +89,40 @@ def attachments(halves: DataFrame, star_degree: int = STAR_DEGREE) -> DataFrame:
     back = lambda a: turn(F.col("angle"), a)
     ahead = lambda a: F.when(a - F.col("angle") <= 0, a - F.col("angle") + _TURN).otherwise(a - F.col("angle"))
     newest = lambda k: F.struct(*[(-k[c]).alias(c) for c in ("object_id", "ring_no", "seg_ord", "v_ord")])
-    h = h.where("older >= 2 OR degree > " + str(star_degree)).withColumns({"cw": nearest(back, newest), "ccw": nearest(ahead, lambda k: k)}).drop("olds")
-    h = keep(h.withColumnsRenamed({"edge_key": "n_edge", "sign": "n_sign"}))
+    late = lambda c: F.when(F.col("older") >= 2, c)
+    return h.withColumns({"cw": late(nearest(back, newest)), "ccw": late(nearest(ahead, lambda k: k))}).drop("olds")
+
+
+def _swept(h: DataFrame, star_degree: int) -> DataFrame:
+    python_workers(h.sparkSession)
     small, stars = h.where(F.col("degree") <= star_degree).drop("degree"), h.where(F.col("degree") > star_degree)
     rest = stars.drop("degree", "older", "cw", "ccw", "first_angle")
     swept = stars.withColumnsRenamed({"n_edge": "edge_key", "n_sign": "sign"}).groupBy("x", "y").applyInPandas(_sweep_star, small.select(*_FOUND).schema)
     return small.unionByName(rest.join(swept, ["x", "y", "n_edge", "n_sign"]))
 
 
+def turns(halves: DataFrame, star_degree: int = STAR_DEGREE) -> DataFrame:
+    """What all detections need of the nodes, after one shuffle: x, y, and `first` for one row of each node; `open` for edges without a right owner, by their half-edge at
+    the target (x, y of the source as to_x, to_y), with `follower`, the creation key of the open edge of the same kind that follows on the right face;
+    `bad` for half-edges that are in error and all of stars. Other rows are left out, and columns that nothing reads are null."""
+    h = halves.withColumn("next", _next("sign", "created_key", "left_obj", "right_obj"))
+    h = _is_invalid(_set_between(h, star_degree).withColumn("n_sign", F.col("sign")))
+    n, opened = F.col("next"), (F.col("sign") == -1) & F.col("right_obj").isNull()
+    goes_on = (n["sign"] == 1) & n["right_obj"].isNull() & ((n["left_obj"] < 0) == (F.col("left_obj") < 0))
+    wrong = F.coalesce((F.col("older") >= 2) & (F.col("invalid") | _crosses()), F.lit(False)) | (F.col("degree") > star_degree)
+    h = h.withColumns({"first": F.col("older") == 0, "open": opened, "bad": wrong}).where("first OR open OR bad")
+    either, bad = F.col("open") | F.col("bad"), F.col("bad")
+    some = [F.when(either, F.col(c)).alias(c) for c in ("created_key", "to_x", "to_y", "left_obj", "left_loc")]
+    rest = [F.when(bad, F.col(c)).alias(a) for c, a in (("edge_key", "n_edge"), ("sign", "n_sign"))]
+    rest += [F.when(bad, F.col(c)).alias(c) for c in ("angle", "is_exterior", "prev_edge", "right_obj", "right_loc", "right_key", "degree", "older", "first_angle", "cw", "ccw")]
+    return h.select("x", "y", "first", "open", "bad", F.when(F.col("open") & goes_on, n["created_key"]).alias("follower"), *some, *rest)
+
+
+def bad_attachments(turned: DataFrame, star_degree: int = STAR_DEGREE) -> DataFrame:
+    """The rows of `attachments` that are in error, and those of stars, from `turns`."""
+    return _swept(turned.where("bad").drop("first", "open", "bad", "follower"), star_degree)
+
+
 def _occupant(side: str, positive: str, negative: str):
     """Owner on one side of neighbour `side` when the new edge came: the right one only if it was set before."""
     s = F.col(side)
@@ -110,14 +145,23 @@ def _end_no():
     return F.when(F.col("prev_edge").isNull() == (F.col("n_sign") > 0), 0).otherwise(1).alias("end_no")
 
 
+def _sides():
+    return _occupant("cw", "left", "right"), _occupant("ccw", "right", "left")
+
+
+def _crosses():
+    """An exterior edge in another's interior, an interior one beside another object's."""
+    on_cw, on_ccw = _sides()
+    own = F.col("left_obj")
+    other = lambda o: (o["obj"] != 0) & (F.abs(o["obj"]) != F.abs(own))
+    return F.when(F.col("is_exterior"), (on_cw["obj"] != 0) & (on_cw["obj"] != own)).otherwise(other(on_ccw) | other(on_cw))
+
+
 def ring_intersections(att: DataFrame) -> DataFrame:
     """RING_INTERSECTION: use_key, x, y, is_loc, cw_loc, ccw_loc, end_no."""
     a = _is_invalid(att).where(~F.col("invalid"))
-    on_cw, on_ccw = _occupant("cw", "left", "right"), _occupant("ccw", "right", "left")
-    own = F.col("left_obj")
-    other = lambda o: (o["obj"] != 0) & (F.abs(o["obj"]) != F.abs(own))
-    wrong = F.when(F.col("is_exterior"), (on_cw["obj"] != 0) & (on_cw["obj"] != own)).otherwise(other(on_ccw) | other(on_cw))
-    return a.where(wrong).select(F.col("created_key").alias("use_key"), "x", "y", F.col("left_loc").alias("is_loc"), on_ccw["loc"].alias("cw_loc"), on_cw["loc"].alias("ccw_loc"), _end_no())
+    on_cw, on_ccw = _sides()
+    return a.where(_crosses()).select(F.col("created_key").alias("use_key"), "x", "y", F.col("left_loc").alias("is_loc"), on_ccw["loc"].alias("cw_loc"), on_cw["loc"].alias("ccw_loc"), _end_no())
 
 
 def invalid_angles(att: DataFrame) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import location as loc
 from ..functions.poslist import tokenize_pos_lists
 from ..functions.sql import register_functions
-from ..operators import boundaries, edges, errors, faces, lookup, rings, rotation
-from ..operators.materialise import keep
+from ..operators import boundaries, edges, errors, faces, lookup, rings, rotation, validation
+from ..operators.materialise import discard, keep
 from ..sources import coverages, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,24 +126,11 @@ def _sign(c: str):
     return F.round(F.degrees(c), 6)
 
 
-def _parts(spark, d, vertices: DataFrame | None = None) -> list[DataFrame]:
-    owned = keep(edges.owned_uses(rings.edge_uses(coverages.vertices(spark, d) if vertices is None else vertices)))
-    e = keep(edges.edges(owned))
-    att, walked, n = rotation.attachments(rotation.half_edges(e)), keep(faces.walks(e)), keep(edges.nodes(e))
-    lines = coverages.lines(spark, d)
-    return [
-        errors.as_errors(edges.overlapping_edges(owned), "RING_OVERLAPPING_EDGES", "surface"),
-        errors.as_errors(rotation.ring_intersections(att), "RING_INTERSECTION", "surface"),
-        errors.as_errors(rotation.invalid_angles(att), "INVALID_ANGLE", "surface"),
-        errors.as_errors(faces.holes(e, walked), "HOLE_EMPTY_INTERIOR", "holes"),
-        errors.as_errors(faces.free_standing(e, walked), "FREE_STANDING_SURFACE", "free"),
-        errors.as_errors(boundaries.points_detached(lines, e, n), "BOUNDARY_POINT_DETACHED", "boundary"),
-        errors.as_errors(boundaries.edges_invalid(lines, e, n), "BOUNDARY_EDGE_INVALID", "boundary"),
-    ]
-
-
 def all_errors(spark, d, vertices: DataFrame | None = None) -> DataFrame:
-    return errors.number_errors(_parts(spark, d, vertices))
+    parts = validation.detect(coverages.vertices(spark, d) if vertices is None else vertices, coverages.lines(spark, d))
+    numbered = errors.number_errors(parts)
+    discard(*parts)  # the numbering has written them
+    return numbered
 
 
 _KEYED = "object_id AS k1, ring_no AS k2, seg_ord AS k3, v_ord AS k4"
