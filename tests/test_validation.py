@@ -39,6 +39,19 @@ def test_slices_find_what_sql_finds(spark, slices):
     assert sorted(map(tuple, got.select(want.columns).collect()), key=str) == sorted(want.fetchall(), key=str)
 
 
+#: Queries on the errors; in each, nothing but the numbered errors is on disk when the result is written.
+ON_ERRORS = [
+    "erroneous_features",
+]
+
+
+@pytest.mark.parametrize("name", ON_ERRORS)
+def test_query_leaves_the_numbered_errors_only(spark, name):
+    before = tables(spark)
+    catalog.QUERIES[name](spark, SF)
+    assert len(tables(spark) - before) == 1
+
+
 def test_tables_go_when_they_are_read(spark):
     """Only the numbered errors are left; all uses, edges, half-edges and rounds were before."""
     before = tables(spark)
