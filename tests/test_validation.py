@@ -42,6 +42,7 @@ def test_slices_find_what_sql_finds(spark, slices):
 #: Queries on the errors; in each, nothing but the numbered errors is on disk when the result is written.
 ON_ERRORS = [
     "erroneous_features",
+    "error_stats",
 ]
 
 
