@@ -43,6 +43,7 @@ def test_slices_find_what_sql_finds(spark, slices):
 ON_ERRORS = [
     "erroneous_features",
     "error_stats",
+    "errors_filtered",
 ]
 
 
