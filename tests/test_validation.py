@@ -44,6 +44,7 @@ ON_ERRORS = [
     "erroneous_features",
     "error_stats",
     "errors_filtered",
+    "error_repeats",
 ]
 
 
