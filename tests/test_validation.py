@@ -45,6 +45,7 @@ ON_ERRORS = [
     "error_stats",
     "errors_filtered",
     "error_repeats",
+    "geojson_points",
 ]
 
 
