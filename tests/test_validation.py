@@ -46,6 +46,7 @@ ON_ERRORS = [
     "errors_filtered",
     "error_repeats",
     "geojson_points",
+    "error_xml",
 ]
 
 
