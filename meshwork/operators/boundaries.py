@@ -45,7 +45,7 @@ def kept_vertices(lines: DataFrame, **options) -> DataFrame:
 def sliced_errors(v: DataFrame, edges: DataFrame, at: DataFrame, slices: int) -> tuple[DataFrame, DataFrame]:
     """`points_detached` and `edges_invalid` of `kept_vertices`, which are discarded, in slices: a vertex with an edge to the one before is on a node, so only others
     are held against nodes."""
-    key, slices, fewer = ("edge_key",), -(-slices // 2), -(-slices // 4)
+    key, fewer = ("edge_key",), -(-slices // 2)
     pairs = v.where("px IS NOT NULL").withColumn("edge_key", edge_key("px", "py", "x", "y"))
     loose = keep_lean(v.where("px IS NULL"), *sliced(slices, lambda p, e: p.join(e, "edge_key", "left_anti").select(v.columns), (pairs, key), (edges.select("edge_key"), key)))
     discard(v)

@@ -7,18 +7,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geometry import angle
+from .rings import USE_KEY
 
 
 def signed_object(object_id: str = "object_id", is_exterior: str = "is_exterior"):
     return F.when(F.col(is_exterior), F.col(object_id)).otherwise(-F.col(object_id))
 
 
-def owned_uses(uses: DataFrame) -> DataFrame:
+def owned_uses(uses: DataFrame, by: tuple[str, ...] = ("edge_key",)) -> DataFrame:
     """Each use with its part in the ownership of its edge: n (1 is the creator), same, right_no, and what the whole edge has: left_loc, right_use, uses.
 
     Windows on edge_key decide all, after one shuffle: uses of the creator's role and direction collide on the left, the
     first other use takes the right, later ones collide there."""
-    w = W.partitionBy("edge_key").orderBy("use_key")
+    w = W.partitionBy(*by).orderBy("use_key")
     upto = w.rowsBetween(W.unboundedPreceding, W.currentRow)
     whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     u = uses.withColumns({"n": F.row_number().over(w), "same": (F.col("is_exterior") == F.first("is_exterior").over(upto)) & (F.col("forward") == F.first("forward").over(upto)), "left_loc": F.first("location").over(upto), "uses": F.count("*").over(whole)})
@@ -44,6 +45,15 @@ def edges(owned: DataFrame) -> DataFrame:
     return e.withColumns({"src_angle": angle("src_x", "src_y", "tgt_x", "tgt_y"), "tgt_angle": angle("tgt_x", "tgt_y", "src_x", "src_y")})
 
 
+def flat_edges(packed: DataFrame) -> DataFrame:
+    """`edges` of owned uses that are packed, without structs and what follows from other columns. px, py: the other end of the ring's previous edge."""
+    key = lambda c, to: [F.col(f"{c}.{k}").alias(f"{to}_{k}") for k in USE_KEY]
+    return packed.where("n = 1").select(
+        F.col("x1").alias("src_x"), F.col("y1").alias("src_y"), F.col("x2").alias("tgt_x"), F.col("y2").alias("tgt_y"), "px", "py", "is_exterior", F.col("location").alias("left_loc"),
+        F.col("right_use.obj").alias("right_obj"), F.col("right_use.location").alias("right_loc"), *key("use_key", "created"), *key("right_use.use_key", "right"),
+    )
+
+
 def overlapping_edges(owned: DataFrame, with_edge: bool = False) -> DataFrame:
     """RING_OVERLAPPING_EDGES: use_key, x, y (target of the colliding use), is_loc, o_loc, side, and edge_key if asked for."""
     left, right = (F.col("n") > 1) & F.col("same"), (F.col("n") > 1) & ~F.col("same") & (F.col("right_no") > 1)

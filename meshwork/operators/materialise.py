@@ -7,7 +7,7 @@ from collections.abc import Callable
 from contextlib import contextmanager
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _FOLDER = "meshwork-tables"
@@ -57,12 +57,16 @@ def keep_lean(*parts: DataFrame | Callable[[], DataFrame]) -> DataFrame:
     return kept
 
 
-def sliced(n: int, plan: Callable[..., DataFrame], *tables: tuple[DataFrame, tuple[str, ...]]) -> list[Callable[[], DataFrame]]:
-    """`plan` of n slices of the tables, each given with the columns whose values decide a row's slice: parts for `keep_lean`. For plans in which rows of other
+def in_slice(hashed: Column, k: int, n: int) -> Column:
+    return F.pmod(hashed, F.lit(n)) == k if n > 1 else F.lit(True)
+
+
+def sliced(n: int, plan: Callable[..., DataFrame], *tables: tuple[DataFrame, tuple[str, ...] | Column]) -> list[Callable[[], DataFrame]]:
+    """`plan` of n slices of the tables, each given with the columns whose values, or the hash that, decide a row's slice: parts for `keep_lean`. For plans in which rows of other
     values do not meet; their shuffles are n times smaller, one at a time."""
 
     def part(k: int) -> DataFrame:
-        return plan(*[t.where(F.pmod(F.xxhash64(*by), F.lit(n)) == k) if n > 1 else t for t, by in tables])
+        return plan(*[t.where(in_slice(by if isinstance(by, Column) else F.xxhash64(*by), k, n)) for t, by in tables])
 
     return [partial(part, k) for k in range(n)]
 

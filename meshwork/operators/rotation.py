@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.geometry import turn
+from ..functions.geometry import angle, edge_key, turn
 from ..workers import python_workers
-from .materialise import keep
+from .edges import signed_object
+from .materialise import in_slice, keep
+from .rings import USE_KEY
 
 #: Nodes of a higher degree are swept one by one instead of compared in arrays.
 STAR_DEGREE = 64
@@ -28,9 +30,32 @@ def half_edges(edges: DataFrame) -> DataFrame:
     return edges.select(*shared, F.inline(ends))
 
 
-def _next(*columns: str):
+#: The node of half-edges from `dealt_halves`.
+BY_NODE = ("x", "y", "node_hash")
+
+
+def dealt_halves(flat: DataFrame, k: int = 0, slices: int = 1) -> DataFrame:
+    """The half-edges at the nodes of slice k, dealt by node, from `edges.flat_edges`. Windows by BY_NODE need no other shuffle. What follows from other columns
+    is not shuffled; `turns` adds edge_key and prev_edge after its windows. Edges with no end in the slice go before anything is made of them."""
+    at = lambda x, y: in_slice(F.xxhash64(x, y), k, slices)
+    end = lambda a, b, sign: F.struct(*[F.col(f"{p}_{c}").alias(t + c) for p, t in ((a, ""), (b, "to_")) for c in "xy"], F.lit(sign).alias("sign"))
+    shared = [c for c in flat.columns if c[:4] not in ("src_", "tgt_")]
+    h = flat.where(at("src_x", "src_y") | at("tgt_x", "tgt_y")).select(*shared, F.inline(F.array(end("src", "tgt", 1), end("tgt", "src", -1))))
+    h = h.where(at("x", "y")).repartition(F.xxhash64("x", "y"))
+    key = lambda c: F.struct(*[F.col(f"{c}_{n}").alias(n) for n in USE_KEY])
+    more = {
+        "node_hash": F.xxhash64("x", "y"),
+        "angle": angle("x", "y", "to_x", "to_y"),
+        "created_key": key("created"),
+        "right_key": F.when(F.col("right_obj").isNotNull(), key("right")),
+        "left_obj": signed_object("created_object_id"),
+    }
+    return h.withColumns(more).drop(*[f"{c}_{n}" for c in ("created", "right") for n in USE_KEY])
+
+
+def _next(*columns: str, node: tuple[str, ...] = ("x", "y")):
     """What the counter-clockwise successor at the node has in `columns`."""
-    w = W.partitionBy("x", "y").orderBy("angle", "created_key")
+    w = W.partitionBy(*node).orderBy("angle", "created_key")
     whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     here = F.struct(*columns)
     return F.coalesce(F.lead(here).over(w), F.first(here).over(whole))
@@ -73,9 +98,9 @@ def attachments(halves: DataFrame, star_degree: int = STAR_DEGREE) -> DataFrame:
     return _swept(keep(h.withColumnsRenamed({"edge_key": "n_edge", "sign": "n_sign"})), star_degree)
 
 
-def _set_between(halves: DataFrame, star_degree: int) -> DataFrame:
+def _set_between(halves: DataFrame, star_degree: int, by: tuple[str, ...] = ("x", "y")) -> DataFrame:
     """Half-edges with degree, older, first_angle, and cw and ccw where the node is no star."""
-    node = W.partitionBy("x", "y")
+    node = W.partitionBy(*by)
     order = node.orderBy("created_key")
     older = order.rowsBetween(W.unboundedPreceding, -1)
     one = F.struct("created_key", *_NEIGHBOUR)
@@ -105,8 +130,14 @@ def turns(halves: DataFrame, star_degree: int = STAR_DEGREE) -> DataFrame:
     """What all detections need of the nodes, after one shuffle: x, y, and `first` for one row of each node; `open` for edges without a right owner, by their half-edge at
     the target (x, y of the source as to_x, to_y), with `follower`, the creation key of the open edge of the same kind that follows on the right face;
     `bad` for half-edges that are in error and all of stars. Other rows are left out, and columns that nothing reads are null."""
-    h = halves.withColumn("next", _next("sign", "created_key", "left_obj", "right_obj"))
-    h = _is_invalid(_set_between(h, star_degree).withColumn("n_sign", F.col("sign")))
+    node = BY_NODE if "node_hash" in halves.columns else BY_NODE[:2]
+    h = halves.withColumn("next", _next("sign", "created_key", "left_obj", "right_obj", node=node))
+    h = _set_between(h, star_degree, node)
+    if "px" in h.columns:
+        source = F.struct(*[F.when(F.col("sign") > 0, F.col(c)).otherwise(F.col(f"to_{c}")).alias(c) for c in "xy"])
+        h = h.withColumns({"edge_key": edge_key("x", "y", "to_x", "to_y"), "_s": source})
+        h = h.withColumn("prev_edge", F.when(F.col("px").isNotNull(), edge_key("px", "py", "_s.x", "_s.y")))
+    h = _is_invalid(h.withColumn("n_sign", F.col("sign")))
     n, opened = F.col("next"), (F.col("sign") == -1) & F.col("right_obj").isNull()
     goes_on = (n["sign"] == 1) & n["right_obj"].isNull() & ((n["left_obj"] < 0) == (F.col("left_obj") < 0))
     wrong = F.coalesce((F.col("older") >= 2) & (F.col("invalid") | _crosses()), F.lit(False)) | (F.col("degree") > star_degree)

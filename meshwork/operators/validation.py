@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from . import boundaries, edges, errors, faces, rings, rotation
 from .materialise import discard, keep_lean, kept_bytes, sliced
 
-#: Coverages whose uses take so many bytes are dealt with in slices: half-edges by node in so many, all that is narrower in fewer (a quarter of it at least).
-SLICES, SLICED_FROM = 8, 16 << 20
+#: Coverages whose uses take so many bytes are dealt with in slices: by edge or node in so many, what few rows reach in half of it.
+SLICES, SLICED_FROM = 4, 16 << 20
 
 
 def detect(vertices: DataFrame, lines: DataFrame, slices: int | None = None) -> list[DataFrame]:
@@ -21,12 +21,13 @@ def detect(vertices: DataFrame, lines: DataFrame, slices: int | None = None) ->
     at_lines = boundaries.kept_vertices(lines)
     uses = keep_lean(rings.packed(rings.edge_uses(vertices)))
     n = slices or (SLICES if kept_bytes(uses) >= SLICED_FROM else 1)
-    shape = lambda u: rings.packed(edges.reported(edges.owned_uses(u)))
-    packed = keep_lean(*sliced(-(-n // 2), shape, (rings.unpacked(uses), ("edge_key",))))
+    shape = lambda u: rings.packed(edges.reported(edges.owned_uses(rings.dealt(u), rings.BY_EDGE)))
+    packed = keep_lean(*sliced(n, shape, (uses, rings.edge_hash())))
     discard(uses)
     owned = rings.unpacked(packed)
     e = edges.edges(owned)
-    turned = keep_lean(*sliced(n, rotation.turns, (rotation.half_edges(e), ("x", "y"))))
+    flat = edges.flat_edges(packed)
+    turned = keep_lean(*[lambda k=k: rotation.turns(rotation.dealt_halves(flat, k, n)) for k in range(n)])
     att = rotation.bad_attachments(turned)
     surface = [
         errors.as_errors(edges.overlapping_edges(owned), "RING_OVERLAPPING_EDGES", "surface"),

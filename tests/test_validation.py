@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshwork.operators import errors, materialise, rotation, validation
-from meshwork.operators.edges import edges, owned_uses
-from meshwork.operators.rings import edge_uses, packed, unpacked
+from meshwork.operators.edges import edges, flat_edges, owned_uses, reported
+from meshwork.operators.rings import BY_EDGE, dealt, edge_uses, packed, unpacked
 from meshwork.plans import catalog
 from meshwork.sources import coverages
 
@@ -57,6 +57,38 @@ def test_query_leaves_the_numbered_errors_only(spark, name):
     assert len(tables(spark) - before) == 1
 
 
+#: Queries on the errors; in each, windows by edge and by node are fed by one shuffle of rows without structs and what follows from other columns.
+SHUFFLED_LEAN = [
+    "error_repeats",
+]
+
+
+@pytest.mark.parametrize("name", SHUFFLED_LEAN)
+def test_query_shuffles_each_point_once(spark, monkeypatch, name):
+    plans, real = [], validation.keep_lean
+
+    def keep_lean(*parts):
+        parts = [p() if callable(p) else p for p in parts]
+        plans.extend(p._jdf.queryExecution().executedPlan().toString() for p in parts)
+        return real(*parts)
+
+    monkeypatch.setattr(validation, "keep_lean", keep_lean)
+    catalog.QUERIES[name](spark, SF)
+    shuffles = [line for p in plans if "Window" in p for line in p.splitlines() if "Exchange hashpartitioning" in line]
+    assert ["xxhash64(" in x for x in shuffles] == [False, True, True]  # by ring, edge and node
+    assert not [x for x in shuffles if "edge_key" in x or "normalized" in x]
+
+
+@pytest.mark.parametrize("n", (1, 3))
+def test_dealt_halves_are_half_edges(spark, n):
+    packed_uses = materialise.keep(packed(edge_uses(coverages.vertices(spark, SF))))
+    owned = materialise.keep(packed(reported(owned_uses(dealt(packed_uses), BY_EDGE))))
+    turned = [rotation.turns(rotation.dealt_halves(flat_edges(owned), k, n)) for k in range(n)]
+    want = rotation.turns(rotation.half_edges(edges(owned_uses(unpacked(packed_uses)))))
+    got = [row for t in turned for row in t.select(want.columns).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want.collect())) and len(got) > 0
+
+
 def test_tables_go_when_they_are_read(spark):
     """Only the numbered errors are left; all uses, edges, half-edges and rounds were before."""
     before = tables(spark)
