@@ -60,6 +60,7 @@ def test_query_leaves_the_numbered_errors_only(spark, name):
 #: Queries on the errors; in each, windows by edge and by node are fed by one shuffle of rows without structs and what follows from other columns.
 SHUFFLED_LEAN = [
     "error_repeats",
+    "errors_filtered",
 ]
 
 
