@@ -61,6 +61,7 @@ def test_query_leaves_the_numbered_errors_only(spark, name):
 SHUFFLED_LEAN = [
     "error_repeats",
     "errors_filtered",
+    "geojson_points",
 ]
 
 
