@@ -62,6 +62,7 @@ SHUFFLED_LEAN = [
     "error_repeats",
     "errors_filtered",
     "geojson_points",
+    "error_xml",
 ]
 
 
