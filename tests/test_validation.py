@@ -63,6 +63,7 @@ SHUFFLED_LEAN = [
     "errors_filtered",
     "geojson_points",
     "error_xml",
+    "error_stats",
 ]
 
 
