@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import edge_key
 from .edges import nodes
 from .materialise import discard, keep_lean, sliced
+from .rings import block
 
 
 def line_vertices(lines: DataFrame, restart_per_part: bool = False) -> DataFrame:
@@ -38,17 +39,18 @@ def edges_invalid(lines: DataFrame, edges: DataFrame, at: DataFrame | None = Non
     return loose.select("line_id", "part", "v_ord", "x", "y", F.col("px").alias("x2"), F.col("py").alias("y2"))
 
 
-def kept_vertices(lines: DataFrame, **options) -> DataFrame:
-    return keep_lean(line_vertices(lines, **options).select("line_id", "part", "v_ord", "x", "y", "px", "py"))
+def kept_vertices(lines: DataFrame, slices: int = 1, **options) -> DataFrame:
+    plan = lambda part: line_vertices(part, **options).select("line_id", "part", "v_ord", "x", "y", "px", "py")
+    return keep_lean(*sliced(slices, plan, (lines, F.xxhash64(block("line_id")))))
 
 
-def sliced_errors(v: DataFrame, edges: DataFrame, at: DataFrame, slices: int) -> tuple[DataFrame, DataFrame]:
+def sliced_errors(v: DataFrame, ends: DataFrame, at: DataFrame, slices: int) -> tuple[DataFrame, DataFrame]:
     """`points_detached` and `edges_invalid` of `kept_vertices`, which are discarded, in slices: a vertex with an edge to the one before is on a node, so only others
-    are held against nodes."""
+    are held against nodes. ends: the edges by their points x1, y1, x2, y2, discarded when they are read."""
     key, fewer = ("edge_key",), -(-slices // 2)
     pairs = v.where("px IS NOT NULL").withColumn("edge_key", edge_key("px", "py", "x", "y"))
-    loose = keep_lean(v.where("px IS NULL"), *sliced(slices, lambda p, e: p.join(e, "edge_key", "left_anti").select(v.columns), (pairs, key), (edges.select("edge_key"), key)))
-    discard(v)
+    loose = keep_lean(v.where("px IS NULL"), *sliced(slices, lambda p, e: p.join(e, "edge_key", "left_anti").select(v.columns), (pairs, key), (ends.select(edge_key("x1", "y1", "x2", "y2").alias("edge_key")), key)))
+    discard(v, ends)
     n, place = at.select("x", "y", F.lit(True).alias("hit")), ("x", "y")
     met = keep_lean(*sliced(fewer, lambda p, m: p.join(m, ["x", "y"], "left").where("hit IS NULL OR px IS NOT NULL").select(*v.columns, "hit"), (loose, place), (n, place)))
     discard(loose)

@@ -46,11 +46,10 @@ def edges(owned: DataFrame) -> DataFrame:
 
 
 def flat_edges(packed: DataFrame) -> DataFrame:
-    """`edges` of owned uses that are packed, without structs and what follows from other columns. px, py: the other end of the ring's previous edge."""
-    key = lambda c, to: [F.col(f"{c}.{k}").alias(f"{to}_{k}") for k in USE_KEY]
+    """`edges` of owned uses that are packed, without structs and what follows from other columns; locations stay held against objects. px, py: the other end of the ring's previous edge."""
     return packed.where("n = 1").select(
         F.col("x1").alias("src_x"), F.col("y1").alias("src_y"), F.col("x2").alias("tgt_x"), F.col("y2").alias("tgt_y"), "px", "py", "is_exterior", F.col("location").alias("left_loc"),
-        F.col("right_use.obj").alias("right_obj"), F.col("right_use.location").alias("right_loc"), *key("use_key", "created"), *key("right_use.use_key", "right"),
+        "right_inner", "right_loc", *[F.col(f"use_key.{k}").alias(f"created_{k}") for k in USE_KEY], *[f"right_{k}" for k in USE_KEY],
     )
 
 

@@ -68,12 +68,12 @@ def turned_walks(turned: DataFrame) -> DataFrame:
     return walked
 
 
-def holes(edges: DataFrame, walked: DataFrame | None = None) -> DataFrame:
+def holes(edges: DataFrame | None = None, walked: DataFrame | None = None) -> DataFrame:
     """HOLE_EMPTY_INTERIOR: use_key, x, y, is_loc of every interior walk. `walked`: the walks where they are known."""
     return (walks(edges, True) if walked is None else walked).where("inner").drop("inner", "length")
 
 
-def free_standing(edges: DataFrame, walked: DataFrame | None = None) -> DataFrame:
+def free_standing(edges: DataFrame | None = None, walked: DataFrame | None = None) -> DataFrame:
     """FREE_STANDING_SURFACE: exterior walks of three edges or more but the longest (the first of equal ones)."""
     w = (keep(walks(edges, False)) if walked is None else walked).where("NOT inner AND length >= 3")
     # Top-1 by aggregate: one row for each task, no global sort.

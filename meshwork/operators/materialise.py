@@ -76,6 +76,11 @@ def _at(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def input_bytes(df: DataFrame) -> int:
+    """The size of the files that `df` reads; 0 where it reads none."""
+    return sum(fs.getFileStatus(p).getLen() for fs, p in (_at(df.sparkSession, f) for f in df.inputFiles()))
+
+
 def kept_bytes(kept: DataFrame) -> int:
     """The size of a table of `keep_lean` on disk."""
     fs, p = _at(kept.sparkSession, kept._kept_at)

@@ -13,7 +13,7 @@ from ..functions.geometry import angle, edge_key, turn
 from ..workers import python_workers
 from .edges import signed_object
 from .materialise import in_slice, keep
-from .rings import USE_KEY
+from .rings import USE_KEY, held, right_use
 
 #: Nodes of a higher degree are swept one by one instead of compared in arrays.
 STAR_DEGREE = 64
@@ -42,15 +42,18 @@ def dealt_halves(flat: DataFrame, k: int = 0, slices: int = 1) -> DataFrame:
     shared = [c for c in flat.columns if c[:4] not in ("src_", "tgt_")]
     h = flat.where(at("src_x", "src_y") | at("tgt_x", "tgt_y")).select(*shared, F.inline(F.array(end("src", "tgt", 1), end("tgt", "src", -1))))
     h = h.where(at("x", "y")).repartition(F.xxhash64("x", "y"))
-    key = lambda c: F.struct(*[F.col(f"{c}_{n}").alias(n) for n in USE_KEY])
+    right = right_use("created_object_id")
     more = {
         "node_hash": F.xxhash64("x", "y"),
         "angle": angle("x", "y", "to_x", "to_y"),
-        "created_key": key("created"),
-        "right_key": F.when(F.col("right_obj").isNotNull(), key("right")),
+        "created_key": F.struct(*[F.col(f"created_{n}").alias(n) for n in USE_KEY]),
+        "right_key": right["use_key"],
         "left_obj": signed_object("created_object_id"),
+        "left_loc": held("left_loc", "created_object_id"),
+        "right_obj": right["obj"],
+        "right_loc": right["location"],
     }
-    return h.withColumns(more).drop(*[f"{c}_{n}" for c in ("created", "right") for n in USE_KEY])
+    return h.withColumns(more).drop("right_inner", *[f"{c}_{n}" for c in ("created", "right") for n in USE_KEY])
 
 
 def _next(*columns: str, node: tuple[str, ...] = ("x", "y")):
@@ -154,6 +157,21 @@ def bad_attachments(turned: DataFrame, star_degree: int = STAR_DEGREE) -> DataFr
     return _swept(turned.where("bad").drop("first", "open", "bad", "follower"), star_degree)
 
 
+def packed_turns(turned: DataFrame) -> DataFrame:
+    """`turns` with each object and point once, as tables keep them. `unpacked_turns` adds the rest again."""
+    of = F.col("created_key.object_id")
+    follower = F.struct((F.col("follower.object_id").bitwiseXOR(of)).alias("object_id"), *[F.col(f"follower.{k}").alias(k) for k in USE_KEY[1:]])
+    lean = {"follower": F.when(F.col("follower").isNotNull(), follower), "left_loc": held("left_loc", "created_key.object_id"), "left_obj": F.col("left_obj") != of}
+    return turned.withColumns(lean).withColumnRenamed("left_obj", "left_inner").drop("n_edge")
+
+
+def unpacked_turns(kept: DataFrame) -> DataFrame:
+    of = F.col("created_key.object_id")
+    follower = F.struct((F.col("follower.object_id").bitwiseXOR(of)).alias("object_id"), *[F.col(f"follower.{k}").alias(k) for k in USE_KEY[1:]])
+    more = {"follower": F.when(F.col("follower").isNotNull(), follower), "left_loc": held("left_loc", "created_key.object_id"), "left_obj": F.when(F.col("left_inner"), -of).otherwise(of)}
+    return kept.withColumns(more | {"n_edge": F.when(F.col("bad"), edge_key("x", "y", "to_x", "to_y"))}).drop("left_inner")
+
+
 def _occupant(side: str, positive: str, negative: str):
     """Owner on one side of neighbour `side` when the new edge came: the right one only if it was set before."""
     s = F.col(side)

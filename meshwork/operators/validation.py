@@ -8,39 +8,43 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import boundaries, edges, errors, faces, rings, rotation
-from .materialise import discard, keep_lean, kept_bytes, sliced
+from .materialise import discard, input_bytes, keep_lean, sliced
 
-#: Coverages whose uses take so many bytes are dealt with in slices: by edge or node in so many, what few rows reach in half of it.
-SLICES, SLICED_FROM = 4, 16 << 20
+#: Coverages read from files of so many bytes are dealt with in slices: by edge or node in so many, by object or line, and what few rows reach, in half of it.
+SLICES, SLICED_FROM = 8, 8 << 20
 
 
 def detect(vertices: DataFrame, lines: DataFrame, slices: int | None = None) -> list[DataFrame]:
     """The errors of every detection in the common shape, as tables of `keep_lean`."""
-    at_lines = boundaries.kept_vertices(lines)
-    uses = keep_lean(rings.packed(rings.edge_uses(vertices)))
-    n = slices or (SLICES if kept_bytes(uses) >= SLICED_FROM else 1)
-    shape = lambda u: rings.packed(edges.reported(edges.owned_uses(rings.dealt(u), rings.BY_EDGE)))
+    n = slices or (SLICES if input_bytes(vertices) >= SLICED_FROM else 1)
+    fewer = -(-n // 2)
+    uses = keep_lean(*sliced(fewer, lambda v: rings.packed(rings.edge_uses(v, in_blocks=True)), (vertices, F.xxhash64(rings.block()))))
+    shape = lambda u: rings.packed(edges.reported(edges.owned_uses(rings.dealt(u), rings.BY_EDGE)).drop("uses"))
     packed = keep_lean(*sliced(n, shape, (uses, rings.edge_hash())))
     discard(uses)
-    owned = rings.unpacked(packed)
-    e = edges.edges(owned)
     flat = edges.flat_edges(packed)
-    turned = keep_lean(*[lambda k=k: rotation.turns(rotation.dealt_halves(flat, k, n)) for k in range(n)])
+    kept = keep_lean(*[lambda k=k: rotation.packed_turns(rotation.turns(rotation.dealt_halves(flat, k, n))) for k in range(n)])
+    turned = rotation.unpacked_turns(kept)
     att = rotation.bad_attachments(turned)
     surface = [
-        errors.as_errors(edges.overlapping_edges(owned), "RING_OVERLAPPING_EDGES", "surface"),
+        errors.as_errors(edges.overlapping_edges(rings.unpacked(packed)), "RING_OVERLAPPING_EDGES", "surface"),
         errors.as_errors(rotation.ring_intersections(att), "RING_INTERSECTION", "surface"),
         errors.as_errors(rotation.invalid_angles(att), "INVALID_ANGLE", "surface"),
     ]
     surface = keep_lean(reduce(DataFrame.unionByName, surface))
+    ends = keep_lean(packed.where("n = 1").select("x1", "y1", "x2", "y2"))
+    discard(packed)
     walked = faces.turned_walks(turned)
-    open_faces = [errors.as_errors(faces.holes(e, walked), "HOLE_EMPTY_INTERIOR", "holes"), errors.as_errors(faces.free_standing(e, walked), "FREE_STANDING_SURFACE", "free")]
+    open_faces = [errors.as_errors(faces.holes(walked=walked), "HOLE_EMPTY_INTERIOR", "holes"), errors.as_errors(faces.free_standing(walked=walked), "FREE_STANDING_SURFACE", "free")]
     open_faces = keep_lean(reduce(DataFrame.unionByName, open_faces))
     discard(walked)
-    detached, invalid = boundaries.sliced_errors(at_lines, e, turned.where("first"), n)
-    discard(packed, turned)
+    at = keep_lean(kept.where("first").select("x", "y"))
+    discard(kept)
+    detached, invalid = boundaries.sliced_errors(boundaries.kept_vertices(lines, fewer), ends, at, n)
+    discard(at)
     at_lines = [errors.as_errors(detached, "BOUNDARY_POINT_DETACHED", "boundary"), errors.as_errors(invalid, "BOUNDARY_EDGE_INVALID", "boundary")]
     at_lines = keep_lean(*at_lines)
     discard(detached, invalid)

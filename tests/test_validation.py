@@ -128,3 +128,37 @@ def test_turns_keep_every_error(spark, star):
     att, bad = rotation.attachments(halves), rotation.bad_attachments(materialise.keep(rotation.turns(halves, star)), star)
     for found in (rotation.ring_intersections, rotation.invalid_angles):
         assert sorted(map(str, found(att).collect())) == sorted(map(str, found(bad).collect()))
+
+
+#: Queries on the errors; in each, lines are kept when uses, half-edges and all of edges but their ends are gone.
+LINES_LAST = [
+    "errors_filtered",
+]
+
+
+@pytest.mark.parametrize("name", LINES_LAST)
+def test_query_keeps_lines_when_edges_are_gone(spark, monkeypatch, name):
+    before, at, real = tables(spark), [], validation.boundaries.kept_vertices
+
+    def kept_vertices(*args):
+        at.append(len(tables(spark) - before))
+        return real(*args)
+
+    monkeypatch.setattr(validation.boundaries, "kept_vertices", kept_vertices)
+    catalog.QUERIES[name](spark, SF)
+    assert at == [4]  # errors of surfaces, holes and free-standing surfaces, ends of edges, nodes
+
+
+@pytest.mark.parametrize("located", (False, True))
+def test_packed_tables_hold_each_object_once(spark, located):
+    v = coverages.vertices(spark, SF)
+    uses = materialise.keep(edge_uses(coverages.located(v) if located else v, in_blocks=True))
+    owned = materialise.keep(owned_uses(uses).orderBy("use_key"))
+    lean = materialise.keep(packed(owned))
+    assert sorted(map(str, unpacked(lean).select(owned.columns).collect())) == sorted(map(str, owned.collect()))
+    assert lean.where("n = 1 AND left_loc <> 0").isEmpty() and (located or lean.where("location <> 0 OR right_loc <> 0").isEmpty())
+    turned = materialise.keep(rotation.turns(rotation.dealt_halves(flat_edges(lean)), 3))
+    again = rotation.unpacked_turns(materialise.keep(rotation.packed_turns(turned))).select(turned.columns)
+    assert sorted(map(str, again.collect())) == sorted(map(str, turned.collect()))
+    want = materialise.keep(edge_uses(coverages.located(v) if located else v))
+    assert want.exceptAll(uses).isEmpty() and uses.exceptAll(want).isEmpty()
