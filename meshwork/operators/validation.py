@@ -17,9 +17,13 @@ from .materialise import discard, input_bytes, keep_lean, sliced
 SLICES, SLICED_FROM = 8, 8 << 20
 
 
+def slices_for(vertices: DataFrame) -> int:
+    return SLICES if input_bytes(vertices) >= SLICED_FROM else 1
+
+
 def detect(vertices: DataFrame, lines: DataFrame, slices: int | None = None) -> list[DataFrame]:
     """The errors of every detection in the common shape, as tables of `keep_lean`."""
-    n = slices or (SLICES if input_bytes(vertices) >= SLICED_FROM else 1)
+    n = slices or slices_for(vertices)
     fewer = -(-n // 2)
     uses = keep_lean(*sliced(fewer, lambda v: rings.packed(rings.edge_uses(v, in_blocks=True)), (vertices, F.xxhash64(rings.block()))))
     shape = lambda u: rings.packed(edges.reported(edges.owned_uses(rings.dealt(u), rings.BY_EDGE)).drop("uses"))

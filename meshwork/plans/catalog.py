@@ -395,7 +395,8 @@ def geojson_points(spark, d):
 def erroneous_features(spark, d):
     """The whole features that errors name, each once, as GeoJSON."""
     vertices = coverages.located(coverages.vertices(spark, d))
-    return sinks.erroneous_features(errors.filter_errors(all_errors(spark, d, vertices)), vertices, coverages.features(spark, d))
+    found = errors.filter_errors(all_errors(spark, d, vertices))
+    return sinks.erroneous_features(found, vertices, coverages.features(spark, d), validation.slices_for(vertices))
 
 
 @_query("error_xml", f"""{_ALL} SELECT i, '<e i="' || i || '" t="' || t || '"' || coalesce(' p="' || p || '"', '') || '>' || {_TAGGED} || '</e>' AS xml FROM rel""")

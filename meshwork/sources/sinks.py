@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.location import location_db, location_feature
 from ..operators.errors import COLUMNS, TECHNICAL, error_message
-from ..operators.materialise import shared_dir
+from ..operators.materialise import discard, keep_lean, shared_dir, sliced
 from ..operators.numbering import numbered
 from ..operators.rotation import ccw_next, half_edges
 
@@ -99,13 +99,23 @@ def polygons(vertices: DataFrame) -> DataFrame:
     return rings(vertices).select(F.col("object_id").alias("id"), _feature(F.col("object_id").cast("string"), geometry))
 
 
-def erroneous_features(errors: DataFrame, vertices: DataFrame, features: DataFrame) -> DataFrame:
+def erroneous_features(errors: DataFrame, vertices: DataFrame, features: DataFrame, slices: int = 1) -> DataFrame:
     """(feature_id, feature): the whole features that errors name, each once: a Polygon, or a MultiPolygon of all its patches. vertices with packed
-    locations; features as `lookup.features_at` takes them."""
+    locations; features as `lookup.features_at` takes them. In several slices of features the result is a table of `keep_lean`, as a shuffle of all vertices is larger."""
     key = lambda c: (location_db(c).alias("db"), location_feature(c).alias("pos"))
     wanted = named_locations(errors).select(*key("location")).distinct()
     f = features.where("patches > 0").select(F.col("db_idx").alias("db"), (F.col("first_geometry") + 1).alias("pos"), "feature_id")
-    own = vertices.select("*", *key("location")).join(wanted.join(f, ["db", "pos"]), ["db", "pos"])
+    wanted, v, at = wanted.join(f, ["db", "pos"]), vertices.select("*", *key("location")), ("db", "pos")
+    if slices == 1:
+        return _whole_features(v, wanted)
+    wanted = keep_lean(wanted)
+    out = keep_lean(*sliced(slices, _whole_features, (v, at), (wanted, at)))
+    discard(wanted)
+    return out
+
+
+def _whole_features(vertices: DataFrame, wanted: DataFrame) -> DataFrame:
+    own = vertices.join(wanted, ["db", "pos"])
     each = rings(own, "db", "pos", "feature_id").groupBy("db", "pos", "feature_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("object_id", "coordinates"))), lambda s: s["coordinates"]).alias("all"))
     one = F.to_json(F.struct(F.lit("Polygon").alias("type"), F.get("all", F.lit(0)).alias("coordinates")))
     many = F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), F.col("all").alias("coordinates")))

@@ -132,6 +132,7 @@ def test_turns_keep_every_error(spark, star):
 
 #: Queries on the errors; in each, lines are kept when uses, half-edges and all of edges but their ends are gone.
 LINES_LAST = [
+    "erroneous_features",
     "errors_filtered",
 ]
 
@@ -162,3 +163,15 @@ def test_packed_tables_hold_each_object_once(spark, located):
     assert sorted(map(str, again.collect())) == sorted(map(str, turned.collect()))
     want = materialise.keep(edge_uses(coverages.located(v) if located else v))
     assert want.exceptAll(uses).isEmpty() and uses.exceptAll(want).isEmpty()
+
+
+def test_features_of_large_coverages_are_sliced(spark, monkeypatch):
+    vertices = coverages.located(coverages.vertices(spark, SF))
+    found = materialise.keep(catalog.all_errors(spark, SF, vertices))
+    monkeypatch.setattr(catalog, "all_errors", lambda *_: found)
+    want = catalog.QUERIES["erroneous_features"](spark, SF).collect()
+    monkeypatch.setattr(validation, "SLICED_FROM", 1)
+    before = tables(spark)
+    got = catalog.QUERIES["erroneous_features"](spark, SF)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString() and len(tables(spark) - before) == 1
+    assert sorted(got.collect()) == sorted(want) and len(want) > 0
