@@ -132,6 +132,7 @@ def test_turns_keep_every_error(spark, star):
 
 #: Queries on the errors; in each, lines are kept when uses, half-edges and all of edges but their ends are gone.
 LINES_LAST = [
+    "error_stats",
     "error_xml",
     "geojson_points",
     "erroneous_features",
