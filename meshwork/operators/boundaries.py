@@ -6,11 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.geometry import edge_key
+from ..functions.geometry import apart, edge_key, held_apart, together
 from .edges import nodes
 from .materialise import discard, keep_lean, sliced
 from .rings import block
 
+#: Ordinates that kept vertices of lines hold apart from those of the vertex.
+NEAR = {"px": "x", "py": "y"}
+#: The same of the ends of edges.
+ENDS_NEAR = {"x2": "x1", "y2": "y1"}
+
 
 def line_vertices(lines: DataFrame, restart_per_part: bool = False) -> DataFrame:
     """lines (line_id, v_ord, x, y[, part]) with consecutive equal vertices dropped, px, py the vertex before. All parts of a line are
@@ -40,22 +45,32 @@ def edges_invalid(lines: DataFrame, edges: DataFrame, at: DataFrame | None = Non
 
 
 def kept_vertices(lines: DataFrame, slices: int = 1, **options) -> DataFrame:
-    plan = lambda part: line_vertices(part, **options).select("line_id", "part", "v_ord", "x", "y", "px", "py")
+    plan = lambda part: apart(line_vertices(part, **options).select("line_id", "part", "v_ord", "x", "y", "px", "py"), NEAR)
     return keep_lean(*sliced(slices, plan, (lines, F.xxhash64(block("line_id")))))
 
 
 def sliced_errors(v: DataFrame, ends: DataFrame, at: DataFrame, slices: int) -> tuple[DataFrame, DataFrame]:
     """`points_detached` and `edges_invalid` of `kept_vertices`, which are discarded, in slices: a vertex with an edge to the one before is on a node, so only others
-    are held against nodes. ends: the edges by their points x1, y1, x2, y2, discarded when they are read."""
-    key, fewer = ("edge_key",), -(-slices // 2)
-    pairs = v.where("px IS NOT NULL").withColumn("edge_key", edge_key("px", "py", "x", "y"))
-    loose = keep_lean(v.where("px IS NULL"), *sliced(slices, lambda p, e: p.join(e, "edge_key", "left_anti").select(v.columns), (pairs, key), (ends.select(edge_key("x1", "y1", "x2", "y2").alias("edge_key")), key)))
+    are held against nodes. ends: the edges by their points x1, y1, x2, y2, as `apart` holds them, discarded when they are read."""
+    key, fewer, starts = ("edge_key",), -(-slices // 2), held_apart("px", NEAR).isNull()
+    last = F.struct("x", "y") >= F.struct("px", "py")
+    pairs = together(v.where(~starts), NEAR).select("line_id", "part", "v_ord", edge_key("px", "py", "x", "y").alias("edge_key"), last.alias("last"))
+
+    def without_edge(p: DataFrame, e: DataFrame) -> DataFrame:
+        """The shuffle moves each point once: a vertex and the one before are the ends of their edge."""
+        p = p.join(e, "edge_key", "left_anti")
+        end = lambda here, c: F.when(here, F.col(f"edge_key.b{c}")).otherwise(F.col(f"edge_key.a{c}"))
+        p = p.withColumns({"x": end(F.col("last"), "x"), "y": end(F.col("last"), "y"), "px": end(~F.col("last"), "x"), "py": end(~F.col("last"), "y")})
+        return apart(p, NEAR).select(v.columns)
+
+    edge = together(ends, ENDS_NEAR).select(edge_key("x1", "y1", "x2", "y2").alias("edge_key"))
+    loose = keep_lean(v.where(starts), *sliced(slices, without_edge, (pairs, key), (edge, key)))
     discard(v, ends)
     n, place = at.select("x", "y", F.lit(True).alias("hit")), ("x", "y")
-    met = keep_lean(*sliced(fewer, lambda p, m: p.join(m, ["x", "y"], "left").where("hit IS NULL OR px IS NOT NULL").select(*v.columns, "hit"), (loose, place), (n, place)))
+    met = keep_lean(*sliced(fewer, lambda p, m: p.join(m, ["x", "y"], "left").where(F.col("hit").isNull() | ~starts).select(*v.columns, "hit"), (loose, place), (n, place)))
     discard(loose)
     before, place = at.select(F.col("x").alias("px"), F.col("y").alias("py")), ("px", "py")
-    invalid = keep_lean(*sliced(fewer, lambda p, m: p.join(m, ["px", "py"], "left_semi").select("line_id", "part", "v_ord", "x", "y", F.col("px").alias("x2"), F.col("py").alias("y2")), (met.where("hit"), place), (before, place)))
+    invalid = keep_lean(*sliced(fewer, lambda p, m: p.join(m, ["px", "py"], "left_semi").select("line_id", "part", "v_ord", "x", "y", F.col("px").alias("x2"), F.col("py").alias("y2")), (together(met.where("hit"), NEAR), place), (before, place)))
     detached = keep_lean(met.where("hit IS NULL").select("line_id", "part", "v_ord", "x", "y"))
     discard(met)
     return detached, invalid

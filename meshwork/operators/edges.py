@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.geometry import angle
-from .rings import USE_KEY
+from ..functions.geometry import angle, together
+from .rings import NEAR, USE_KEY
 
 
 def signed_object(object_id: str = "object_id", is_exterior: str = "is_exterior"):
@@ -47,7 +47,7 @@ def edges(owned: DataFrame) -> DataFrame:
 
 def flat_edges(packed: DataFrame) -> DataFrame:
     """`edges` of owned uses that are packed, without structs and what follows from other columns; locations stay held against objects. px, py: the other end of the ring's previous edge."""
-    return packed.where("n = 1").select(
+    return together(packed.where("n = 1"), NEAR).select(
         F.col("x1").alias("src_x"), F.col("y1").alias("src_y"), F.col("x2").alias("tgt_x"), F.col("y2").alias("tgt_y"), "px", "py", "is_exterior", F.col("location").alias("left_loc"),
         "right_inner", "right_loc", *[F.col(f"use_key.{k}").alias(f"created_{k}") for k in USE_KEY], *[f"right_{k}" for k in USE_KEY],
     )

@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.geometry import edge_key
+from ..functions.geometry import apart, edge_key, held_apart, together
 
 USE_KEY = ("object_id", "ring_no", "seg_ord", "v_ord")
 #: The edge of uses from `dealt`. The hash comes last: rows sorted by place take a third less disk.
 BY_EDGE = ("edge_key", "edge_hash")
+#: Ordinates that packed uses hold apart from those of the first point.
+NEAR = {"x2": "x1", "y2": "y1", "px": "x1", "py": "y1"}
 
 
 def block(number: str = "object_id") -> Column:
@@ -41,8 +43,8 @@ def edge_uses(vertices: DataFrame, in_blocks: bool = False) -> DataFrame:
 
 
 def packed(uses: DataFrame) -> DataFrame:
-    """Uses with each point and each object once: what follows from others is left out, the previous edge is its other end px, py; locations are held against
-    the object (nothing is left of them where they are the same), and a right use goes in columns of its own. `unpacked` adds it again."""
+    """Uses with each point and each object once: what follows from others is left out, the previous edge is its other end px, py; points are held apart from the first,
+    locations against the object (nothing is left of them where they are the same), and a right use goes in columns of its own. `unpacked` adds it again."""
     p = F.col("prev_edge")
     here = (p["ax"] == F.col("x1")) & (p["ay"] == F.col("y1"))
     other = lambda c: F.when(here, p[f"b{c}"]).otherwise(p[f"a{c}"]).alias(f"p{c}")
@@ -51,7 +53,7 @@ def packed(uses: DataFrame) -> DataFrame:
     if "right_use" in uses.columns:
         right = [held(r + "object_id", "use_key.object_id").alias("right_object_id"), *[F.col(r + k).alias(f"right_{k}") for k in USE_KEY[1:]], (F.col("right_use.obj") != F.col(r + "object_id")).alias("right_inner"), held("right_use.location", r + "object_id").alias("right_loc")]
     derived = ("object_id", "ring_no", "edge_key", "edge_hash", "forward", "prev_edge", "right_use")
-    return uses.select(*[against[c].alias(c) if c in against else c for c in uses.columns if c not in derived], *right, other("x"), other("y"))
+    return apart(uses.select(*[against[c].alias(c) if c in against else c for c in uses.columns if c not in derived], *right, other("x"), other("y")), NEAR)
 
 
 def held(location: str, against: str) -> Column:
@@ -67,18 +69,20 @@ def right_use(of: str) -> Column:
     return F.when(other.isNotNull(), F.struct(key.alias("use_key"), obj.alias("obj"), F.col("right_loc").bitwiseXOR(other).alias("location")))
 
 
-def edge_hash() -> Column:
+def edge_hash(of_packed: bool = True) -> Column:
     """The same for both directions of an edge."""
-    return F.xxhash64("x1", "y1").bitwiseXOR(F.xxhash64("x2", "y2"))
+    x2, y2 = [held_apart(c, NEAR) if of_packed else F.col(c) for c in ("x2", "y2")]
+    return F.xxhash64("x1", "y1").bitwiseXOR(F.xxhash64(x2, y2))
 
 
 def dealt(uses: DataFrame) -> DataFrame:
     """Packed uses dealt by edge and unpacked after the shuffle, so that it moves each point once; windows by BY_EDGE need no other. (Keys of floating-point
     numbers alone would be normalised and shuffled again.)"""
-    return unpacked(uses.repartition(edge_hash())).withColumn("edge_hash", edge_hash())
+    return unpacked(uses.repartition(edge_hash())).withColumn("edge_hash", edge_hash(of_packed=False))
 
 
 def unpacked(uses: DataFrame) -> DataFrame:
+    uses = together(uses, NEAR)
     location = held("location", "use_key.object_id")
     of = {"location": location}
     if "left_loc" in uses.columns:

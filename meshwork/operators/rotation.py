@@ -5,11 +5,11 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.geometry import angle, edge_key, turn
+from ..functions.geometry import angle, apart, edge_key, together, turn
 from ..workers import python_workers
 from .edges import signed_object
 from .materialise import in_slice, keep
@@ -32,6 +32,9 @@ def half_edges(edges: DataFrame) -> DataFrame:
 
 #: The node of half-edges from `dealt_halves`.
 BY_NODE = ("x", "y", "node_hash")
+#: Ordinates that tables and shuffles of half-edges hold apart from those of the node.
+_NEAR = {"to_x": "x", "to_y": "y", "px": "x", "py": "y"}
+_TO_NEAR = {c: _NEAR[c] for c in ("to_x", "to_y")}
 
 
 def dealt_halves(flat: DataFrame, k: int = 0, slices: int = 1) -> DataFrame:
@@ -41,7 +44,7 @@ def dealt_halves(flat: DataFrame, k: int = 0, slices: int = 1) -> DataFrame:
     end = lambda a, b, sign: F.struct(*[F.col(f"{p}_{c}").alias(t + c) for p, t in ((a, ""), (b, "to_")) for c in "xy"], F.lit(sign).alias("sign"))
     shared = [c for c in flat.columns if c[:4] not in ("src_", "tgt_")]
     h = flat.where(at("src_x", "src_y") | at("tgt_x", "tgt_y")).select(*shared, F.inline(F.array(end("src", "tgt", 1), end("tgt", "src", -1))))
-    h = h.where(at("x", "y")).repartition(F.xxhash64("x", "y"))
+    h = together(apart(h.where(at("x", "y")), _NEAR).repartition(F.xxhash64("x", "y")), _NEAR)
     right = right_use("created_object_id")
     more = {
         "node_hash": F.xxhash64("x", "y"),
@@ -158,18 +161,31 @@ def bad_attachments(turned: DataFrame, star_degree: int = STAR_DEGREE) -> DataFr
 
 
 def packed_turns(turned: DataFrame) -> DataFrame:
-    """`turns` with each object and point once, as tables keep them. `unpacked_turns` adds the rest again."""
+    """`turns` with each object and point once and points held apart from the node, as tables keep them. `unpacked_turns` adds the rest again."""
     of = F.col("created_key.object_id")
     follower = F.struct((F.col("follower.object_id").bitwiseXOR(of)).alias("object_id"), *[F.col(f"follower.{k}").alias(k) for k in USE_KEY[1:]])
     lean = {"follower": F.when(F.col("follower").isNotNull(), follower), "left_loc": held("left_loc", "created_key.object_id"), "left_obj": F.col("left_obj") != of}
-    return turned.withColumns(lean).withColumnRenamed("left_obj", "left_inner").drop("n_edge")
+    return apart(turned.withColumns(lean | _held_sides()).withColumnRenamed("left_obj", "left_inner").drop("n_edge"), _TO_NEAR)
+
+
+def _held_sides() -> dict[str, Column]:
+    """Locations and keys of neighbours and right sides, held against the object on their side; the same again gives them back."""
+    at = lambda c, obj: F.col(c).bitwiseXOR(F.abs(obj))
+    key = lambda k, obj: F.when(F.col(k).isNotNull(), F.struct(at(f"{k}.object_id", obj).alias("object_id"), *[F.col(f"{k}.{c}").alias(c) for c in USE_KEY[1:]]))
+    out = {"right_loc": at("right_loc", F.col("right_obj")), "right_key": key("right_key", F.col("right_obj"))}
+    for s in ("cw", "ccw"):
+        left, right = F.col(f"{s}.left_obj"), F.col(f"{s}.right_obj")
+        new = {"left_loc": at(f"{s}.left_loc", left), "right_loc": at(f"{s}.right_loc", right), "right_key": key(f"{s}.right_key", right)}
+        out[s] = F.when(F.col(s).isNotNull(), F.struct(*[new.get(c, F.col(f"{s}.{c}")).alias(c) for c in _NEIGHBOUR]))
+    return out
 
 
 def unpacked_turns(kept: DataFrame) -> DataFrame:
+    kept = together(kept, _TO_NEAR)
     of = F.col("created_key.object_id")
     follower = F.struct((F.col("follower.object_id").bitwiseXOR(of)).alias("object_id"), *[F.col(f"follower.{k}").alias(k) for k in USE_KEY[1:]])
     more = {"follower": F.when(F.col("follower").isNotNull(), follower), "left_loc": held("left_loc", "created_key.object_id"), "left_obj": F.when(F.col("left_inner"), -of).otherwise(of)}
-    return kept.withColumns(more | {"n_edge": F.when(F.col("bad"), edge_key("x", "y", "to_x", "to_y"))}).drop("left_inner")
+    return kept.withColumns(more | _held_sides() | {"n_edge": F.when(F.col("bad"), edge_key("x", "y", "to_x", "to_y"))}).drop("left_inner")
 
 
 def _occupant(side: str, positive: str, negative: str):

@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geometry import apart, together
 from . import boundaries, edges, errors, faces, rings, rotation
 from .materialise import discard, input_bytes, keep_lean, sliced
 
@@ -39,7 +40,7 @@ def detect(vertices: DataFrame, lines: DataFrame, slices: int | None = None) ->
         errors.as_errors(rotation.invalid_angles(att), "INVALID_ANGLE", "surface"),
     ]
     surface = keep_lean(reduce(DataFrame.unionByName, surface))
-    ends = keep_lean(packed.where("n = 1").select("x1", "y1", "x2", "y2"))
+    ends = keep_lean(apart(together(packed.where("n = 1"), rings.NEAR).select("x1", "y1", "x2", "y2"), boundaries.ENDS_NEAR))
     discard(packed)
     walked = faces.turned_walks(turned)
     open_faces = [errors.as_errors(faces.holes(walked=walked), "HOLE_EMPTY_INTERIOR", "holes"), errors.as_errors(faces.free_standing(walked=walked), "FREE_STANDING_SURFACE", "free")]

@@ -178,3 +178,40 @@ def test_features_of_large_coverages_are_sliced(spark, monkeypatch):
     got = catalog.QUERIES["erroneous_features"](spark, SF)
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString() and len(tables(spark) - before) == 1
     assert sorted(got.collect()) == sorted(want) and len(want) > 0
+
+
+#: Queries on the errors; in each, tables between steps hold points apart from one that they are near.
+HELD_APART = ["error_xml"]
+
+
+@pytest.mark.parametrize("name", HELD_APART)
+def test_query_holds_points_apart(spark, monkeypatch, name):
+    seen, real = [], materialise.keep_lean
+
+    def keep_lean(*parts):
+        kept = real(*parts)
+        seen.append(set(kept.columns))
+        return kept
+
+    for module in (validation, validation.boundaries):
+        monkeypatch.setattr(module, "keep_lean", keep_lean)
+    catalog.QUERIES[name](spark, SF)
+    assert sum({"as_is"} <= c for c in seen) == 7  # uses, edges, half-edges, their ends, lines, lines without an edge, those held against nodes
+    assert not [c for c in seen if {"px", "py"} & c]
+
+
+def test_points_held_apart_are_the_same_again(spark):
+    import struct
+
+    from meshwork.functions.geometry import apart, together
+
+    some = [0.0, -0.0, 0.1, 0.3, -7.125, 1e16, 1.0, 1e-300, 1.7e308, -1.7e308, float("inf"), float("-inf"), float("nan"), None]
+    df = spark.createDataFrame([(a, b, some[(i + j) % len(some)]) for i, a in enumerate(some) for j, b in enumerate(some)], "o double, c double, e double")
+    near = {"c": "o", "e": "o"}
+    held = materialise.keep(apart(df, near))
+    bits = lambda row: tuple(None if v is None else struct.pack(">d", v) for v in row)
+    again = together(held, near).select(df.columns)
+    assert sorted(map(str, map(bits, again.collect()))) == sorted(map(str, map(bits, df.collect())))
+    assert set(held.columns) == {"o", "d_c", "d_e", "as_is"}
+    near_ones = spark.createDataFrame([(1010.125, 1020.125, 1000.125)], "o double, c double, e double")
+    assert apart(near_ones, near).where("as_is IS NULL").count() == 1
