@@ -181,7 +181,7 @@ def test_features_of_large_coverages_are_sliced(spark, monkeypatch):
 
 
 #: Queries on the errors; in each, tables between steps hold points apart from one that they are near.
-HELD_APART = ["error_xml", "error_stats"]
+HELD_APART = ["error_xml", "error_stats", "geojson_points"]
 
 
 @pytest.mark.parametrize("name", HELD_APART)
